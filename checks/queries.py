@@ -10,7 +10,20 @@ from pyspark.sql import functions as F
 from checks import formulas as f
 from checks import world as cw
 from checks.sql import with_world
-from popatlas.operators import hierarchy, unit_stats as us
+from popatlas.functions import classify
+from popatlas.operators import (
+    events,
+    extent,
+    frames,
+    hierarchy,
+    locate,
+    map_classes,
+    paging,
+    people,
+    profile,
+    venues,
+)
+from popatlas.operators import unit_stats as us
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,3 +289,708 @@ def venue_type_breakdown(spark, sf):
     w = cw.world(spark, sf)
     venues = us.venue_type_counts(w).withColumnRenamed("venue_type", "category")
     return us.top_breakdown(us.rollup(venues, w, ["category"]), n=3)
+
+
+# --- world profile ------------------------------------------------------------------
+
+
+@query(
+    """SELECT count(*) AS total_people, round(avg(age), 2) AS mean_age, min(age) AS min_age,
+              max(age) AS max_age FROM people"""
+)
+def population_summary(spark, sf):
+    return profile.population_summary(cw.world(spark, sf))
+
+
+@query("SELECT sex, count(*) AS n FROM people GROUP BY sex")
+def sex_distribution(spark, sf):
+    return profile.sex_distribution(cw.world(spark, sf))
+
+
+@query(
+    """SELECT level, count(*) AS people FROM people JOIN geo_units USING (geo_id)
+       GROUP BY level"""
+)
+def population_by_level(spark, sf):
+    return profile.population_by_level(cw.world(spark, sf))
+
+
+_NUMERIC = """count(v) AS "count", round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std,
+    min(v) AS "min", max(v) AS "max", quantile_cont(v, 0.25e0) AS p25,
+    quantile_cont(v, 0.5e0) AS median, quantile_cont(v, 0.75e0) AS p75"""
+
+
+@query(
+    f"""SELECT property, {_NUMERIC} FROM (
+          SELECT 'age' AS property, CAST(age AS DOUBLE) AS v FROM people
+          UNION ALL SELECT 'income', income FROM people)
+        GROUP BY property"""
+)
+def numeric_profile(spark, sf):
+    return profile.profile_numeric(cw.world(spark, sf).people, ["age", "income"])
+
+
+@query(
+    """SELECT property, value, n, total AS "count", unique_count, place,
+              round(100.0e0 * n / total, 2) AS percent
+       FROM (SELECT 'venue_id' AS property, CAST(venue_id AS VARCHAR) AS value, count(*) AS n,
+                    CAST(sum(count(*)) OVER () AS BIGINT) AS total,
+                    count(*) OVER () AS unique_count,
+                    CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(venue_id AS VARCHAR))
+                         AS INTEGER) AS place
+             FROM activities GROUP BY venue_id)
+       WHERE place <= 25"""
+)
+def categorical_profile(spark, sf):
+    return profile.profile_categorical(cw.world(spark, sf).activities, ["venue_id"])
+
+
+_LONG_PROFILE = """
+    numeric_long AS (
+      SELECT grp, property, 'numeric' AS kind, measure, CAST(NULL AS VARCHAR) AS category, amount
+      FROM (SELECT grp, property, CAST(count(v) AS DOUBLE) AS "count", round(avg(v), 4) AS mean,
+                   round(stddev_pop(v), 4) AS std, min(v) AS "min", max(v) AS "max",
+                   quantile_cont(v, 0.25e0) AS p25, quantile_cont(v, 0.5e0) AS median,
+                   quantile_cont(v, 0.75e0) AS p75
+            FROM numeric_cells GROUP BY grp, property)
+      UNPIVOT (amount FOR measure IN ("count", mean, std, "min", "max", p25, median, p75))),
+    category_counts AS (
+      SELECT grp, property, v, count(*) AS n,
+             row_number() OVER (PARTITION BY grp, property ORDER BY count(*) DESC, v) AS place,
+             sum(count(*)) OVER (PARTITION BY grp, property) AS total,
+             count(*) OVER (PARTITION BY grp, property) AS uniques
+      FROM category_cells GROUP BY grp, property, v),
+    long_profile AS (
+      SELECT * FROM numeric_long
+      UNION ALL SELECT grp, property, 'categorical', 'n', v, CAST(n AS DOUBLE)
+        FROM category_counts WHERE place <= 25
+      UNION ALL SELECT grp, property, 'categorical', 'percent', v,
+                       round(100.0e0 * n / CAST(total AS BIGINT), 2)
+        FROM category_counts WHERE place <= 25
+      UNION ALL SELECT grp, property, 'categorical', 'count', NULL, CAST(total AS DOUBLE)
+        FROM category_counts WHERE place = 1
+      UNION ALL SELECT grp, property, 'categorical', 'unique_count', NULL, CAST(uniques AS DOUBLE)
+        FROM category_counts WHERE place = 1)"""
+
+
+@query(
+    f""", numeric_cells AS (
+         SELECT 0 AS grp, 'age' AS property, CAST(age AS DOUBLE) AS v FROM people
+         UNION ALL SELECT 0, 'income', income FROM people),
+       category_cells AS (
+         SELECT 0 AS grp, 'sex' AS property, sex AS v FROM people
+         UNION ALL SELECT 0, 'segment', segment FROM people),
+       {_LONG_PROFILE}
+       SELECT property, kind, measure, category, amount FROM long_profile"""
+)
+def people_profile(spark, sf):
+    return profile.profile_people(cw.world(spark, sf))
+
+
+@query(
+    f""", numeric_cells AS (
+         SELECT venue_type AS grp, 'balance' AS property, balance AS v FROM venues),
+       category_cells AS (SELECT '' AS grp, '' AS property, '' AS v WHERE false),
+       {_LONG_PROFILE}
+       SELECT grp AS venue_type, property, kind, measure, category, amount FROM long_profile"""
+)
+def venue_profile(spark, sf):
+    return profile.profile_venues(cw.world(spark, sf))
+
+
+@query(
+    """SELECT round(avg(f), 2) AS mean, median(f) AS median, min(f) AS "min", max(f) AS "max",
+              count(*) AS total_subsets, count(f) AS non_empty_subsets
+       FROM (SELECT CASE WHEN member_count > 0 THEN member_count END AS f FROM subsets)"""
+)
+def subset_sizes(spark, sf):
+    return profile.subset_sizes(cw.world(spark, sf))
+
+
+@query(
+    f"""SELECT name AS activity, count(DISTINCT person_id) AS people
+        FROM (VALUES {', '.join(f"('{a}')" for a in f.ACTIVITY_NAMES)}) AS names(name)
+        LEFT JOIN activities ON activity = name GROUP BY name"""
+)
+def people_per_activity(spark, sf):
+    return profile.people_per_activity(cw.world(spark, sf), f.ACTIVITY_NAMES)
+
+
+@query(
+    """SELECT count(DISTINCT person_id) AS active_people,
+              round(count(DISTINCT person_id || ' ' || activity)
+                    / count(DISTINCT person_id), 2) AS mean_activity_types,
+              round(count(*) / (SELECT count(*) FROM people), 2) AS mean_assignments,
+              round((SELECT avg(member_count - 1) FROM subsets WHERE member_count > 0)
+                    * (count(*) / (SELECT count(*) FROM people)), 1) AS mean_contacts_estimate
+       FROM activities"""
+)
+def activity_summary(spark, sf):
+    return profile.activity_summary(cw.world(spark, sf))
+
+
+_HOUSEHOLDS = """SELECT v.venue_id, CAST(coalesce(sum(member_count), 0) AS BIGINT) AS size
+    FROM venues v LEFT JOIN subsets s ON v.venue_id = s.venue_id
+    WHERE venue_type = 'household' GROUP BY v.venue_id"""
+
+
+@query(f"SELECT size, count(*) AS households FROM ({_HOUSEHOLDS}) GROUP BY size")
+def household_sizes(spark, sf):
+    return profile.household_sizes(cw.world(spark, sf))
+
+
+@query(
+    f"""SELECT count(*) AS total_households, CAST(sum(size) AS BIGINT) / count(*) AS average_size
+        FROM ({_HOUSEHOLDS})"""
+)
+def household_summary(spark, sf):
+    return profile.household_summary(profile.household_sizes(cw.world(spark, sf)))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM geo_units) AS units,
+              (SELECT count(DISTINCT level) FROM geo_units) AS levels,
+              (SELECT count(*) FROM people) AS people, (SELECT count(*) FROM venues) AS venues,
+              (SELECT count(DISTINCT venue_type) FROM venues) AS venue_types"""
+)
+def world_totals(spark, sf):
+    return profile.world_totals(cw.world(spark, sf))
+
+
+# --- venues -------------------------------------------------------------------------
+
+
+@query("SELECT venue_type, count(*) AS venues FROM venues GROUP BY venue_type")
+def venue_types(spark, sf):
+    return venues.venue_types(cw.world(spark, sf))
+
+
+@query(
+    """SELECT v.venue_id, v.name, v.venue_type, g.name AS unit,
+              CAST(coalesce(m.n, 0) AS BIGINT) AS num_members, v.is_residence, v.lat, v.lon
+       FROM venues v LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN (SELECT venue_id, sum(member_count) AS n FROM subsets GROUP BY venue_id) m
+         ON m.venue_id = v.venue_id
+       WHERE v.lat IS NOT NULL"""
+)
+def venue_features(spark, sf):
+    return venues.venue_features(cw.world(spark, sf))
+
+
+@query(
+    """SELECT v.venue_id, v.name, v.venue_type, v.geo_id, g.name AS unit, g.level AS unit_level,
+              s.subset_pos, s.subset_name, s.member_count
+       FROM venues v LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN subsets s ON s.venue_id = v.venue_id"""
+)
+def venue_detail(spark, sf):
+    return venues.venue_subsets(cw.world(spark, sf)).drop("coordinates")
+
+
+@query(
+    """SELECT v.venue_id, p.venue_id AS parent_id, p.name AS parent_name
+       FROM venues v LEFT JOIN venues p ON v.parent_id = p.venue_id"""
+)
+def venue_parents(spark, sf):
+    return venues.venue_parents(cw.world(spark, sf))
+
+
+_CHILD_TOTALS = """SELECT v.venue_id, count(DISTINCT c.venue_id) AS child_count,
+      CAST(coalesce(sum(s.member_count), 0) AS BIGINT) AS total_child_members
+    FROM venues v LEFT JOIN venues c ON c.parent_id = v.venue_id
+    LEFT JOIN subsets s ON s.venue_id = c.venue_id GROUP BY v.venue_id"""
+
+
+@query(_CHILD_TOTALS)
+def venue_child_totals(spark, sf):
+    return venues.venue_child_totals(cw.world(spark, sf))
+
+
+@query(
+    f""", totals AS ({_CHILD_TOTALS}), listed AS (
+         SELECT ancestor_id, venue_id, row_number() OVER
+                  (PARTITION BY ancestor_id ORDER BY ordinal) - 1 AS rank
+         FROM venues JOIN closure ON geo_id = descendant_id WHERE parent_id = -1)
+       SELECT l.ancestor_id, l.venue_id, l.rank, l.rank // 20 + 1 AS page, v.name, v.venue_type,
+              v.geo_id, v.lat, v.lon, t.child_count, t.total_child_members, g.name AS unit
+       FROM listed l JOIN venues v ON l.venue_id = v.venue_id
+       JOIN totals t ON t.venue_id = v.venue_id LEFT JOIN geo_units g ON g.geo_id = v.geo_id"""
+)
+def unit_venue_pages(spark, sf):
+    return venues.unit_venues(cw.world(spark, sf), per_page=20)
+
+
+@query(
+    """SELECT v.parent_id, v.venue_id, v.name, v.venue_type, v.geo_id, v.lat, v.lon, v.ordinal,
+              g.name AS unit, row_number() OVER w - 1 AS rank,
+              (row_number() OVER w - 1) // 2 + 1 AS page
+       FROM venues v LEFT JOIN geo_units g ON g.geo_id = v.geo_id WHERE v.parent_id <> -1
+       WINDOW w AS (PARTITION BY v.parent_id ORDER BY v.ordinal)"""
+)
+def venue_children_pages(spark, sf):
+    return venues.venue_children(cw.world(spark, sf), per_page=2)
+
+
+@query(
+    """SELECT m.venue_id, m.subset_pos, s.subset_name, m.seq, m.seq // 50 + 1 AS page,
+              m.person_id, p.age, p.sex, coalesce(g.name, CAST(p.geo_id AS VARCHAR)) AS unit
+       FROM memberships m
+       JOIN subsets s ON m.venue_id = s.venue_id AND m.subset_pos = s.subset_pos
+       JOIN people p ON p.person_id = m.person_id
+       LEFT JOIN geo_units g ON g.geo_id = p.geo_id"""
+)
+def venue_member_pages(spark, sf):
+    return venues.venue_members(cw.world(spark, sf))
+
+
+@query(
+    """SELECT s.venue_id, s.subset_pos, s.subset_name, count(m.person_id) AS total,
+              CAST(greatest(1, ceil(count(m.person_id) / 50)) AS BIGINT) AS total_pages, 1 AS page
+       FROM subsets s LEFT JOIN memberships m
+         ON m.venue_id = s.venue_id AND m.subset_pos = s.subset_pos
+       GROUP BY s.venue_id, s.subset_pos, s.subset_name"""
+)
+def venue_member_lists(spark, sf):
+    return venues.member_lists(cw.world(spark, sf))
+
+
+# --- people -------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p.person_id, p.age, p.sex, p.income, p.segment, g.geo_id AS unit_id,
+              g.name AS unit, g.level AS unit_level
+       FROM people p LEFT JOIN geo_units g ON p.geo_id = g.geo_id"""
+)
+def person_profile(spark, sf):
+    return people.person_profile(cw.world(spark, sf)).select(
+        "person_id",
+        "age",
+        "sex",
+        "income",
+        "segment",
+        F.col("home_unit.id").alias("unit_id"),
+        F.col("home_unit.name").alias("unit"),
+        F.col("home_unit.level").alias("unit_level"),
+    )
+
+
+@query(
+    """SELECT a.person_id, a.seq, a.activity, a.venue_id, v.name AS venue_name, v.venue_type,
+              coalesce(g.name, CAST(v.geo_id AS VARCHAR)) AS venue_unit,
+              coalesce(s.subset_name, CAST(a.subset_pos AS VARCHAR)) AS subset_name
+       FROM activities a JOIN venues v ON a.venue_id = v.venue_id
+       LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN subsets s ON s.venue_id = a.venue_id AND s.subset_pos = a.subset_pos"""
+)
+def person_activities(spark, sf):
+    return people.person_activities(cw.world(spark, sf))
+
+
+@query(
+    """SELECT person_id, activity, venue_type, count(*) AS visits
+       FROM activities JOIN venues USING (venue_id) GROUP BY person_id, activity, venue_type"""
+)
+def activity_map_sizes(spark, sf):
+    nested = people.activity_map(cw.world(spark, sf))
+    return (
+        nested.select("person_id", F.explode("activity_map").alias("activity", "venues"))
+        .select("person_id", "activity", F.explode("venues").alias("venue_type", "visits"))
+        .groupBy("person_id", "activity", "venue_type")
+        .agg(F.sum(F.size("visits")).alias("visits"))
+    )
+
+
+@query(
+    """SELECT p.person_id, v.venue_type, v.name AS venue_name FROM people p
+       LEFT JOIN (SELECT person_id, arg_min(venue_id, seq) AS venue_id FROM activities
+                  WHERE activity = 'primary_activity' GROUP BY person_id) a
+         ON a.person_id = p.person_id
+       LEFT JOIN venues v ON v.venue_id = a.venue_id"""
+)
+def primary_activity(spark, sf):
+    return people.primary_activity(cw.world(spark, sf))
+
+
+@query(
+    """SELECT person_id, string_agg(activity, ',' ORDER BY activity) AS activities
+       FROM (SELECT DISTINCT person_id, activity FROM activities) GROUP BY person_id"""
+)
+def activity_types(spark, sf):
+    return people.activity_types(cw.world(spark, sf)).select(
+        "person_id", F.array_join("activities", ",").alias("activities")
+    )
+
+
+@query(
+    """SELECT ancestor_id, person_id, age, sex, row_number() OVER w - 1 AS rank,
+              (row_number() OVER w - 1) // 50 + 1 AS page
+       FROM people JOIN closure ON geo_id = descendant_id
+       WINDOW w AS (PARTITION BY ancestor_id ORDER BY ordinal)"""
+)
+def unit_people_pages(spark, sf):
+    return people.unit_people(cw.world(spark, sf), descendants=True)
+
+
+@query(
+    """SELECT geo_id AS ancestor_id, person_id, age, sex, row_number() OVER w - 1 AS rank,
+              (row_number() OVER w - 1) // 50 + 1 AS page
+       FROM people JOIN geo_units USING (geo_id)
+       WINDOW w AS (PARTITION BY geo_id ORDER BY people.ordinal)"""
+)
+def unit_direct_people_pages(spark, sf):
+    return people.unit_people(cw.world(spark, sf))
+
+
+@query(
+    """SELECT * FROM (
+         SELECT geo_id, person_id, age, sex,
+                row_number() OVER (PARTITION BY geo_id ORDER BY people.ordinal) - 1 AS rank
+         FROM people JOIN geo_units USING (geo_id)) WHERE rank < 50"""
+)
+def first_people(spark, sf):
+    return people.first_people(cw.world(spark, sf))
+
+
+# --- paging and locating ------------------------------------------------------------
+
+
+@query(
+    """SELECT person_id, age, sex, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+       FROM people ORDER BY ordinal LIMIT 50 OFFSET 50"""
+)
+def people_page(spark, sf):
+    rows = cw.world(spark, sf).people.select("person_id", "age", "sex", "ordinal")
+    return paging.paginate(rows, page=2).drop("ordinal")
+
+
+@query(
+    """SELECT person_id, row_number() OVER (ORDER BY ordinal) - 1 AS rank,
+              (row_number() OVER (ORDER BY ordinal) - 1) // 50 + 1 AS page FROM people"""
+)
+def people_all_pages(spark, sf):
+    rows = cw.world(spark, sf).people.select("person_id", "ordinal")
+    return paging.all_pages(rows).drop("ordinal")
+
+
+@query(
+    """SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 200)) AS BIGINT) AS total_pages,
+              1 AS page, 200 AS per_page FROM people"""
+)
+def people_page_info(spark, sf):
+    return paging.page_info(cw.world(spark, sf).people, page=-3, per_page=1000)
+
+
+@query(
+    """SELECT p.person_id, g.name AS unit, coalesce(r.rank, 0) // 50 + 1 AS page
+       FROM people p LEFT JOIN geo_units g ON p.geo_id = g.geo_id
+       LEFT JOIN (SELECT ancestor_id, person_id, row_number() OVER
+                           (PARTITION BY ancestor_id ORDER BY ordinal) - 1 AS rank
+                  FROM people JOIN closure ON geo_id = descendant_id) r
+         ON r.person_id = p.person_id AND r.ancestor_id = p.geo_id"""
+)
+def locate_people(spark, sf):
+    return locate.locate_people(cw.world(spark, sf))
+
+
+@query(
+    """SELECT v.venue_id, g.name AS unit, v.venue_type, coalesce(r.rank, 0) // 2 + 1 AS page
+       FROM venues v LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN (SELECT ancestor_id, venue_id, row_number() OVER
+                           (PARTITION BY ancestor_id, venue_type ORDER BY ordinal) - 1 AS rank
+                  FROM venues JOIN closure ON geo_id = descendant_id WHERE parent_id = -1) r
+         ON r.venue_id = v.venue_id AND r.ancestor_id = v.geo_id"""
+)
+def locate_venues(spark, sf):
+    return locate.locate_venues(cw.world(spark, sf), per_page=2)
+
+
+_SIZED = "length(sex) + length(segment) + 24"
+
+
+@query(
+    f"""SELECT person_id, CAST(bytes AS BIGINT) AS bytes,
+               CAST(bytes_before AS BIGINT) AS bytes_before,
+               bytes_before <= 16384 AS kept
+        FROM (SELECT person_id, {_SIZED} AS bytes, 1000 + coalesce(sum({_SIZED}) OVER
+                (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                AS bytes_before
+              FROM people)"""
+)
+def size_budget(spark, sf):
+    return _budgeted(spark, sf).drop("ordinal")
+
+
+@query(
+    f"""SELECT count(CASE WHEN b <= 16384 THEN 1 END) AS kept,
+               count(CASE WHEN b > 16384 THEN 1 END) AS dropped,
+               CAST(sum(CASE WHEN b <= 16384 THEN bytes END) AS BIGINT) AS kept_bytes
+        FROM (SELECT {_SIZED} AS bytes, 1000 + coalesce(sum({_SIZED}) OVER
+                (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+              FROM people)"""
+)
+def size_budget_report(spark, sf):
+    return paging.budget_report(_budgeted(spark, sf), "bytes")
+
+
+def _budgeted(spark, sf):
+    records = cw.world(spark, sf).people.select(
+        "person_id", "ordinal", F.expr(f"CAST({_SIZED} AS BIGINT)").alias("bytes")
+    )
+    return paging.take_within_bytes(records, "ordinal", "bytes", budget=16384, start=1000)
+
+
+# --- events -------------------------------------------------------------------------
+
+_TYPES = ", ".join(f"('{t}')" for t in f.EVENT_TYPES)
+_WINDOW = "time >= 2.0e0 AND time <= 9.0e0"
+
+
+@query(
+    f"""SELECT t.event_type, count(e.event_id) AS n,
+               (SELECT min(time) FROM world_events) AS time_min,
+               (SELECT max(time) FROM world_events) AS time_max
+        FROM (VALUES {_TYPES}) AS t(event_type) LEFT JOIN world_events e USING (event_type)
+        GROUP BY t.event_type"""
+)
+def event_summary(spark, sf):
+    return events.event_summary(cw.event_log(spark, sf), f.EVENT_TYPES)
+
+
+@query(
+    """SELECT event_type, CAST(floor(time) AS BIGINT) AS day, count(*) AS n FROM world_events
+       GROUP BY event_type, floor(time)"""
+)
+def event_timeseries(spark, sf):
+    return events.event_timeseries(cw.event_log(spark, sf).events)
+
+
+@query("SELECT DISTINCT event_type FROM world_events")
+def event_types(spark, sf):
+    return events.available_types(cw.event_log(spark, sf).events)
+
+
+@query("SELECT event_id, event_type, time, person_id, venue_id, geo_id FROM located")
+def located_events(spark, sf):
+    log = cw.event_log(spark, sf)
+    return events.resolve_geo(log.events, log)
+
+
+@query(f"SELECT event_id, event_type, time, person_id, venue_id FROM world_events WHERE {_WINDOW}")
+def events_in_window(spark, sf):
+    return events.in_window(cw.event_log(spark, sf).events, 2, 9)
+
+
+@query(
+    f"""SELECT event_type, geo_id, count(*) AS n FROM located
+        WHERE event_type = 'purchase' AND {_WINDOW} GROUP BY event_type, geo_id"""
+)
+def event_counts(spark, sf):
+    return events.geo_counts(cw.event_log(spark, sf), ["purchase"], 2, 9)
+
+
+@query(
+    f"""SELECT event_type, geo_id, count(*) AS n FROM located
+        WHERE event_type IN ('click', 'error', 'view') AND {_WINDOW} GROUP BY event_type, geo_id"""
+)
+def event_counts_batch(spark, sf):
+    return events.geo_counts(cw.event_log(spark, sf), ["click", "error", "view"], 2, 9)
+
+
+@query(
+    """SELECT event_type, geo_id, count(*) AS n FROM located
+       WHERE time <= 9.0e0 GROUP BY event_type, geo_id"""
+)
+def event_counts_cumulative(spark, sf):
+    return events.geo_cumulative(cw.event_log(spark, sf), end=9)
+
+
+_RATE = "CASE WHEN p.population > 0 THEN n / p.population * 100000 ELSE 0.0e0 END"
+
+
+@query(
+    f"""SELECT event_type, c.geo_id, n, p.population, {_RATE} AS rate
+        FROM (SELECT event_type, geo_id, count(*) AS n FROM located WHERE {_WINDOW}
+              GROUP BY event_type, geo_id) c LEFT JOIN rate_population p ON p.geo_id = c.geo_id"""
+)
+def event_rates(spark, sf):
+    counts = events.geo_counts(cw.event_log(spark, sf), start=2, end=9)
+    return events.geo_rates(counts, events.rate_population(cw.world(spark, sf)))
+
+
+@query(
+    f"""SELECT event_type, c.geo_id, n, {_RATE} AS rate, g.lat, g.lon
+        FROM (SELECT event_type, geo_id, count(*) AS n FROM located WHERE {_WINDOW}
+              GROUP BY event_type, geo_id) c
+        JOIN geo_units g ON g.geo_id = c.geo_id AND g.lat IS NOT NULL
+        LEFT JOIN rate_population p ON p.geo_id = c.geo_id"""
+)
+def event_features(spark, sf):
+    return events.event_features(cw.event_log(spark, sf), cw.world(spark, sf), None, 2, 9)
+
+
+@query(
+    f"""SELECT event_type, count(*) AS total, count(g.lat) AS shown_total
+        FROM located e LEFT JOIN geo_units g ON g.geo_id = e.geo_id WHERE {_WINDOW}
+        GROUP BY event_type"""
+)
+def event_feature_totals(spark, sf):
+    return events.feature_totals(cw.event_log(spark, sf), cw.world(spark, sf), None, 2, 9)
+
+
+@query(
+    f"""SELECT t.event_type, count(e.event_id) AS n FROM (VALUES {_TYPES}) AS t(event_type)
+        LEFT JOIN located e ON e.event_type = t.event_type AND time >= 11.0e0 AND time <= 12.0e0
+        GROUP BY t.event_type"""
+)
+def event_window_totals(spark, sf):
+    return events.window_totals(cw.event_log(spark, sf), f.EVENT_TYPES, 12, 1)
+
+
+@query(
+    """SELECT geo_id, event_type, count(CASE WHEN time >= 11.0e0 THEN 1 END) AS rolling,
+              count(*) AS cumulative
+       FROM located WHERE time <= 12.0e0 GROUP BY geo_id, event_type"""
+)
+def unit_event_cards(spark, sf):
+    return events.unit_event_card(cw.event_log(spark, sf), f.EVENT_TYPES, 12, 1)
+
+
+# --- frames -------------------------------------------------------------------------
+
+
+@query("SELECT event_type, frame, geo_id, n FROM frames")
+def event_frames(spark, sf):
+    return frames.bake_frames(cw.event_log(spark, sf))
+
+
+@query(
+    """SELECT event_type, k AS frame, geo_id, count(*) AS n
+       FROM located JOIN (
+         SELECT CAST(k AS BIGINT) AS k, round(t0 + k * 0.5e0, 6) AS ft FROM frame_bounds, range(0, 4000) AS r(k)
+         WHERE t0 + k * 0.5e0 <= t1 + 0.005e0) ON time <= ft AND time >= ft - 2.0e0
+       GROUP BY event_type, k, geo_id"""
+)
+def event_frames_overlapping(spark, sf):
+    return frames.bake_frames(cw.event_log(spark, sf), step=0.5, width=2.0)
+
+
+@query(
+    """SELECT event_type, k AS frame, geo_id, count(*) AS n
+       FROM located JOIN (
+         SELECT CAST(k AS BIGINT) AS k, round(t0 + k * 2.0e0, 6) AS ft FROM frame_bounds, range(0, 4000) AS r(k)
+         WHERE t0 + k * 2.0e0 <= t1 + 0.02e0) ON time <= ft AND time >= ft - 0.7e0
+       GROUP BY event_type, k, geo_id"""
+)
+def event_frames_with_gaps(spark, sf):
+    return frames.bake_frames(cw.event_log(spark, sf), step=2.0, width=0.7)
+
+
+@query(
+    """SELECT event_type, frame, geo_id, n, CAST(sum(n) OVER
+         (PARTITION BY event_type, geo_id ORDER BY frame) AS BIGINT) AS total FROM frames"""
+)
+def event_frames_cumulated(spark, sf):
+    return frames.cumulate_frames(frames.bake_frames(cw.event_log(spark, sf)))
+
+
+@query(
+    """SELECT event_type, frame, geo_id, n FROM frames, frame_bounds
+       WHERE frame = CAST(floor((12.4e0 - t0) / 1.0e0 + 0.5e0) AS BIGINT)"""
+)
+def event_frame_at_time(spark, sf):
+    log = cw.event_log(spark, sf)
+    return frames.frame_at(log, frames.bake_frames(log), 12.4)
+
+
+@query(
+    """SELECT g.geo_id, g.lat, g.lon, p.population FROM geo_units g
+       LEFT JOIN rate_population p ON p.geo_id = g.geo_id WHERE g.lat IS NOT NULL"""
+)
+def geo_lookup(spark, sf):
+    return frames.geo_lookup(cw.world(spark, sf))
+
+
+@query(
+    f"""SELECT event_type, frame, c.geo_id, n, g.lat, g.lon, p.population, {_RATE} AS rate
+        FROM frames c JOIN geo_units g ON g.geo_id = c.geo_id AND g.lat IS NOT NULL
+        LEFT JOIN rate_population p ON p.geo_id = c.geo_id"""
+)
+def event_frame_features(spark, sf):
+    baked = frames.bake_frames(cw.event_log(spark, sf))
+    return frames.frame_features(baked, frames.geo_lookup(cw.world(spark, sf)))
+
+
+# --- map classes and extent ---------------------------------------------------------
+
+_DAY_FRAMES = "(SELECT *, max(n) OVER (PARTITION BY event_type, frame) AS largest FROM frames)"
+
+
+@query(
+    """SELECT event_type, frame, geo_id, n, CASE WHEN n <= 2 THEN 0 WHEN n <= 5 THEN 1
+         WHEN n <= 10 THEN 2 WHEN n <= 20 THEN 3 ELSE 4 END AS class FROM frames"""
+)
+def count_classes(spark, sf):
+    return map_classes.count_classes(frames.bake_frames(cw.event_log(spark, sf)))
+
+
+@query(
+    f"""SELECT event_type, frame, geo_id, n, largest, CASE WHEN n / largest < 0.25e0 THEN 0
+          WHEN n / largest < 0.5e0 THEN 1 WHEN n / largest < 0.75e0 THEN 2 ELSE 3 END AS class
+        FROM {_DAY_FRAMES}"""
+)
+def relative_classes(spark, sf):
+    baked = frames.bake_frames(cw.event_log(spark, sf))
+    return map_classes.relative_classes(baked, ["event_type", "frame"])
+
+
+@query(
+    f"""SELECT event_type, frame, geo_id, n, largest,
+               round(sqrt(n) / sqrt(largest), 9) AS by_sqrt,
+               round(log10(n + 1) / log10(largest + 1), 9) AS by_log,
+               round(n / largest, 9) AS by_share
+        FROM {_DAY_FRAMES}"""
+)
+def magnitudes(spark, sf):
+    baked = frames.bake_frames(cw.event_log(spark, sf))
+    sized = map_classes.magnitudes(baked, ["event_type", "frame"]).withColumnRenamed(
+        "magnitude", "by_sqrt"
+    )
+    n, largest = F.col("n"), F.col("largest")
+    return sized.withColumns(
+        {
+            "by_sqrt": F.round("by_sqrt", 9),
+            "by_log": F.round(classify.magnitude(n, largest, "log"), 9),
+            "by_share": F.round(classify.magnitude(n, largest, "linear"), 9),
+        }
+    )
+
+
+@query(
+    """SELECT geo_id, population, CASE WHEN population > 10000 THEN 4 WHEN population > 5000
+         THEN 3 WHEN population > 1000 THEN 2 WHEN population > 500 THEN 1 ELSE 0 END AS class
+       FROM unit_population"""
+)
+def population_classes(spark, sf):
+    w = cw.world(spark, sf)
+    return map_classes.population_classes(
+        us.rollup(us.direct_population(w), w, [], n="population")
+    )
+
+
+@query(
+    """SELECT level, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east
+       FROM geo_units WHERE lat IS NOT NULL GROUP BY level"""
+)
+def level_extent(spark, sf):
+    return extent.extent(cw.world(spark, sf).geo)
+
+
+@query(
+    """SELECT zone, 32600 + zone + CASE WHEN lat < 0 THEN 100 ELSE 0 END AS epsg FROM (
+         SELECT CAST(trunc((median(lon) + 180) / 6) AS INTEGER) % 60 + 1 AS zone,
+                median(lat) AS lat
+         FROM geo_units WHERE lat IS NOT NULL)"""
+)
+def utm_zone(spark, sf):
+    return extent.utm_zone(cw.world(spark, sf).geo)

@@ -88,11 +88,15 @@ class World:
 
     @cached_property
     def paths(self) -> DataFrame:
-        """``geo_id, path``: the unit followed by its ancestors, nearest first."""
+        """``geo_id, path``: the unit followed by its ancestors, nearest first.
+
+        Nearly every operator climbs the tree, so the paths are worked out once and stored.
+        """
         from popatlas.plans.paths import unit_paths
         from popatlas.plans.sizing import BROADCAST_ROWS
+        from popatlas.plans.storage import stored
 
-        paths = unit_paths(self.geo, self.max_depth, self.unit_count)
+        paths = stored(unit_paths(self.geo, self.max_depth, self.unit_count), "unit-paths")
         return F.broadcast(paths) if self.unit_count <= BROADCAST_ROWS else paths
 
     @cached_property

@@ -73,26 +73,29 @@ def preorder(w: World) -> DataFrame:
     step is a running sum of subtree sizes among siblings, and a unit's number is the sum
     of the steps on its path, so no global sort is needed.
     """
-    sizes = subtree_sizes(w)
-    links = w.paths.select(
-        "geo_id", F.coalesce(F.try_element_at("path", F.lit(2)), F.lit(NO_PARENT)).alias("parent")
+    known = w.units.select(F.col("geo_id").alias("_parent"))
+    siblings = (
+        w.geo.select("geo_id", "ordinal", "parent_id")
+        .join(known, F.col("parent_id") == F.col("_parent"), "left")
+        .select("geo_id", "ordinal", F.coalesce("_parent", F.lit(NO_PARENT)).alias("parent"))
+        .join(subtree_sizes(w), "geo_id")
     )
-    siblings = links.join(w.units.select("geo_id", "ordinal"), "geo_id").join(sizes, "geo_id")
     steps = prefix_sum(
         siblings, "ordinal", value="size", keys=["parent"], ties=["geo_id"], name="earlier"
     ).select(
         F.col("geo_id").alias("ancestor_id"),
+        "size",
         F.when(F.col("parent") == NO_PARENT, F.col("earlier"))
         .otherwise(F.col("earlier") + 1)
         .alias("step"),
     )
-    numbers = (
+    own_size = F.when(F.col("ancestor_id") == F.col("descendant_id"), F.col("size"))
+    return (
         closure(w)
         .join(steps, "ancestor_id")
         .groupBy(F.col("descendant_id").alias("geo_id"))
-        .agg(F.sum("step").alias("preorder"))
+        .agg(F.sum("step").alias("preorder"), F.max(own_size).alias("size"))
     )
-    return numbers.join(sizes, "geo_id").select("geo_id", "preorder", "size")
 
 
 def child_counts(w: World) -> DataFrame:
