@@ -24,6 +24,12 @@ from popatlas.operators import (
     venues,
 )
 from popatlas.operators import unit_stats as us
+from popatlas.plans import ranking, storage
+from popatlas.sources import events as event_source
+from popatlas.sources import geojson, lookups, offsets
+from popatlas.sources import names as names_source
+from popatlas.sources import world as world_source
+from popatlas.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -994,3 +1000,238 @@ def level_extent(spark, sf):
 )
 def utm_zone(spark, sf):
     return extent.utm_zone(cw.world(spark, sf).geo)
+
+
+# --- sources and sinks --------------------------------------------------------------
+
+
+def _level_codes(spark, sf):
+    """Units with their level as a code; areas get a code that no registry knows."""
+    codes = {"world": 0, "region": 1, "nation": 2, "district": 3}
+    code = F.lit(99)
+    for level, number in codes.items():
+        code = F.when(F.col("level") == level, F.lit(number)).otherwise(code)
+    registry = cw.world(spark, sf).geo.groupBy("level").agg(F.count("*").alias("n"))
+    registry = registry.where("level <> 'area'").select(
+        code.alias("code"), F.upper("level").alias("label")
+    )
+    return cw.world(spark, sf).geo.select("geo_id", code.alias("level_code")), registry
+
+
+@query(
+    """SELECT geo_id, CASE level WHEN 'area' THEN 'unknown' ELSE upper(level) END AS level_name,
+              CASE level WHEN 'world' THEN 0 WHEN 'region' THEN 1 WHEN 'nation' THEN 2
+                WHEN 'district' THEN 3 ELSE 99 END AS level_code
+       FROM geo_units"""
+)
+def decoded_levels(spark, sf):
+    units, registry = _level_codes(spark, sf)
+    return lookups.decode(units, "level_code", registry, "level_name")
+
+
+@query(
+    """SELECT c_custkey AS person_id, CAST(c_custkey % 5 - 1 AS INTEGER) AS sex_code,
+              CASE c_custkey % 5 - 1 WHEN 0 THEN 'male' WHEN 1 THEN 'female'
+                ELSE 'unknown' END AS sex
+       FROM customer"""
+)
+def decoded_sexes(spark, sf):
+    coded = cw.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("person_id"),
+        (F.col("c_custkey") % 5 - 1).cast("int").alias("sex_code"),
+    )
+    return lookups.decode_sex(coded, "sex_code")
+
+
+@query(
+    """SELECT geo_id, ordinal, name, level, parent_id, lat, lon FROM geo_units"""
+)
+def stored_units(spark, sf):
+    """Units written without ordinal and with NaN for missing coordinates, read back."""
+    path = storage.new_folder(spark, "units")
+    geo = cw.world(spark, sf).geo.withColumn("lat", F.coalesce("lat", F.lit(float("nan"))))
+    geo.drop("ordinal").write.parquet(path)
+    return world_source.read_table(spark, path, "geo_units")
+
+
+@query("SELECT *, FALSE AS lost FROM memberships")
+def offset_lists(spark, sf):
+    """Memberships through their offset encoding and back."""
+    members = cw.world(spark, sf).memberships
+    sizes = cw.world(spark, sf).subsets.withColumn(
+        "order", F.col("venue_id") * 8 + F.col("subset_pos")
+    )
+    placed = ranking.prefix_sum(sizes, "order", value="member_count", name="start")
+    owners = ranking.prefix_sum(placed, "order", name="idx").select(
+        "idx", F.struct("venue_id", "subset_pos").alias("owner"), "start"
+    )
+    values = members.join(
+        owners.select("owner.venue_id", "owner.subset_pos", "start"), ["venue_id", "subset_pos"]
+    ).select((F.col("start") + F.col("seq")).alias("pos"), F.col("person_id").alias("value"))
+    return offsets.expand_offsets(owners, values).select(
+        "owner.venue_id",
+        "owner.subset_pos",
+        "seq",
+        F.col("value").alias("person_id"),
+        F.col("value").isNull().alias("lost"),
+    )
+
+
+@query(
+    """SELECT person_id, map_keys(m)[1] AS first_key, map_values(m)[1] AS first_value,
+              CAST(cardinality(m) AS INTEGER) AS entries
+       FROM (SELECT person_id, CASE WHEN person_id % 3 = 0 THEN MAP {'home': CAST(geo_id AS VARCHAR)}
+               ELSE MAP {'segment': segment, 'home': CAST(geo_id AS VARCHAR)} END AS m
+             FROM people)"""
+)
+def person_properties(spark, sf):
+    rows = cw.world(spark, sf).people.select(
+        "person_id",
+        F.when(F.col("person_id") % 3 != 0, F.col("segment")).alias("segment"),
+        F.col("geo_id").alias("home"),
+        F.col("income").alias("internal_id"),
+    )
+    folded = world_source.with_properties(
+        rows, ["segment", "home", "internal_id"], exclude=["internal_id"]
+    )
+    return folded.select(
+        "person_id",
+        F.map_keys("properties")[0].alias("first_key"),
+        F.map_values("properties")[0].alias("first_value"),
+        F.size("properties").alias("entries"),
+    )
+
+
+@query(
+    """SELECT geo_id, name, CASE WHEN level <> 'district' OR geo_id % 4 <> 3
+         THEN concat('The ', lower(name)) END AS display_name FROM geo_units"""
+)
+def display_names(spark, sf):
+    """Names through a CSV with padded, blank and repeated ids."""
+    path = storage.new_folder(spark, "names")
+    geo = cw.world(spark, sf).geo.where("level <> 'district' OR geo_id % 4 <> 3")
+    entry = F.struct(
+        F.concat(F.lit(" "), "name", F.lit(" ")).alias("Unit"),
+        F.concat(F.lit(" The "), F.lower("name")).alias("Name"),
+    )
+    stale = F.struct(F.col("name").alias("Unit"), F.lit("stale").alias("Name"))
+    blank = F.struct(F.lit("  ").alias("Unit"), F.col("name").alias("Name"))
+    geo.select(F.explode(F.array(stale, blank, entry)).alias("e")).select("e.*").write.csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    names = names_source.read_display_names(spark, path, "Unit", "Name")
+    return names_source.with_display_names(cw.world(spark, sf).geo, names).select(
+        "geo_id", "name", "display_name"
+    )
+
+
+@query("SELECT venue_id, geo_id FROM venue_geo")
+def venue_lookup(spark, sf):
+    return cw.event_log(spark, sf).venue_geo
+
+
+@query("SELECT person_id, geo_id FROM person_geo")
+def person_lookup(spark, sf):
+    return cw.event_log(spark, sf).person_geo
+
+
+@query("SELECT event_id, event_type, time, person_id, venue_id FROM world_events")
+def stored_events(spark, sf):
+    """Events stored per type, one type without a venue column and one with
+    ``hospital_id`` in its place."""
+    path = storage.new_folder(spark, "events")
+    events_in = cw.event_log(spark, sf).events
+    shapes = {
+        "error": events_in.drop("venue_id"),
+        "signup": events_in.withColumnRenamed("venue_id", "hospital_id"),
+    }
+    for kind, shaped in shapes.items():
+        shaped.where(F.col("event_type") == kind).drop("event_type").write.parquet(
+            f"{path}/event_type={kind}"
+        )
+    others = events_in.where(~F.col("event_type").isin(list(shapes)))
+    event_source.write_events(others, path, mode="append")
+    return event_source.read_events(spark, path).drop("hospital_id")
+
+
+@query()
+def level_geojson(spark, sf):
+    w = cw.world(spark, sf)
+    features = us.level_features(w, us.unit_stats(w, with_activities=False))
+    props = ["geo_id", "name", "level", "population", "venues_count", "venue_types"]
+    return geojson.geojson_features(features, props).select("geo_id", "level", "feature")
+
+
+@query(
+    """SELECT geo_id, level, lon, lat FROM geo_units WHERE lat IS NOT NULL"""
+)
+def geojson_round_trip(spark, sf):
+    """Features written per level and parsed back."""
+    path = storage.new_folder(spark, "geojson")
+    geojson.write_geojson(cw.world(spark, sf).geo, path, ["geo_id", "name"], by=["level"])
+    parsed = F.from_json(
+        "value",
+        "properties struct<geo_id: bigint>, geometry struct<coordinates: array<double>>",
+    )
+    return (
+        spark.read.schema("value string, level string")
+        .text(path)
+        .select("level", parsed.alias("f"))
+        .select(
+            "f.properties.geo_id",
+            "level",
+            F.col("f.geometry.coordinates")[0].alias("lon"),
+            F.col("f.geometry.coordinates")[1].alias("lat"),
+        )
+    )
+
+
+# --- streaming ----------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    """The events table as a stream: a glob, since a single file is no stream source."""
+    schema = cw.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+    return raw.select(
+        "event_type",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("person_id"),
+        F.expr(f.EVENT_VENUE).alias("venue_id"),
+    )
+
+
+def _replayed(spark, counts):
+    path = storage.new_folder(spark, "stream")
+    streaming.replay(counts, f"{path}/counts", f"{path}/checkpoint")
+    return spark.read.schema(counts.schema).parquet(f"{path}/counts")
+
+
+@query(
+    """SELECT CAST(floor(time) AS BIGINT) AS day, event_type, geo_id, count(*) AS n FROM located
+       GROUP BY floor(time), event_type, geo_id"""
+)
+def stream_daily_counts(spark, sf):
+    counts = streaming.stream_daily(_event_stream(spark, sf), cw.event_log(spark, sf))
+    day = F.floor(cw.days(F.col("window_start"))).alias("day")
+    return _replayed(spark, counts).select(day, "event_type", "geo_id", "n")
+
+
+@query(
+    """SELECT CAST(k AS BIGINT) AS start_day, event_type, geo_id, count(*) AS n
+       FROM located JOIN range(-10, 4000) AS r(k) ON time >= k AND time < k + 3
+       GROUP BY k, event_type, geo_id"""
+)
+def stream_rolling_counts(spark, sf):
+    counts = streaming.stream_rolling(
+        _event_stream(spark, sf), cw.event_log(spark, sf), width=3, step=1
+    )
+    start = F.floor(cw.days(F.col("window_start"))).alias("start_day")
+    return _replayed(spark, counts).select(start, "event_type", "geo_id", "n")
+
+
+@query("SELECT event_type, geo_id, count(*) AS n FROM located GROUP BY event_type, geo_id")
+def stream_running_totals(spark, sf):
+    return _replayed(
+        spark, streaming.stream_cumulative(_event_stream(spark, sf), cw.event_log(spark, sf))
+    )

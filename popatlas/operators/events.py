@@ -66,24 +66,41 @@ def of_types(events: DataFrame, types: Sequence[str] | None) -> DataFrame:
 def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False) -> DataFrame:
     """Add ``geo_id``: the unit of the venue, else of the person; neither → dropped.
 
-    Rows that the venue has located need no person. In case the person lookup is joined
-    by a shuffle they get spread-out keys that match nothing, so they do not pile up in
-    one partition.
+    Many events may have no venue, and those that the venue has located need no person.
+    Should a lookup be joined by a shuffle, such rows get spread-out keys that match
+    nothing, so that they do not pile up in one partition.
     """
-    venue = log.venue_side.select("venue_id", F.col("geo_id").alias("_venue_unit"))
-    person = log.person_side.select(
-        F.col("person_id").alias("_person"), F.col("geo_id").alias("_person_unit")
+    by_venue = _with_venue_unit(events, log)
+    wanted = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))
+    located = (
+        by_venue.withColumn("_key", _spread_key(events, wanted))
+        .join(_person_units(log), F.col("_key") == F.col("_person"), "left")
+        .select(*events.columns, F.coalesce("_venue_unit", "_person_unit").alias("geo_id"))
     )
-    by_venue = events.join(venue, "venue_id", "left")
-    spread = -1 - F.pmod(F.xxhash64("time", "person_id"), F.lit(_SPREAD))
-    key = F.when(F.col("_venue_unit").isNull() & F.col("person_id").isNotNull(), F.col("person_id"))
-    by_person = by_venue.withColumn("_key", F.coalesce(key, spread)).join(
-        person, F.col("_key") == F.col("_person"), "left"
+    return located if keep_unresolved else located.where(F.col("geo_id").isNotNull())
+
+
+def _spread_key(events: DataFrame, key: Column) -> Column:
+    """``key`` where it can match a lookup (ids are not negative), else a negative hash."""
+    about = [c for c in ("time", "ts", "person_id", "venue_id") if c in events.columns]
+    spread = -1 - F.pmod(F.xxhash64(*about), F.lit(_SPREAD))
+    return F.when(key >= 0, key).otherwise(spread)
+
+
+def _with_venue_unit(events: DataFrame, log: EventLog) -> DataFrame:
+    venue = log.venue_side.select(
+        F.col("venue_id").alias("_venue"), F.col("geo_id").alias("_venue_unit")
     )
-    located = by_person.select(
-        *events.columns, F.coalesce("_venue_unit", "_person_unit").alias("geo_id")
+    keyed = events.withColumn("_venue_key", _spread_key(events, F.col("venue_id")))
+    return keyed.join(venue, F.col("_venue_key") == F.col("_venue"), "left").drop(
+        "_venue_key", "_venue"
+    )
+
+
+def _person_units(log: EventLog) -> DataFrame:
+    return log.person_side.select(
+        F.col("person_id").alias("_person"), F.col("geo_id").alias("_person_unit")
     )
-    return located if keep_unresolved else located.where(F.col("geo_id").isNotNull())
 
 
 def count_by_unit(
@@ -103,18 +120,14 @@ def count_by_unit(
     if log.person_count <= BROADCAST_ROWS:
         located = resolve_geo(events, log)
         return located.groupBy(*by, "geo_id").agg(F.sum(n).cast("bigint").alias(name))
-    venue = log.venue_side.select("venue_id", F.col("geo_id").alias("_venue_unit"))
-    person = log.person_side.select(
-        F.col("person_id").alias("_person"), F.col("geo_id").alias("_person_unit")
-    )
     unplaced = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))
     partial = (
-        events.join(venue, "venue_id", "left")
+        _with_venue_unit(events, log)
         .groupBy(*by, "_venue_unit", unplaced.alias("_key"))
         .agg(F.sum(n).alias("_n"))
     )
     return (
-        partial.join(person, F.col("_key") == F.col("_person"), "left")
+        partial.join(_person_units(log), F.col("_key") == F.col("_person"), "left")
         .groupBy(*names, F.coalesce("_venue_unit", "_person_unit").alias("geo_id"))
         .agg(F.sum("_n").cast("bigint").alias(name))
         .where(F.col("geo_id").isNotNull())
