@@ -123,7 +123,7 @@ def geo_roots(spark, sf):
 )
 def geo_family(spark, sf):
     w = cw.world(spark, sf)
-    population = us.rollup(us.direct_population(w), w, [], n="population")
+    population = us.rollup(us.direct_population(w), w, [], n="population", counted=True)
     return hierarchy.family(w, population)
 
 
@@ -184,7 +184,7 @@ def activity_counts(spark, sf):
 @query("SELECT geo_id, population FROM unit_population")
 def population_rollup(spark, sf):
     w = cw.world(spark, sf)
-    return us.rollup(us.direct_population(w), w, [], n="population")
+    return us.rollup(us.direct_population(w), w, [], n="population", counted=True)
 
 
 @query(
@@ -278,9 +278,9 @@ def activity_shares(spark, sf):
     activity = us.activity_counts(w).select(
         "geo_id", F.lit("activity").alias("kind"), F.col("activity").alias("category"), "n"
     )
-    population = us.rollup(us.direct_population(w), w, [], n="population")
+    population = us.rollup(us.direct_population(w), w, [], n="population", counted=True)
     return us.shares(
-        us.rollup(activity, w, ["kind", "category"]),
+        us.rollup(activity, w, ["kind", "category"], counted=True),
         population.withColumnRenamed("population", "total"),
     )
 
@@ -294,14 +294,14 @@ def activity_shares(spark, sf):
 def venue_type_breakdown(spark, sf):
     w = cw.world(spark, sf)
     venues = us.venue_type_counts(w).withColumnRenamed("venue_type", "category")
-    return us.top_breakdown(us.rollup(venues, w, ["category"]), n=3)
+    return us.top_breakdown(us.rollup(venues, w, ["category"], counted=True), n=3)
 
 
 # --- world profile ------------------------------------------------------------------
 
 
 @query(
-    """SELECT count(*) AS total_people, round(avg(age), 2) AS mean_age, min(age) AS min_age,
+    """SELECT count(*) AS total_people, round_even((avg(age)) * 100.0e0, 0) / 100.0e0 AS mean_age, min(age) AS min_age,
               max(age) AS max_age FROM people"""
 )
 def population_summary(spark, sf):
@@ -321,7 +321,8 @@ def population_by_level(spark, sf):
     return profile.population_by_level(cw.world(spark, sf))
 
 
-_NUMERIC = """count(v) AS "count", round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std,
+_NUMERIC = """count(v) AS "count", round_even((avg(v)) * 10000.0e0, 0) / 10000.0e0 AS mean,
+    round_even((stddev_pop(v)) * 10000.0e0, 0) / 10000.0e0 AS std,
     min(v) AS "min", max(v) AS "max", quantile_cont(v, 0.25e0) AS p25,
     quantile_cont(v, 0.5e0) AS median, quantile_cont(v, 0.75e0) AS p75"""
 
@@ -338,7 +339,7 @@ def numeric_profile(spark, sf):
 
 @query(
     """SELECT property, value, n, total AS "count", unique_count, place,
-              round(100.0e0 * n / total, 2) AS percent
+              round_even((100.0e0 * n / total) * 100.0e0, 0) / 100.0e0 AS percent
        FROM (SELECT 'venue_id' AS property, CAST(venue_id AS VARCHAR) AS value, count(*) AS n,
                     CAST(sum(count(*)) OVER () AS BIGINT) AS total,
                     count(*) OVER () AS unique_count,
@@ -354,8 +355,8 @@ def categorical_profile(spark, sf):
 _LONG_PROFILE = """
     numeric_long AS (
       SELECT grp, property, 'numeric' AS kind, measure, CAST(NULL AS VARCHAR) AS category, amount
-      FROM (SELECT grp, property, CAST(count(v) AS DOUBLE) AS "count", round(avg(v), 4) AS mean,
-                   round(stddev_pop(v), 4) AS std, min(v) AS "min", max(v) AS "max",
+      FROM (SELECT grp, property, CAST(count(v) AS DOUBLE) AS "count", round_even((avg(v)) * 10000.0e0, 0) / 10000.0e0 AS mean,
+                   round_even((stddev_pop(v)) * 10000.0e0, 0) / 10000.0e0 AS std, min(v) AS "min", max(v) AS "max",
                    quantile_cont(v, 0.25e0) AS p25, quantile_cont(v, 0.5e0) AS median,
                    quantile_cont(v, 0.75e0) AS p75
             FROM numeric_cells GROUP BY grp, property)
@@ -371,7 +372,7 @@ _LONG_PROFILE = """
       UNION ALL SELECT grp, property, 'categorical', 'n', v, CAST(n AS DOUBLE)
         FROM category_counts WHERE place <= 25
       UNION ALL SELECT grp, property, 'categorical', 'percent', v,
-                       round(100.0e0 * n / CAST(total AS BIGINT), 2)
+                       round_even((100.0e0 * n / CAST(total AS BIGINT)) * 100.0e0, 0) / 100.0e0
         FROM category_counts WHERE place <= 25
       UNION ALL SELECT grp, property, 'categorical', 'count', NULL, CAST(total AS DOUBLE)
         FROM category_counts WHERE place = 1
@@ -405,7 +406,7 @@ def venue_profile(spark, sf):
 
 
 @query(
-    """SELECT round(avg(f), 2) AS mean, median(f) AS median, min(f) AS "min", max(f) AS "max",
+    """SELECT round_even((avg(f)) * 100.0e0, 0) / 100.0e0 AS mean, median(f) AS median, min(f) AS "min", max(f) AS "max",
               count(*) AS total_subsets, count(f) AS non_empty_subsets
        FROM (SELECT CASE WHEN member_count > 0 THEN member_count END AS f FROM subsets)"""
 )
@@ -424,11 +425,11 @@ def people_per_activity(spark, sf):
 
 @query(
     """SELECT count(DISTINCT person_id) AS active_people,
-              round(count(DISTINCT person_id || ' ' || activity)
-                    / count(DISTINCT person_id), 2) AS mean_activity_types,
-              round(count(*) / (SELECT count(*) FROM people), 2) AS mean_assignments,
-              round((SELECT avg(member_count - 1) FROM subsets WHERE member_count > 0)
-                    * (count(*) / (SELECT count(*) FROM people)), 1) AS mean_contacts_estimate
+              round_even((count(DISTINCT person_id || ' ' || activity)
+                / count(DISTINCT person_id)) * 100.0e0, 0) / 100.0e0 AS mean_activity_types,
+              round_even((count(*) / (SELECT count(*) FROM people)) * 100.0e0, 0) / 100.0e0 AS mean_assignments,
+              round_even(((SELECT avg(member_count - 1) FROM subsets WHERE member_count > 0)
+                * (count(*) / (SELECT count(*) FROM people))) * 10.0e0, 0) / 10.0e0 AS mean_contacts_estimate
        FROM activities"""
 )
 def activity_summary(spark, sf):
@@ -873,7 +874,9 @@ def event_frames(spark, sf):
 @query(
     """SELECT event_type, k AS frame, geo_id, count(*) AS n
        FROM located JOIN (
-         SELECT CAST(k AS BIGINT) AS k, round(t0 + k * 0.5e0, 6) AS ft FROM frame_bounds, range(0, 4000) AS r(k)
+         SELECT CAST(k AS BIGINT) AS k, 
+                round_even((t0 + k * 0.5e0) * 1000000.0e0, 0) / 1000000.0e0 AS ft
+         FROM frame_bounds, range(0, 4000) AS r(k)
          WHERE t0 + k * 0.5e0 <= t1 + 0.005e0) ON time <= ft AND time >= ft - 2.0e0
        GROUP BY event_type, k, geo_id"""
 )
@@ -884,7 +887,9 @@ def event_frames_overlapping(spark, sf):
 @query(
     """SELECT event_type, k AS frame, geo_id, count(*) AS n
        FROM located JOIN (
-         SELECT CAST(k AS BIGINT) AS k, round(t0 + k * 2.0e0, 6) AS ft FROM frame_bounds, range(0, 4000) AS r(k)
+         SELECT CAST(k AS BIGINT) AS k, 
+                round_even((t0 + k * 2.0e0) * 1000000.0e0, 0) / 1000000.0e0 AS ft
+         FROM frame_bounds, range(0, 4000) AS r(k)
          WHERE t0 + k * 2.0e0 <= t1 + 0.02e0) ON time <= ft AND time >= ft - 0.7e0
        GROUP BY event_type, k, geo_id"""
 )
@@ -980,7 +985,7 @@ def magnitudes(spark, sf):
 def population_classes(spark, sf):
     w = cw.world(spark, sf)
     return map_classes.population_classes(
-        us.rollup(us.direct_population(w), w, [], n="population")
+        us.rollup(us.direct_population(w), w, [], n="population", counted=True)
     )
 
 

@@ -110,7 +110,8 @@ CTES: dict[str, str] = {
         WHERE geo_id IN (SELECT geo_id FROM direct_people)""",
     "frame_bounds": "SELECT min(time) AS t0, max(time) AS t1 FROM world_events",
     "frame_times": """
-        SELECT CAST(k AS BIGINT) AS frame, round(t0 + k * 1.0e0, 6) AS frame_time
+        SELECT CAST(k AS BIGINT) AS frame, 
+               round_even((t0 + k * 1.0e0) * 1000000.0e0, 0) / 1000000.0e0 AS frame_time
         FROM frame_bounds, range(0, 4000) AS r(k) WHERE t0 + k * 1.0e0 <= t1 + 0.01e0""",
     "frames": """
         SELECT event_type, frame, geo_id, count(*) AS n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import formulas as f
 from popatlas.model import EventLog, World
 from popatlas.plans.ranking import prefix_sum
+from popatlas.plans.storage import stored
 from popatlas.sources.lookups import latest_lookup
 
 
@@ -115,17 +116,33 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class CheckWorld(World):
+    """The units, people and venues are projections of the given tables; the tables that
+    need joins are derived on first use and stored, as a world would be."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.max_depth = 8
+        self._given = (spark, sf_dir)
+        self.geo = geo_units(spark, sf_dir)
+        self.people = table(spark, sf_dir, "customer").selectExpr(*f.expressions(f.PEOPLE))
+        self.venues = table(spark, sf_dir, "supplier").selectExpr(*f.expressions(f.VENUES))
+
+    @cached_property
+    def subsets(self) -> DataFrame:
+        return stored(subsets(*self._given), "subsets")
+
+    @cached_property
+    def memberships(self) -> DataFrame:
+        return stored(memberships(*self._given), "memberships")
+
+    @cached_property
+    def activities(self) -> DataFrame:
+        return stored(activities(*self._given), "activities")
+
+
 @cache
 def world(spark: SparkSession, sf_dir: str) -> World:
-    customer = table(spark, sf_dir, "customer")
-    return World(
-        geo=geo_units(spark, sf_dir),
-        people=customer.selectExpr(*f.expressions(f.PEOPLE)),
-        venues=table(spark, sf_dir, "supplier").selectExpr(*f.expressions(f.VENUES)),
-        subsets=subsets(spark, sf_dir),
-        memberships=memberships(spark, sf_dir),
-        activities=activities(spark, sf_dir),
-    )
+    return CheckWorld(spark, sf_dir)
 
 
 def days(ts) -> F.Column:

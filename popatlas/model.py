@@ -113,7 +113,10 @@ class World:
 
 @dataclass
 class EventLog:
-    """Events ``(event_type, time, person_id, venue_id, …)`` and the id → unit lookups."""
+    """Events ``(event_type, time, person_id, venue_id, …)`` and the id → unit lookups.
+
+    The entries that can locate an event are picked once, counted and stored.
+    """
 
     events: DataFrame
     venue_geo: DataFrame
@@ -121,20 +124,30 @@ class EventLog:
 
     @cached_property
     def venue_side(self) -> DataFrame:
+        """``venue_id, geo_id`` to join, broadcast when small."""
         from popatlas.plans.sizing import sized_broadcast
+        from popatlas.plans.storage import stored
+
+        return sized_broadcast(stored(_usable(self.venue_geo, "venue_id"), "venue-units"))
+
+    @cached_property
+    def person_lookup(self) -> DataFrame:
+        """``person_id, geo_id`` to join."""
+        from popatlas.plans.storage import stored
 
-        return sized_broadcast(_usable(self.venue_geo, "venue_id"))
+        return stored(_usable(self.person_geo, "person_id"), "person-units")
 
     @cached_property
     def person_count(self) -> int:
-        return self.person_geo.count()
+        return self.person_lookup.count()
 
     @cached_property
     def person_side(self) -> DataFrame:
+        """:attr:`person_lookup`, broadcast when small."""
         from popatlas.plans.sizing import BROADCAST_ROWS
 
-        side = _usable(self.person_geo, "person_id")
-        return F.broadcast(side) if self.person_count <= BROADCAST_ROWS else side
+        small = self.person_count <= BROADCAST_ROWS
+        return F.broadcast(self.person_lookup) if small else self.person_lookup
 
 
 def _usable(lookup: DataFrame, key: str) -> DataFrame:

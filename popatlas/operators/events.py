@@ -154,7 +154,7 @@ def geo_cumulative(
 def rate_population(w: World) -> DataFrame:
     """``geo_id, population``: subtree populations, only of units with direct people."""
     direct = direct_population(w)
-    return rollup(direct, w, [], n="population").join(
+    return rollup(direct, w, [], n="population", counted=True).join(
         direct.select("geo_id"), "geo_id", "left_semi"
     )
 

@@ -91,14 +91,12 @@ def activity_map(
     A person with more than ``part_size`` assignments continues in further parts.
     """
     visit = F.struct("seq", "subset_name", "venue_id", "venue_name", "venue_type")
+    # One shuffle, by what all three groupings share.
     by_type = (
         person_activities(w, ids)
-        .groupBy(
-            "person_id",
-            F.expr(f"seq div {int(part_size)}").alias("part"),
-            "activity",
-            "venue_type",
-        )
+        .withColumn("part", F.expr(f"seq div {int(part_size)}"))
+        .repartition("person_id", "part")
+        .groupBy("person_id", "part", "activity", "venue_type")
         .agg(F.array_sort(F.collect_list(visit)).alias("visits"))
         .withColumn(
             "visits",

@@ -110,15 +110,18 @@ def activity_counts(w: World) -> DataFrame:
     )
 
 
-def rollup(measure: DataFrame, w: World, by: Sequence[str], n: str = "n") -> DataFrame:
+def rollup(
+    measure: DataFrame, w: World, by: Sequence[str], n: str = "n", counted: bool = False
+) -> DataFrame:
     """Sum an additive per-unit measure over each unit's subtree.
 
-    ``measure`` is aggregated per unit before it climbs, so the climb handles at most
-    units × categories rows whatever the number of facts.
+    ``measure`` is aggregated per unit before it climbs (unless it is ``counted`` already),
+    so the climb handles at most units × categories rows whatever the number of facts.
     """
-    per_unit = measure.groupBy("geo_id", *by).agg(F.sum(n).alias(n))
+    if not counted:
+        measure = measure.groupBy("geo_id", *by).agg(F.sum(n).alias(n))
     return (
-        with_ancestors(per_unit, w)
+        with_ancestors(measure, w)
         .groupBy(F.col("ancestor_id").alias("geo_id"), *by)
         .agg(F.sum(n).cast("bigint").alias(n))
     )
@@ -149,7 +152,8 @@ def unit_stats(
     ``has_stats`` is false for childless units without people, whose counts are all zero;
     with ``populated_only=False`` every unit has statistics.
     """
-    rolled = rollup(unit_measures(w, populated_only, with_activities), w, ["kind", "category"])
+    direct = unit_measures(w, populated_only, with_activities)
+    rolled = rollup(direct, w, ["kind", "category"], counted=True)
 
     def total(kind: str, category: str | None = None) -> Column:
         wanted = F.col("kind") == kind
