@@ -99,6 +99,13 @@ class World:
         paths = stored(unit_paths(self.geo, self.max_depth, self.unit_count), "unit-paths")
         return F.broadcast(paths) if self.unit_count <= BROADCAST_ROWS else paths
 
+    @cached_property
+    def activity_names(self) -> list[str] | None:
+        """The activity names in use, or None when they are no short list."""
+        from popatlas.plans.sets import short_list
+
+        return short_list(self.activities, "activity")
+
     @cached_property
     def unit_count(self) -> int:
         return self.geo.count()

@@ -66,10 +66,12 @@ def of_types(events: DataFrame, types: Sequence[str] | None) -> DataFrame:
 def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False) -> DataFrame:
     """Add ``geo_id``: the unit of the venue, else of the person; neither → dropped.
 
-    Many events may have no venue, and those that the venue has located need no person.
-    Should a lookup be joined by a shuffle, such rows get spread-out keys that match
-    nothing, so that they do not pile up in one partition.
+    With a person lookup too large to broadcast, only the events that their venue did not
+    place are shuffled to it; the others never leave their tasks for it.
     """
+    large = log.person_count > BROADCAST_ROWS
+    if large and not (keep_unresolved or events.isStreaming):
+        return _resolve_apart(events, log)
     by_venue = _with_venue_unit(events, log)
     wanted = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))
     located = (
@@ -80,8 +82,23 @@ def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False)
     return located if keep_unresolved else located.where(F.col("geo_id").isNotNull())
 
 
+def _resolve_apart(events: DataFrame, log: EventLog) -> DataFrame:
+    placed = events.where(F.col("venue_id") >= 0).join(log.venue_side, "venue_id")
+    known = log.venue_side.select(F.col("venue_id").alias("_venue"))
+    unplaced = events.withColumn("_key", _spread_key(events, F.col("venue_id"))).join(
+        known, F.col("_key") == F.col("_venue"), "left_anti"
+    )
+    by_person = unplaced.where(F.col("person_id") >= 0).join(log.person_side, "person_id")
+    columns = [*events.columns, "geo_id"]
+    return placed.select(*columns).unionByName(by_person.select(*columns))
+
+
 def _spread_key(events: DataFrame, key: Column) -> Column:
-    """``key`` where it can match a lookup (ids are not negative), else a negative hash."""
+    """``key`` where it can match a lookup (ids are not negative), else a negative hash.
+
+    Many events may have no venue, and in one pass those that a venue placed need no
+    person. In a shuffle join such rows would pile up under one key; the hash spreads them.
+    """
     about = [c for c in ("time", "ts", "person_id", "venue_id") if c in events.columns]
     spread = -1 - F.pmod(F.xxhash64(*about), F.lit(_SPREAD))
     return F.when(key >= 0, key).otherwise(spread)
@@ -103,35 +120,9 @@ def _person_units(log: EventLog) -> DataFrame:
     )
 
 
-def count_by_unit(
-    events: DataFrame,
-    log: EventLog,
-    by: Sequence[str | Column],
-    n: Column | None = None,
-    name: str = "n",
-) -> DataFrame:
-    """Sum ``n`` (1 per event) of located events per ``by`` and ``geo_id``.
-
-    When the person lookup is too large to broadcast, events are counted per (by, unit, or
-    person if no unit) before it is joined: what the venue located has then shrunk to units.
-    """
-    n = F.lit(1) if n is None else n
-    names = [b if isinstance(b, str) else events.select(b).columns[0] for b in by]
-    if log.person_count <= BROADCAST_ROWS:
-        located = resolve_geo(events, log)
-        return located.groupBy(*by, "geo_id").agg(F.sum(n).cast("bigint").alias(name))
-    unplaced = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))
-    partial = (
-        _with_venue_unit(events, log)
-        .groupBy(*by, "_venue_unit", unplaced.alias("_key"))
-        .agg(F.sum(n).alias("_n"))
-    )
-    return (
-        partial.join(_person_units(log), F.col("_key") == F.col("_person"), "left")
-        .groupBy(*names, F.coalesce("_venue_unit", "_person_unit").alias("geo_id"))
-        .agg(F.sum("_n").cast("bigint").alias(name))
-        .where(F.col("geo_id").isNotNull())
-    )
+def count_by_unit(events: DataFrame, log: EventLog, by: Sequence[str | Column]) -> DataFrame:
+    """``by, geo_id, n``: located events, counted map-side before they are shuffled."""
+    return resolve_geo(events, log).groupBy(*by, "geo_id").agg(F.count("*").alias("n"))
 
 
 def geo_counts(

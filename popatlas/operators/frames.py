@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from popatlas.functions.decode import has_coordinates
 from popatlas.functions.rounding import round_to
 from popatlas.model import EventLog, World
-from popatlas.operators.events import PER, count_by_unit, of_types, rate_population
+from popatlas.operators.events import (
+    PER,
+    count_by_unit,
+    of_types,
+    rate_population,
+    resolve_geo,
+)
+
+# Windows wider than this many steps are counted per run before they are spread.
+MANY_FRAMES = 2
 
 
 def _grid(log: EventLog, step: float) -> DataFrame:
@@ -46,9 +55,11 @@ def bake_frames(
 ) -> DataFrame:
     """``event_type, frame, geo_id, n``, only where n > 0: events within [t_k − width, t_k].
 
-    Each event falls in one run of consecutive frames. Events with the same type, unit and
-    run are counted first, and only those counts are spread over the frames of their run;
-    the closed bounds are tested exactly, on the frame times rounded to 6 decimals.
+    Each event falls in one run of consecutive frames, found by arithmetic; the closed
+    bounds are tested exactly, on the frame times rounded to 6 decimals. When windows
+    overlap a lot, events with the same type, unit and run are counted first and only
+    those counts are spread over the frames; otherwise an event has one or two frames and
+    a single aggregation does.
     """
     grid = _grid(log, step)
     t0, last = grid.select("t0").scalar(), grid.select("last").scalar()
@@ -71,15 +82,14 @@ def bake_frames(
     runs = timed.withColumn("_first", F.greatest(first, F.lit(0).cast("bigint"))).withColumn(
         "_final", F.least(past - 1, F.col("_last"))
     )
-    counted = count_by_unit(
-        runs.where(F.col("_first") <= F.col("_final")).drop("_t0", "_last"),
-        log,
-        ["event_type", "_first", "_final"],
-    )
+    inside = runs.where(F.col("_first") <= F.col("_final")).drop("_t0", "_last")
+    frame = F.explode(F.sequence("_first", "_final")).alias("frame")
+    if width <= MANY_FRAMES * step:
+        located = resolve_geo(inside.select("*", frame).drop("_first", "_final"), log)
+        return located.groupBy("event_type", "frame", "geo_id").agg(F.count("*").alias("n"))
+    counted = count_by_unit(inside, log, ["event_type", "_first", "_final"])
     return (
-        counted.select(
-            "event_type", "geo_id", F.explode(F.sequence("_first", "_final")).alias("frame"), "n"
-        )
+        counted.select("event_type", "geo_id", frame, "n")
         .groupBy("event_type", "frame", "geo_id")
         .agg(F.sum("n").cast("bigint").alias("n"))
     )

@@ -14,6 +14,7 @@ from popatlas.operators.hierarchy import subtree_rows
 from popatlas.operators.paging import all_pages, paginate
 from popatlas.plans.nesting import PART_SIZE
 from popatlas.plans.ranking import prefix_sum
+from popatlas.plans.sets import mask_of, names_in
 
 
 def _chosen(df: DataFrame, ids: Sequence[int] | DataFrame | None) -> DataFrame:
@@ -137,8 +138,24 @@ def primary_activity(w: World, name: str = "primary_activity") -> DataFrame:
     )
 
 
+def activity_masks(w: World) -> DataFrame:
+    """``person_id, mask, assignments``: the activities of each person as bits of
+    ``w.activity_names``, which must be a short list.
+
+    A mask is a plain long, so rows shrink to one per person before the shuffle.
+    """
+    return w.activities.groupBy("person_id").agg(
+        F.bit_or(mask_of("activity", w.activity_names)).alias("mask"),
+        F.count("*").alias("assignments"),
+    )
+
+
 def activity_types(w: World) -> DataFrame:
     """``person_id, activities``: sorted activity names; a set no longer than the names."""
+    if w.activity_names is not None:
+        return activity_masks(w).select(
+            "person_id", names_in("mask", w.activity_names).alias("activities")
+        )
     return w.activities.groupBy("person_id").agg(
         F.array_sort(F.collect_set("activity")).alias("activities")
     )
@@ -156,22 +173,27 @@ def unit_people(
     With ``unit`` and ``page`` one page; otherwise every listed row with rank and page,
     of one unit or of all units (``ancestor_id``).
     """
-    keys = w.people.select("person_id", "geo_id", "ordinal")
-    if descendants:
-        listed = subtree_rows(keys, w, unit)
-    else:
-        direct = keys if unit is None else keys.where(F.col("geo_id") == unit)
-        listed = direct.join(w.units.select("geo_id"), "geo_id", "left_semi").withColumn(
+    def listing(people: DataFrame) -> DataFrame:
+        if descendants:
+            return subtree_rows(people, w, unit)
+        direct = people if unit is None else people.where(F.col("geo_id") == unit)
+        return direct.join(w.units.select("geo_id"), "geo_id", "left_semi").withColumn(
             "ancestor_id", F.col("geo_id")
         )
+
+    shown = ["ancestor_id", "person_id", "age", "sex", "rank", "page"]
     if unit is None or page is None:
+        listed = listing(w.people.select("person_id", "geo_id", "ordinal", "age", "sex"))
         rows = all_pages(listed, per_page=per_page, keys=["ancestor_id"], ties=["person_id"])
-    else:
-        rows = paginate(listed, page=page, per_page=per_page, ties=["person_id"])
-        # A page is at most 200 rows, whatever the listing.
-        rows = F.broadcast(rows.withColumn("page", F.lit(clamp_page(page)).cast("bigint")))
+        return rows.select(*shown)
+    # One page: rank the ids alone, then look up the attributes of at most 200 rows.
+    listed = listing(w.people.select("person_id", "geo_id", "ordinal"))
+    rows = paginate(listed, page=page, per_page=per_page, ties=["person_id"])
+    rows = rows.select("ancestor_id", "person_id", "rank").withColumn(
+        "page", F.lit(clamp_page(page)).cast("bigint")
+    )
     attributes = w.people.select("person_id", "age", "sex")
-    return attributes.join(rows.select("ancestor_id", "person_id", "rank", "page"), "person_id")
+    return attributes.join(F.broadcast(rows), "person_id").select(*shown)
 
 
 def first_people(w: World, n: int = DEFAULT_PER_PAGE) -> DataFrame:

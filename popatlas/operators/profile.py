@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from popatlas.functions.decode import literal_rows
 from popatlas.functions.rounding import round_to
 from popatlas.model import World, property_columns
+from popatlas.operators.people import activity_masks
 from popatlas.plans.quantiles import exact_quantiles
+from popatlas.plans.sets import count_names
 
 TOP_VALUES = 25
 QUARTILES = {0.25: "p25", 0.5: "median", 0.75: "p75"}
@@ -188,26 +190,38 @@ def subset_sizes(w: World) -> DataFrame:
 
 def people_per_activity(w: World, names: Sequence[str]) -> DataFrame:
     """``activity, people``: 0 for names that nobody uses."""
-    used = (
-        w.activities.select("person_id", "activity")
-        .distinct()
-        .groupBy("activity")
-        .agg(F.count("*").alias("_n"))
-    )
+    if w.activity_names is not None:
+        used = count_names(activity_masks(w), "mask", w.activity_names, [], "activity", "_n")
+    else:
+        used = (
+            w.activities.select("person_id", "activity")
+            .distinct()
+            .groupBy("activity")
+            .agg(F.count("*").alias("_n"))
+        )
     listed = w.activities.sparkSession.range(1).select(literal_rows(names).alias("activity"))
     return listed.join(used, "activity", "left").select(
         "activity", F.coalesce("_n", F.lit(0)).cast("bigint").alias("people")
     )
 
 
+def _types_per_person(w: World) -> DataFrame:
+    """``person_id, types, rows``: distinct activities and assignments."""
+    if w.activity_names is not None:
+        return activity_masks(w).select(
+            "person_id", F.bit_count("mask").alias("types"), F.col("assignments").alias("rows")
+        )
+    per_pair = w.activities.groupBy("person_id", "activity").agg(F.count("*").alias("rows"))
+    return per_pair.groupBy("person_id").agg(
+        F.count("*").alias("types"), F.sum("rows").alias("rows")
+    )
+
+
 def activity_summary(w: World) -> DataFrame:
     """One row: people with any activity, mean distinct activities per active person, mean
     assignments per person, and the contacts estimate: the mean of (size − 1) over
     non-empty subsets, times the assignments per person."""
-    per_pair = w.activities.groupBy("person_id", "activity").agg(F.count("*").alias("rows"))
-    per_person = per_pair.groupBy("person_id").agg(
-        F.count("*").alias("types"), F.sum("rows").alias("rows")
-    )
+    per_person = _types_per_person(w)
     people = w.people.agg(F.count("*").alias("n")).select("n").scalar()
     others = (
         w.subsets.where("member_count > 0")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from popatlas.functions.decode import has_coordinates
 from popatlas.model import AGE_BREAKS, AGE_LABELS, World
 from popatlas.operators.hierarchy import child_counts, with_ancestors
+from popatlas.operators.people import activity_masks
+from popatlas.plans.sets import count_names
 
 ALL = "all"
 
@@ -100,14 +102,18 @@ def venue_type_counts(w: World, populated_only: bool = True) -> DataFrame:
 
 def activity_counts(w: World) -> DataFrame:
     """``geo_id, activity, n``: people of the unit taking part, each counted once."""
-    takes_part = w.activities.select("person_id", "activity").distinct()
     homes = w.people.select("person_id", "geo_id")
-    return _in_known_units(
+    if w.activity_names is not None:
+        masks = activity_masks(w).select("person_id", "mask").join(homes, "person_id")
+        counts = count_names(masks, "mask", w.activity_names, ["geo_id"], "activity", "n")
+        return _in_known_units(counts.where("n > 0"), w)
+    takes_part = w.activities.select("person_id", "activity").distinct()
+    counts = (
         takes_part.join(homes, "person_id")
         .groupBy("geo_id", "activity")
-        .agg(F.count("*").alias("n")),
-        w,
+        .agg(F.count("*").alias("n"))
     )
+    return _in_known_units(counts, w)
 
 
 def rollup(

@@ -151,20 +151,27 @@ def unit_venues(
     rows only. Without ``unit``: the listing of every unit (``ancestor_id``), each row
     with its rank and page.
     """
-    keys = _top_level(w, venue_type).select("venue_id", "geo_id", "ordinal")
-    listed = subtree_rows(keys, w, unit)
+    def attributed(venues: DataFrame) -> DataFrame:
+        return venues.join(venue_child_totals(w), "venue_id").join(
+            _unit_names(w), "geo_id", "left"
+        )
+
+    venues = _top_level(w, venue_type)
+    columns = ["venue_id", "name", "venue_type", "geo_id", "lat", "lon"]
+    totals = ["child_count", "total_child_members", "unit"]
+    shown = [*columns, *totals, "ancestor_id", "rank", "page"]
     if unit is None or page is None:
+        listed = subtree_rows(attributed(venues.select(*columns, "ordinal")), w, unit)
         rows = all_pages(listed, per_page=per_page, keys=["ancestor_id"], ties=["venue_id"])
-    else:
-        rows = paginate(listed, page=page, per_page=per_page, ties=["venue_id"])
-        # A page is at most 200 rows, whatever the listing.
-        rows = F.broadcast(rows.withColumn("page", F.lit(clamp_page(page)).cast("bigint")))
-    attributes = (
-        w.venues.select("venue_id", "name", "venue_type", "geo_id", "lat", "lon")
-        .join(venue_child_totals(w), "venue_id")
-        .join(_unit_names(w), "geo_id", "left")
+        return rows.select(*shown)
+    # One page: rank the ids alone, then look up the attributes of at most 200 rows.
+    listed = subtree_rows(venues.select("venue_id", "geo_id", "ordinal"), w, unit)
+    rows = paginate(listed, page=page, per_page=per_page, ties=["venue_id"])
+    rows = rows.select("ancestor_id", "venue_id", "rank").withColumn(
+        "page", F.lit(clamp_page(page)).cast("bigint")
     )
-    return attributes.join(rows.select("ancestor_id", "venue_id", "rank", "page"), "venue_id")
+    wanted = w.venues.select(*columns).join(F.broadcast(rows), "venue_id")
+    return attributed(wanted).select(*shown)
 
 
 def venue_children(
