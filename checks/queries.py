@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return build(spark, sf_dir.rstrip("/"))
+            return build(spark, str(sf_dir).rstrip("/"))
 
         QUERIES[name] = run
         if sql is not None:

@@ -93,11 +93,11 @@ class World:
         Nearly every operator climbs the tree, so the paths are worked out once and stored.
         """
         from popatlas.plans.paths import unit_paths
-        from popatlas.plans.sizing import BROADCAST_ROWS
+        from popatlas.plans.sizing import sized_broadcast
         from popatlas.plans.storage import stored
 
         paths = stored(unit_paths(self.geo, self.max_depth, self.unit_count), "unit-paths")
-        return F.broadcast(paths) if self.unit_count <= BROADCAST_ROWS else paths
+        return sized_broadcast(paths, self.unit_count)
 
     @cached_property
     def activity_names(self) -> list[str] | None:
@@ -113,9 +113,9 @@ class World:
     @cached_property
     def units(self) -> DataFrame:
         """The unit table, hinted for broadcast when its counted size allows."""
-        from popatlas.plans.sizing import BROADCAST_ROWS
+        from popatlas.plans.sizing import sized_broadcast
 
-        return F.broadcast(self.geo) if self.unit_count <= BROADCAST_ROWS else self.geo
+        return sized_broadcast(self.geo, self.unit_count)
 
 
 @dataclass
@@ -151,10 +151,9 @@ class EventLog:
     @cached_property
     def person_side(self) -> DataFrame:
         """:attr:`person_lookup`, broadcast when small."""
-        from popatlas.plans.sizing import BROADCAST_ROWS
+        from popatlas.plans.sizing import sized_broadcast
 
-        small = self.person_count <= BROADCAST_ROWS
-        return F.broadcast(self.person_lookup) if small else self.person_lookup
+        return sized_broadcast(self.person_lookup, self.person_count)
 
 
 def _usable(lookup: DataFrame, key: str) -> DataFrame:

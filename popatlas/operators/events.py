@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from popatlas.functions.decode import has_coordinates, literal_rows
 from popatlas.model import EventLog, World
 from popatlas.operators.unit_stats import direct_population, rollup
-from popatlas.plans.sizing import BROADCAST_ROWS
+from popatlas.plans.sizing import fits
 
 PER = 100_000
 _SPREAD = 1 << 20
@@ -69,8 +69,7 @@ def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False)
     With a person lookup too large to broadcast, only the events that their venue did not
     place are shuffled to it; the others never leave their tasks for it.
     """
-    large = log.person_count > BROADCAST_ROWS
-    if large and not (keep_unresolved or events.isStreaming):
+    if not (fits(log.person_count) or keep_unresolved or events.isStreaming):
         return _resolve_apart(events, log)
     by_venue = _with_venue_unit(events, log)
     wanted = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))

@@ -54,11 +54,14 @@ def subtree_rows(facts: DataFrame, w: World, unit: int | None = None) -> DataFra
 def roots(w: World) -> DataFrame:
     """Units without a parent, and orphans, whose parent is absent (``is_orphan``)."""
     known = w.units.select(F.col("geo_id").alias("_known"))
-    return (
-        w.geo.join(known, F.col("parent_id") == F.col("_known"), "left_anti")
-        .select("geo_id", "name", "level", "parent_id")
-        .withColumn("is_orphan", F.col("parent_id") != NO_PARENT)
+    units = w.geo.select("geo_id", "name", "level", "parent_id")
+    top = units.where(F.col("parent_id") == NO_PARENT).withColumn("is_orphan", F.lit(False))
+    orphans = (
+        units.where(F.col("parent_id") != NO_PARENT)
+        .join(known, F.col("parent_id") == F.col("_known"), "left_anti")
+        .withColumn("is_orphan", F.lit(True))
     )
+    return top.unionByName(orphans)
 
 
 def subtree_sizes(w: World) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popatlas.functions.paging import DEFAULT_PER_PAGE, page_of
 from popatlas.model import NO_PARENT, World
 from popatlas.plans.ranking import prefix_sum
+from popatlas.plans.sizing import sized_broadcast
 
 
 def _direct_positions(
@@ -28,8 +29,12 @@ def _direct_positions(
         .select("_unit", *extra, F.explode("path").alias("_listing"))
         .join(holders.select(F.col("geo_id").alias("_listing"), *extra), keys, "left_semi")
     )
+    listings = listings.select(F.col("_unit").alias("geo_id"), "_listing", *extra)
+    if not extra:
+        # A unit is in the listings of its path only, which bounds their number.
+        listings = sized_broadcast(listings, w.unit_count * (w.max_depth + 1))
     listed = facts.select("geo_id", identifier, "ordinal", *extra).join(
-        listings.select(F.col("_unit").alias("geo_id"), "_listing", *extra), ["geo_id", *extra]
+        listings, ["geo_id", *extra]
     )
     ranked = prefix_sum(listed, "ordinal", keys=keys, ties=[identifier])
     return ranked.where(F.col("_listing") == F.col("geo_id")).select(identifier, "rank")

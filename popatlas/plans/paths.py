@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popatlas.model import NO_PARENT
-from popatlas.plans.sizing import BROADCAST_ROWS, sized_broadcast
+from popatlas.plans.sizing import fits, sized_broadcast
 
 
 def _links(geo: DataFrame, unit_count: int) -> DataFrame:
@@ -16,7 +16,7 @@ def _links(geo: DataFrame, unit_count: int) -> DataFrame:
         F.col("geo_id").alias("_id"),
         F.when(F.col("parent_id") != NO_PARENT, F.col("parent_id")).alias("_up"),
     )
-    if unit_count <= BROADCAST_ROWS:
+    if fits(unit_count):
         return F.broadcast(links)
     inner = geo.select(F.col("parent_id").alias("_id")).distinct()
     return sized_broadcast(links.join(inner, "_id", "left_semi"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popatlas.plans.sizing import BROADCAST_ROWS
+from popatlas.plans.sizing import sized_broadcast
 
 ACCURACY = 100_000
 
@@ -54,8 +54,7 @@ def exact_quantiles(
     if keys:
         if groups is None:
             groups = df.select(*keys).distinct().count()
-        side = F.broadcast(brackets) if groups <= BROADCAST_ROWS else brackets
-        paired = rows.join(side, keys)
+        paired = rows.join(sized_broadcast(brackets, groups), keys)
     else:
         paired = rows.withColumn("_brackets", brackets.scalar())
     zone = (

@@ -37,7 +37,7 @@ def prefix_sum(
     value: str | None = None,
     keys: Sequence[str] = (),
     ties: Sequence[str] = (),
-    width: int = BUCKET_WIDTH,
+    width: int | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """Add the sum of ``value`` over the earlier rows of the group; without ``value``, the
@@ -48,7 +48,7 @@ def prefix_sum(
     and shifted by the total of the slices before it, so a group with a third of all rows
     is spread over as many tasks as it has slices.
     """
-    keys = list(keys)
+    keys, width = list(keys), width or BUCKET_WIDTH
     amount = F.lit(1) if value is None else F.col(value)
     offsets = bucket_offsets(df, order, keys, amount, width).drop("_sum")
     within = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
@@ -73,7 +73,7 @@ def rank_slice(
     stop: int,
     *,
     ties: Sequence[str] = (),
-    width: int = BUCKET_WIDTH,
+    width: int | None = None,
     name: str = "rank",
 ) -> DataFrame:
     """The rows ranked ``[start, stop)`` by ``order``, with their rank.
@@ -81,6 +81,7 @@ def rank_slice(
     Only the order slices that overlap the range are sorted. Each of them holds at least
     one wanted row, so at most ``stop - start`` slice rows are broadcast.
     """
+    width = width or BUCKET_WIDTH
     touched = (
         bucket_offsets(df, order, [], F.lit(1), width)
         .where((F.col("_offset") < stop) & (F.col("_offset") + F.col("_sum") > start))

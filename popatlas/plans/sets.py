@@ -39,6 +39,9 @@ def count_names(
     df: DataFrame, mask: str, names: Sequence[str], by: Sequence[str], name: str, n: str
 ) -> DataFrame:
     """``by, name, n``: rows per group that have each bit, in one aggregation."""
+    if not names:
+        none = F.lit(None).cast("string").alias(name), F.lit(None).cast("bigint").alias(n)
+        return df.select(*by, *none).where(F.lit(False))
     counts = df.groupBy(*by).agg(
         *[F.count_if(has_bit(mask, i)).alias(f"_c{i}") for i in range(len(names))]
     )

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast when a count shows it is small, else leave the choice
-    of a shuffle join (with skew splitting) to the optimizer."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def fits(rows: int) -> bool:
+    """Whether a counted number of rows may be broadcast."""
+    return rows <= BROADCAST_ROWS
+
+
+def sized_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Hint ``df`` for broadcast when its row count (counted unless known) is small, else
+    leave the choice of a shuffle join, with skew splitting, to the optimizer."""
+    return F.broadcast(df) if fits(df.count() if rows is None else rows) else df

@@ -11,9 +11,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """``spark.checkpoint.dir`` of the session. Without it a local session gets a folder
-    of its own; on a cluster there is none, since no machine-local folder would do."""
+    """``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.
+    Without one a local session gets a folder of its own; on a cluster there is none, since
+    no machine-local folder would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
