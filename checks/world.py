@@ -117,16 +117,19 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class CheckWorld(World):
-    """The units, people and venues are projections of the given tables; the tables that
-    need joins are derived on first use and stored, as a world would be."""
+    """People and venues are projections of the given tables; the tables that need unions
+    or joins are derived on first use and stored, as a world would be."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.max_depth = 8
         self._given = (spark, sf_dir)
-        self.geo = geo_units(spark, sf_dir)
         self.people = table(spark, sf_dir, "customer").selectExpr(*f.expressions(f.PEOPLE))
         self.venues = table(spark, sf_dir, "supplier").selectExpr(*f.expressions(f.VENUES))
 
+    @cached_property
+    def geo(self) -> DataFrame:
+        return stored(geo_units(*self._given), "geo-units")
+
     @cached_property
     def subsets(self) -> DataFrame:
         return stored(subsets(*self._given), "subsets")
