@@ -129,13 +129,25 @@ class EventLog:
     venue_geo: DataFrame
     person_geo: DataFrame
 
+    @cached_property
+    def venue_lookup(self) -> DataFrame:
+        """``venue_id, geo_id`` to join. Stored columns are nullable again; with that
+        restated, all joins share one build side."""
+        from popatlas.plans.storage import stored
+
+        lookup = stored(_usable(self.venue_geo, "venue_id"), "venue-units")
+        return lookup.where("venue_id IS NOT NULL AND geo_id IS NOT NULL")
+
+    @cached_property
+    def venue_count(self) -> int:
+        return self.venue_lookup.count()
+
     @cached_property
     def venue_side(self) -> DataFrame:
-        """``venue_id, geo_id`` to join, broadcast when small."""
+        """:attr:`venue_lookup`, broadcast when small."""
         from popatlas.plans.sizing import sized_broadcast
-        from popatlas.plans.storage import stored
 
-        return sized_broadcast(stored(_usable(self.venue_geo, "venue_id"), "venue-units"))
+        return sized_broadcast(self.venue_lookup, self.venue_count)
 
     @cached_property
     def person_lookup(self) -> DataFrame:

@@ -74,7 +74,7 @@ def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False)
     by_venue = _with_venue_unit(events, log)
     wanted = F.when(F.col("_venue_unit").isNull(), F.col("person_id"))
     located = (
-        by_venue.withColumn("_key", _spread_key(events, wanted))
+        by_venue.withColumn("_key", _join_key(events, wanted, log.person_count))
         .join(_person_units(log), F.col("_key") == F.col("_person"), "left")
         .select(*events.columns, F.coalesce("_venue_unit", "_person_unit").alias("geo_id"))
     )
@@ -82,22 +82,25 @@ def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False)
 
 
 def _resolve_apart(events: DataFrame, log: EventLog) -> DataFrame:
-    placed = events.where(F.col("venue_id") >= 0).join(log.venue_side, "venue_id")
-    known = log.venue_side.select(F.col("venue_id").alias("_venue"))
-    unplaced = events.withColumn("_key", _spread_key(events, F.col("venue_id"))).join(
-        known, F.col("_key") == F.col("_venue"), "left_anti"
+    """Both branches join the same venue side, which is broadcast once if it is small."""
+    by_venue = _with_venue_unit(events, log)
+    placed = by_venue.where(F.col("_venue_unit").isNotNull()).select(
+        *events.columns, F.col("_venue_unit").alias("geo_id")
     )
-    by_person = unplaced.where(F.col("person_id") >= 0).join(log.person_side, "person_id")
-    columns = [*events.columns, "geo_id"]
-    return placed.select(*columns).unionByName(by_person.select(*columns))
+    unplaced = by_venue.where(F.col("_venue_unit").isNull() & (F.col("person_id") >= 0))
+    by_person = unplaced.drop("_venue_unit").join(log.person_side, "person_id")
+    return placed.unionByName(by_person.select(*events.columns, "geo_id"))
 
 
-def _spread_key(events: DataFrame, key: Column) -> Column:
-    """``key`` where it can match a lookup (ids are not negative), else a negative hash.
+def _join_key(events: DataFrame, key: Column, lookup_rows: int) -> Column:
+    """``key``, made fit for a shuffle join if the lookup is too large to broadcast.
 
     Many events may have no venue, and in one pass those that a venue placed need no
-    person. In a shuffle join such rows would pile up under one key; the hash spreads them.
+    person. Such rows would pile up under one key. They get a negative hash, which spreads
+    them and matches nothing, since the ids of a lookup are not negative.
     """
+    if fits(lookup_rows):
+        return key
     about = [c for c in ("time", "ts", "person_id", "venue_id") if c in events.columns]
     spread = -1 - F.pmod(F.xxhash64(*about), F.lit(_SPREAD))
     return F.when(key >= 0, key).otherwise(spread)
@@ -107,7 +110,8 @@ def _with_venue_unit(events: DataFrame, log: EventLog) -> DataFrame:
     venue = log.venue_side.select(
         F.col("venue_id").alias("_venue"), F.col("geo_id").alias("_venue_unit")
     )
-    keyed = events.withColumn("_venue_key", _spread_key(events, F.col("venue_id")))
+    key = _join_key(events, F.col("venue_id"), log.venue_count)
+    keyed = events.withColumn("_venue_key", key)
     return keyed.join(venue, F.col("_venue_key") == F.col("_venue"), "left").drop(
         "_venue_key", "_venue"
     )
