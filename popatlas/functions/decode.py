@@ -37,11 +37,6 @@ def has_coordinates() -> Column:
     return F.col("lat").isNotNull() & ~F.isnan("lat")
 
 
-def lon_lat() -> Column:
-    """Coordinates in GeoJSON order, NULL when the record has none."""
-    return F.when(has_coordinates(), F.array("lon", "lat"))
-
-
 def text_or_id(text: Column, identifier: Column) -> Column:
     """A looked-up name, or the id as text when the lookup found nothing."""
     return F.coalesce(text, identifier.cast("string"))
