@@ -1,9 +1,10 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the local cores. Every
-query is run twice and the second, warm run is reported; results go to a ``noop`` sink,
-so all rows are computed and none is collected. Arguments select queries; ``all`` runs
-every registered one.
+query is run twice and the faster run is reported. That leaves out what the first run
+alone does: deriving and storing the check tables and the unit paths. Results go to a
+``noop`` sink, so all rows are computed and none is collected. Arguments select queries;
+``all`` runs every registered one.
 """
 
 from __future__ import annotations
