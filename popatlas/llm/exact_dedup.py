@@ -30,6 +30,7 @@ def frequent_keys(df: DataFrame, key: str, tracked: int = TRACKED) -> DataFrame:
         df.select(F.col(key).alias("k"), fan)
         .groupBy("fan")
         .agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"))
+        .groupBy(F.lit(0).alias("all"))  # keyed: empty partitions send no sketch, which none can merge
         .agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     )
     found = merged.select(F.expr(f"inline(approx_top_k_estimate(s, {tracked}))"))
