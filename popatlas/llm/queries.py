@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popatlas.llm import chat_format, exact_dedup, sharding
+from popatlas.llm import chat_format, exact_dedup, sharding, simhash
 
 SHARDS = 40
 
@@ -36,5 +36,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.preference_pairs(turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op8_chat_format)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, limit=4)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_sharding,
+        op8_chat_format,
+        op9_simhash,
+    )
+}
 ORACLES: dict[str, str] = {}
