@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popatlas.llm import chat_format, exact_dedup, sharding, simhash
+from popatlas.llm import chat_format, exact_dedup, packing, quality, sharding, simhash
 
 SHARDS = 40
 
@@ -31,6 +32,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.adjacent_pairs(table(spark, sf_dir, "conversations"))
     return chat_format.preference_pairs(turns)
@@ -45,6 +56,8 @@ QUERIES = {
     for f in (
         op1_exact_dedup,
         op2_sharding,
+        op4_quality,
+        op6_packing,
         op8_chat_format,
         op9_simhash,
     )
