@@ -1,7 +1,9 @@
 """Packing: token windows of near-equal fill by Karmarkar-Karp differencing.
 
-A document is its ids and an end id. Whole windows are cut off its front; what remains is
-one piece. Remaining pieces are dealt by a hash and packed in groups of ``GROUP``: each
+A document is its ids and an end id. Whole windows are cut off its front; of what remains,
+the last ids beyond a multiple of ``TAIL`` are a piece of their own. These short tails let
+the fills come out nearly equal, where long pieces alone would leave percents of padding.
+Remaining pieces are dealt by a hash and packed in groups of ``GROUP``: each
 piece starts as a partition with one filled window; the two partitions with the largest
 difference between fullest and emptiest window are merged, the fuller windows of one with
 the emptier ones of the other, until one is left. It starts with the fewest windows that
@@ -28,7 +30,8 @@ from popatlas.llm.common import whole_text
 from popatlas.llm.tokens import END_ID, encoder
 
 WINDOW = 2048
-GROUP = 2048
+GROUP = 4096
+TAIL = 128
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECE + ", sequence_id long, offset long"
@@ -81,6 +84,15 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         windows += 1
 
 
+def cuts(n: int, window: int) -> list[int]:
+    """Where the pieces of ``n`` ids start and end."""
+    whole, rest = divmod(n, window)
+    at = [window * i for i in range(whole + 1)]
+    if rest > TAIL:
+        at.append(n - rest % TAIL)
+    return sorted({*at, n})
+
+
 def _pieces(path: str, window: int, with_ids: bool):
     end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -91,8 +103,8 @@ def _pieces(path: str, window: int, with_ids: bool):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = memoryview(encode(text.as_py()) + end)
                 n = len(ids) // 4
-                for start in range(0, n, window):
-                    stop = min(n, start + window)
+                at = cuts(n, window)
+                for start, stop in zip(at, at[1:], strict=False):
                     part = ids[4 * start : 4 * stop]
                     row = (doc, start, stop - start, crc32(part), n)
                     rows.append((*row, bytes(part)) if with_ids else row)
