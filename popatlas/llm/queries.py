@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popatlas.llm import chat_format, exact_dedup, packing, quality, sharding, simhash
+from popatlas.llm import chat_format, exact_dedup, packing, quality, sharding, simhash, token_files
+from popatlas.plans.storage import new_folder
 
 SHARDS = 40
 
@@ -32,6 +33,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, path)
+    return token_files.token_index(spark, path)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +64,7 @@ QUERIES = {
     for f in (
         op1_exact_dedup,
         op2_sharding,
+        op3_token_files,
         op4_quality,
         op6_packing,
         op8_chat_format,

@@ -10,34 +10,56 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-WORDS = 400_000
+WORDS = 800_000
 END_ID = 1
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
+# Letters of ASCII and Latin-1, then signs other than the apostrophe: a word that normalizing
+# only lower-cases and splitting takes for these two parts.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class _Pieces(dict):
+    """Ids of one part of a split word."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= WORDS // 2:
+            self.clear()
+        shown = piece if piece.isascii() else self.split(piece)[0][0]
+        self[piece] = out = tuple([t.id for t in self.model.tokenize(shown)])
+        return out
+
+
 class _Words(dict):
     """Ids of a word as bytes, made when first asked for."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        stem = word[:-1] if word[-1] in ".," else word
-        if stem.isascii() and stem.isalpha():
-            # One run of letters, and a sign: what normalizing and splitting leave of it.
-            parts = [stem.lower()] if stem is word else [stem.lower(), word[-1]]
-            ids = [t.id for p in parts for t in self.model.tokenize(p)]
+        plain = _PLAIN(word)
+        if plain:
+            letters, signs = plain.groups()
+            ids = self.pieces[letters.lower()]
+            if signs:
+                ids += self.pieces[signs]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, dtype="<u4").tobytes()
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
