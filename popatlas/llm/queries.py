@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popatlas.llm import chat_format, exact_dedup, packing, quality, sharding, simhash, token_files
+from popatlas.llm import (
+    bpe,
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    token_files,
+)
 from popatlas.plans.storage import new_folder
 
 SHARDS = 40
@@ -45,11 +55,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode_ids(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.adjacent_pairs(table(spark, sf_dir, "conversations"))
     return chat_format.preference_pairs(turns)
@@ -66,7 +92,9 @@ QUERIES = {
         op2_sharding,
         op3_token_files,
         op4_quality,
+        op5_bpe,
         op6_packing,
+        op7_embedding_dedup,
         op8_chat_format,
         op9_simhash,
     )
