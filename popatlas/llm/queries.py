@@ -11,6 +11,7 @@ from popatlas.llm import (
     chat_format,
     embedding_dedup,
     exact_dedup,
+    html_extract,
     packing,
     quality,
     sharding,
@@ -85,6 +86,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, limit=4)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES = {
         op7_embedding_dedup,
         op8_chat_format,
         op9_simhash,
+        op10_html_extract,
     )
 }
 ORACLES: dict[str, str] = {}
