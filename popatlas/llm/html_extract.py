@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from popatlas.llm.html_tree import TEXT, Node, parse
 from popatlas.llm.runs import whole_runs
+from popatlas.plans.storage import stored
 
 PAGES = 400
 BYTES = 16 << 20
@@ -224,6 +225,7 @@ def extract_text(
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / PAGES), F.ceil(F.col("size") / BYTES))
     large = sizes.select("host", blocks.alias("blocks")).where("blocks > 1")
+    large = stored(large, "large-hosts")  # its size known, the pages are not dealt twice
     number = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("blocks", F.lit(1)))
     dealt = (
         rows.join(large, "host", "left")
