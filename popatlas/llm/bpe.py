@@ -6,18 +6,24 @@ after the other, each by a gadget: for the merge ``u v`` the state ``q`` that ``
 gets a copy without its ``v`` arc, the ``u`` arcs lead to the copy from now on, and every
 state with a ``u`` arc gets an arc ``uv`` to where the ``v`` arcs lead. All arcs of one
 token lead to one state, so a merge adds one state at most. A copy shares the arcs of
-its origin: a state is kept as its origin, the token it dropped and the merge that made it.
-Whether it has an arc follows from these, and is looked up in a table once it was asked.
-
-A prefix of a word has just one accepted token sequence, so a word is encoded by going
-through its bytes once and keeping for each position the last token of that sequence: the
-one that the automaton can read after the sequence at its start. Decoding emits the bytes
-that the arcs stand for.
+its origin: a state is kept as its origin, the token it dropped and the merge that made it,
+and ``_arc`` walks these. The states that lead back from a token fall into stretches: those
+made by merges of the token itself, then those of its right part before the token came
+about, and so on. One lookup tells whether a stretch dropped an arc, which makes
+``follows`` fast; its answers are kept in a table.
+
+A word has just one accepted token sequence. To find it, a table of byte transitions gives
+the longest token at a position; the automaton reads it if it has such an arc, else the next
+shorter one, and if it has none of them the token before is shortened in the same way.
+Positions that lead nowhere are remembered, so a word takes linear time. Decoding emits the
+bytes that the arcs stand for.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -31,6 +37,11 @@ from popatlas.llm.common import whole_text
 
 # Fixed value: the published pre-splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A line end, a run of ASCII and Latin-1 letters with its blank, signs but the apostrophe: a
+# stretch that the pattern splits into just these.
+_PLAIN = re.compile(
+    r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)"
+).fullmatch
 WORDS = 600_000
 ROWS = 500
 ROOT = 0
@@ -50,29 +61,64 @@ class Automaton:
     def __init__(self, merges: Sequence[tuple[bytes, bytes]]):
         self.tokens = [bytes([b]) for b in range(256)]
         rank = {t: i for i, t in enumerate(self.tokens)}
-        self.left = [-1] * 256
+        self.left, self.right = [-1] * 256, [-1] * 256
+        self.state_of: dict[int, int] = {}  # the state that a merge made, by its two tokens
         self.target = [ROOT] * 256
         self.origin, self.dropped, self.made = [ROOT], [-1], [-1]
         self.known: dict[int, bool] = {}
         for u, v in merges:
             a, b = rank.get(u), rank.get(v)
-            if a is None or b is None or u + v in rank or not self._merges(a, b):
+            if a is None or b is None or u + v in rank or not self._reads(a, b, len(self.tokens)):
                 continue
             w = rank[u + v] = len(self.tokens)
             self.tokens.append(u + v)
             self.left.append(a)
+            self.right.append(b)
             self.target.append(self.target[b])
             self.origin.append(self.target[a])
             self.dropped.append(b)
             self.made.append(w)
+            self.state_of[a << 32 | b] = w
             self.target[a] = len(self.origin) - 1
-        self.known.clear()
         self.rank = rank
-        self.longest = max(map(len, self.tokens))
-
-    def _merges(self, a: int, b: int) -> bool:
-        """Whether the merge has an effect: the left token can be read, then the right one."""
-        return self._arc(ROOT, a) and self._arc(self.target[a], b)
+        self.start = len(self.tokens)  # stands for the start of a word, before any token
+        self.target.append(ROOT)
+        self.length = [len(t) for t in self.tokens]
+        # Byte transitions: the tokens as a tree, and what token each place in it completes.
+        self.step: dict[int, int] = {}
+        self.complete = [-1]
+        for token, spelling in enumerate(self.tokens):
+            place = 0
+            for byte in spelling:
+                place = self.step.setdefault(place << 8 | byte, len(self.complete))
+                if place == len(self.complete):
+                    self.complete.append(-1)
+            self.complete[place] = token
+        self.shorter = [self._longest(t[:-1], 0) for t in self.tokens]
+
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest token that starts at a position, or -1 at the end."""
+        place, best, step, complete = 0, -1, self.step.get, self.complete
+        for byte in word[at:]:
+            place = step(place << 8 | byte)
+            if place is None:
+                break
+            if complete[place] >= 0:
+                best = complete[place]
+        return best
+
+    def _reads(self, before: int, token: int, now: int) -> bool:
+        """Whether the state that ``before`` leads to has the arc, as of the merge ``now``."""
+        left, right, state_of = self.left, self.right, self.state_of
+        while True:
+            if state_of.get(before << 32 | token, now) < now:
+                return False  # a state of this stretch dropped it
+            if token > 255 and token >= before:
+                token, now = left[token], token + 1
+            elif before > 255:
+                before, now = right[before], before
+            else:
+                return True
 
     def _arc(self, state: int, token: int) -> bool:
         while True:
@@ -93,26 +139,30 @@ class Automaton:
         if found is None:
             if len(self.known) >= 4 * WORDS:
                 self.known.clear()
-            found = self.known[key] = self._arc(self.target[before], token)
+            found = self.known[key] = before == self.start or self._reads(before, token, self.start)
         return found
 
     def encode(self, word: bytes) -> list[int]:
         """The ranks of the tokens of a word."""
-        rank, longest, follows = self.rank.get, self.longest, self.follows
-        last = [-1] * (len(word) + 1)
-        for stop in range(1, len(word) + 1):
-            for start in range(max(0, stop - longest), stop):
-                token = rank(word[start:stop])
-                if token is None:
+        known, length, shorter = self.known.get, self.length, self.shorter
+        out = [self.start]
+        at, nowhere, token = 0, 0, self._longest(word, 0)
+        while at < len(word):
+            if token < 0:  # none can be read here: back to the token before
+                nowhere |= 1 << at
+                token = out.pop()
+                at -= length[token]
+                token = shorter[token]
+                continue
+            end = at + length[token]
+            if not nowhere >> end & 1:
+                reads = known(out[-1] << 32 | token)
+                if reads or (reads is None and self.follows(out[-1], token)):
+                    out.append(token)
+                    at, token = end, self._longest(word, end)
                     continue
-                if (follows(last[start], token) if start else self._arc(ROOT, token)):
-                    last[stop] = token
-                    break
-        out, stop = [], len(word)
-        while stop:
-            out.append(last[stop])
-            stop -= len(self.tokens[last[stop]])
-        return out[::-1]
+            token = shorter[token]
+        return out[1:]
 
 
 class Bpe:
@@ -142,22 +192,32 @@ class Bpe:
         names = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pieces = regex.compile(PATTERN).findall
-        # White space other than single blanks and line ends between other characters.
-        self.odd_space = regex.compile(r"[^\S \n]|\s\s|[\x00\x1c-\x1f\x85]").search
         self.words: dict[str, bytes] = {}
+        self.known: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        if len(self.known) >= WORDS:
+            self.known.clear()
+        ids = self.ids
+        self.known[piece] = out = [ids[t] for t in self.automaton.encode(piece.encode())]
+        return out
 
     def _word(self, word: str) -> bytes:
         """Ids of a stretch of text between places where every split begins anew."""
         if len(self.words) >= WORDS:
             self.words.clear()
-        ids, ranks = self.ids, self.automaton.encode
-        found = [ids[t] for piece in self.pieces(word) for t in ranks(piece.encode())]
-        self.words[word] = out = np.array(found, dtype="<u4").tobytes()
+        plain = _PLAIN(word)
+        pieces = [p for p in plain.groups() if p] if plain else self.pieces(word)
+        get, found = self.known.get, []
+        for piece in pieces:
+            found += get(piece) or self._piece(piece)
+        self.words[word] = out = struct.pack(f"<{len(found)}I", *found)
         return out
 
     def _plain(self, text: str) -> bytes:
-        if self.odd_space(text):
-            parts = self.pieces(text)
+        doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if doubled or not text.replace("\n", "").isprintable():
+            parts = self.pieces(text)  # runs of white space, or kinds other than these two
         else:  # a split begins at each blank or line end
             parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
         get, make = self.words.get, self._word
