@@ -13,7 +13,7 @@ numpy work on whole columns; what a block becomes does not depend on its neighbo
 
 Layout of a block: magic ``PTB1``, then little-endian unsigned 32-bit integers: number of
 ids, alphabet size, CRC-32 of the ids as little-endian unsigned 32-bit integers, number of
-code words; then the 16-bit code words, little-endian.
+code words, CRC-32 of the code words; then the 16-bit code words, little-endian.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 BLOCK = 8192
 LANES = 512
 MAGIC = b"PTB1"
-HEADER = struct.Struct("<4sIIII")
+HEADER = struct.Struct("<4sIIIII")
 REFRESH = frozenset((64, 256, 1024, 3072, 6144))
 
 _SLOTS1, _SLOTS2 = 1 << 11, 1 << 13
@@ -182,9 +182,9 @@ def _encode(blocks: Sequence[np.ndarray], alphabet: int) -> list[bytes]:
     out = [b""] * lanes
     for lane, block in enumerate(order):
         raw = np.ascontiguousarray(blocks[block], dtype="<u4").tobytes()
-        body = words[lane, : used[lane]].astype("<u2")
-        head = HEADER.pack(MAGIC, len(blocks[block]), alphabet, zlib.crc32(raw), len(body))
-        out[block] = head + body.tobytes()
+        body = words[lane, : used[lane]].astype("<u2").tobytes()
+        sizes = len(blocks[block]), alphabet, zlib.crc32(raw), len(body) // 2
+        out[block] = HEADER.pack(MAGIC, *sizes, zlib.crc32(body)) + body
     return out
 
 
@@ -195,9 +195,11 @@ def decode_blocks(codes: Sequence[bytes]) -> list[np.ndarray]:
     for code in codes:
         if len(code) < HEADER.size:
             raise ValueError("a token block is cut off")
-        magic, n, alphabet, crc, words = HEADER.unpack_from(code)
+        magic, n, alphabet, crc, words, code_crc = HEADER.unpack_from(code)
         if magic != MAGIC or len(code) != HEADER.size + 2 * words or n > BLOCK:
             raise ValueError("not a token block")
+        if zlib.crc32(code[HEADER.size :]) != code_crc:
+            raise ValueError("a token block is damaged")
         heads.append((n, alphabet, crc))
     for alphabet in sorted({h[1] for h in heads}):
         mine = [i for i, h in enumerate(heads) if h[1] == alphabet]
