@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import whole_text
+from popatlas.llm.common import long_rows, whole_text
 
 # Fixed value: the published pre-splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -261,7 +261,7 @@ def encode_texts(
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -276,5 +276,5 @@ def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 texts = pa.array([decode(i.values.to_pylist() if i.is_valid else []) for i in part["ids"]], pa.string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], texts], ["doc_id", "ids", "text"])
 
-    rows = encoded.select("doc_id", "ids")
+    rows = long_rows(encoded).select("doc_id", "ids")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -12,6 +12,19 @@ from popatlas.plans.storage import stored
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+BATCH_ROWS = 1000
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of ``BATCH_ROWS`` at
+    most: whole texts are long, and a batch takes memory in the executor and its worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def whole_text(column: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

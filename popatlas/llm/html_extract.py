@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from popatlas.llm.common import long_rows
 from popatlas.llm.html_tree import TEXT, Node, parse
 from popatlas.llm.runs import whole_runs
 from popatlas.plans.storage import stored
@@ -216,7 +217,7 @@ def extract_text(
 ) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``."""
     host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    rows = pages.select(
+    rows = long_rows(pages).select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),

@@ -22,16 +22,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import whole_text
+from popatlas.llm.common import long_rows, whole_text
 from popatlas.llm.tokens import END_ID, encoder
 
 WINDOW = 2048
 GROUP = 4096
 TAIL = 128
+ROWS = 250
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECE + ", sequence_id long, offset long"
@@ -98,7 +100,7 @@ def _pieces(path: str, window: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = memoryview(encode(text.as_py()) + end)
@@ -118,48 +120,41 @@ def _pieces(path: str, window: int, with_ids: bool):
     return run
 
 
-def _windows(window: int, group: int):
-    def packed(table: pa.Table, first: int) -> tuple[pa.Table, int]:
-        sizes = table["length"].to_numpy()
-        full = sizes == window
-        sequence = np.empty(len(sizes), dtype=np.int64)
-        offset = np.zeros(len(sizes), dtype=np.int64)
-        sequence[full] = np.arange(int(full.sum()))
-        used = int(full.sum())
-        rest = np.flatnonzero(~full)
-        if len(rest):
-            at, windows = pack(sizes[rest], window)
-            sequence[rest] = used + at
-            used += windows
-            order = rest[np.argsort(at, kind="stable")]
-            before = np.cumsum(sizes[order]) - sizes[order]
-            starts = np.append(True, np.diff(sequence[order]) != 0)
-            offset[order] = before - np.repeat(before[starts], np.diff(np.append(np.flatnonzero(starts), len(order))))
-        out = table.append_column("sequence_id", pa.array(sequence + first))
-        return out.append_column("offset", pa.array(offset)), first + used
+def _windows(path: str, window: int, group: int):
+    def placed(rows: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> list[pa.RecordBatch]:
+        rows = rows.append_column("sequence_id", pa.array(sequence, pa.int64()))
+        return rows.append_column("offset", pa.array(offset, pa.int64())).to_batches()
+
+    def packed(rows: pa.Table, first: int) -> tuple[list[pa.RecordBatch], int]:
+        sizes = rows["length"].to_numpy()
+        at, windows = pack(sizes, window)
+        order = np.argsort(at, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        starts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        offset = np.empty(len(sizes), dtype=np.int64)
+        offset[order] = before - np.repeat(before[starts], np.diff(np.append(starts, len(order))))
+        return placed(rows, first + at, offset), first + windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder(path).release()  # the worker may have encoded before; here it needs no words
         first = TaskContext.get().partitionId() << 33
         held: list[pa.RecordBatch] = []
-        open_pieces = 0
+        waiting = 0
         for batch in batches:
-            at = 0
-            rest = np.cumsum(batch["length"].to_numpy() != window)
-            while at < batch.num_rows:
-                # Up to the piece that fills the group.
-                done = int(rest[at - 1]) if at else 0
-                stop = int(np.searchsorted(rest, done + group - open_pieces)) + 1
-                stop = min(stop, batch.num_rows)
-                held.append(batch.slice(at, stop - at))
-                open_pieces += int(rest[stop - 1]) - done
-                at = stop
-                if open_pieces >= group or sum(b.num_rows for b in held) >= 8 * group:
+            whole = pa.array(batch["length"].to_numpy() == window)
+            full = pa.Table.from_batches([batch.filter(whole)])  # windows of their own
+            yield from placed(full, first + np.arange(len(full)), np.zeros(len(full), dtype=np.int64))
+            first += len(full)
+            rest, at = batch.filter(pc.invert(whole)), 0
+            while at < rest.num_rows:
+                held.append(rest.slice(at, group - waiting))
+                at, waiting = at + held[-1].num_rows, waiting + held[-1].num_rows
+                if waiting == group:
                     out, first = packed(pa.Table.from_batches(held), first)
-                    yield from out.to_batches()
-                    held, open_pieces = [], 0
+                    yield from out
+                    held, waiting = [], 0
         if held:
-            out, first = packed(pa.Table.from_batches(held), first)
-            yield from out.to_batches()
+            yield from packed(pa.Table.from_batches(held), first)[0]
 
     return run
 
@@ -179,10 +174,10 @@ def pack_documents(
     A sequence is the pieces of one ``sequence_id`` by ``offset``, padded to ``window``.
     Ids of sequences are unique, not dense.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     more = ", ids binary" if with_ids else ""
     pieces = rows.mapInArrow(_pieces(tokenizer, window, with_ids), PIECE + more)
     order = ["doc_id", "start", "length", "ids_crc32"]
     dealt = pieces.repartition(*order).sortWithinPartitions(*order)
     schema = PIECE + more + ", sequence_id long, offset long"
-    return dealt.mapInArrow(_windows(window, group), schema)
+    return dealt.mapInArrow(_windows(tokenizer, window, group), schema)

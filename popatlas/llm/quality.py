@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import utf8, whole_text
+from popatlas.llm.common import long_rows, utf8, whole_text
 
 TERMS = 4096
 RANK = 64
@@ -153,7 +153,7 @@ def score(
                     [part["doc_id"], part["held_out"], pa.array(found)], ["doc_id", "held_out", "score"]
                 )
 
-    rows = docs.select(
+    rows = long_rows(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         held_out(id_col).alias("held_out"),
         whole_text(text_col).alias("text"),
@@ -178,4 +178,4 @@ def keep_good(
                 counts = np.stack([term_counts(b) for b in _bytes_of(text)])
                 yield part.filter(pa.array(shared.value.scores(counts) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return long_rows(docs).mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import whole_text
+from popatlas.llm.common import long_rows, whole_text
 from popatlas.llm.components import LINKS, components, spanning_forest
 from popatlas.llm.runs import whole_runs
 from popatlas.plans.storage import stored
@@ -71,11 +71,11 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch["text"].to_pylist()]
+            fps = [fingerprint(t.as_py(), words) for t in batch["text"]]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signed)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import whole_text
+from popatlas.llm.common import long_rows, whole_text
 from popatlas.llm.token_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from popatlas.llm.tokens import END_ID, encoder
 
@@ -116,7 +116,7 @@ def write_tokens(
     docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Encode all texts, an end id after each, into token files below ``path``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = long_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     dealt.mapInArrow(_encode_blocks(tokenizer), BLOCKS).write.parquet(path)
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-WORDS = 800_000
+WORDS = 350_000
 END_ID = 1
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -86,6 +86,12 @@ class Encoder:
             return np.array(ids, dtype="<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def release(self) -> None:
+        """Give back the memory of the words held."""
+        if self.words is not None:
+            self.words.clear()
+            self.words.pieces.clear()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
