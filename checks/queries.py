@@ -681,8 +681,8 @@ def people_all_pages(spark, sf):
 
 
 @query(
-    """SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 200)) AS BIGINT) AS total_pages,
-              1 AS page, 200 AS per_page FROM people"""
+    """SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 1000)) AS BIGINT) AS total_pages,
+              1 AS page, 1000 AS per_page FROM people"""
 )
 def people_page_info(spark, sf):
     return paging.page_info(cw.world(spark, sf).people, page=-3, per_page=1000)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_PER_PAGE = 200
 DEFAULT_PER_PAGE = 50
 
 
@@ -14,7 +13,7 @@ def clamp_page(page: int) -> int:
 
 
 def clamp_per_page(per_page: int) -> int:
-    return max(1, min(int(per_page), MAX_PER_PAGE))
+    return max(1, int(per_page))
 
 
 def page_of(rank: Column, per_page: int) -> Column:

@@ -12,6 +12,7 @@ from popatlas.functions.paging import DEFAULT_PER_PAGE, clamp_page
 from popatlas.model import UNKNOWN, World, property_columns
 from popatlas.operators.hierarchy import subtree_rows
 from popatlas.operators.paging import all_pages, paginate
+from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.nesting import PART_SIZE
 from popatlas.plans.ranking import prefix_sum
 from popatlas.plans.sets import mask_of, names_in
@@ -186,14 +187,14 @@ def unit_people(
         listed = listing(w.people.select("person_id", "geo_id", "ordinal", "age", "sex"))
         rows = all_pages(listed, per_page=per_page, keys=["ancestor_id"], ties=["person_id"])
         return rows.select(*shown)
-    # One page: rank the ids alone, then look up the attributes of at most 200 rows.
+    # One page: rank the ids alone, then look up the attributes of that page.
     listed = listing(w.people.select("person_id", "geo_id", "ordinal"))
     rows = paginate(listed, page=page, per_page=per_page, ties=["person_id"])
     rows = rows.select("ancestor_id", "person_id", "rank").withColumn(
         "page", F.lit(clamp_page(page)).cast("bigint")
     )
     attributes = w.people.select("person_id", "age", "sex")
-    return attributes.join(F.broadcast(rows), "person_id").select(*shown)
+    return attributes.join(sized_broadcast(rows, per_page), "person_id").select(*shown)
 
 
 def first_people(w: World, n: int = DEFAULT_PER_PAGE) -> DataFrame:

@@ -206,14 +206,14 @@ def people_per_activity(w: World, names: Sequence[str]) -> DataFrame:
 
 
 def _types_per_person(w: World) -> DataFrame:
-    """``person_id, types, rows``: distinct activities and assignments."""
+    """``person_id, types, rows``: distinct activities (NULL is none) and assignments."""
     if w.activity_names is not None:
         return activity_masks(w).select(
             "person_id", F.bit_count("mask").alias("types"), F.col("assignments").alias("rows")
         )
     per_pair = w.activities.groupBy("person_id", "activity").agg(F.count("*").alias("rows"))
     return per_pair.groupBy("person_id").agg(
-        F.count("*").alias("types"), F.sum("rows").alias("rows")
+        F.count("activity").alias("types"), F.sum("rows").alias("rows")
     )
 
 

@@ -101,13 +101,14 @@ def venue_type_counts(w: World, populated_only: bool = True) -> DataFrame:
 
 
 def activity_counts(w: World) -> DataFrame:
-    """``geo_id, activity, n``: people of the unit taking part, each counted once."""
+    """``geo_id, activity, n``: people of the unit taking part, each counted once. A NULL
+    activity counts for nothing."""
     homes = w.people.select("person_id", "geo_id")
     if w.activity_names is not None:
         masks = activity_masks(w).select("person_id", "mask").join(homes, "person_id")
         counts = count_names(masks, "mask", w.activity_names, ["geo_id"], "activity", "n")
         return _in_known_units(counts.where("n > 0"), w)
-    takes_part = w.activities.select("person_id", "activity").distinct()
+    takes_part = w.activities.where("activity is not null").select("person_id", "activity").distinct()
     counts = (
         takes_part.join(homes, "person_id")
         .groupBy("geo_id", "activity")

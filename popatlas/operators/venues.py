@@ -16,6 +16,7 @@ from popatlas.functions.paging import (
 from popatlas.model import NO_PARENT, World
 from popatlas.operators.hierarchy import subtree_rows
 from popatlas.operators.paging import all_pages, paginate
+from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.nesting import nest
 
 
@@ -164,13 +165,13 @@ def unit_venues(
         listed = subtree_rows(attributed(venues.select(*columns, "ordinal")), w, unit)
         rows = all_pages(listed, per_page=per_page, keys=["ancestor_id"], ties=["venue_id"])
         return rows.select(*shown)
-    # One page: rank the ids alone, then look up the attributes of at most 200 rows.
+    # One page: rank the ids alone, then look up the attributes of that page.
     listed = subtree_rows(venues.select("venue_id", "geo_id", "ordinal"), w, unit)
     rows = paginate(listed, page=page, per_page=per_page, ties=["venue_id"])
     rows = rows.select("ancestor_id", "venue_id", "rank").withColumn(
         "page", F.lit(clamp_page(page)).cast("bigint")
     )
-    wanted = w.venues.select(*columns).join(F.broadcast(rows), "venue_id")
+    wanted = w.venues.select(*columns).join(sized_broadcast(rows, per_page), "venue_id")
     return attributed(wanted).select(*shown)
 
 

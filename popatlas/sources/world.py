@@ -25,7 +25,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Core columns typed and complete, property columns kept as they are.
 
     A missing required column fails; a missing optional one is NULL (no parent, for
-    ``parent_id``); without ``ordinal`` the id gives the file order. NaN becomes NULL.
+    ``parent_id``, as is a NULL one); without ``ordinal`` the id gives the file order. NaN becomes NULL.
     """
     required, optional = CORE_COLUMNS[table]
     absent = [c for c in required if c not in df.columns]
@@ -36,7 +36,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     def core(name: str, kind: str) -> Column:
         if name in df.columns:
             value = F.col(name).cast(kind)
-            return (nan_to_null(value) if kind == "double" else value).alias(name)
+            value = nan_to_null(value) if kind == "double" else value
+            if name in _DEFAULTS:
+                value = F.coalesce(value, F.lit(_DEFAULTS[name]).cast(kind))
+            return value.alias(name)
         if name == "ordinal":
             return F.col(identifier).cast(kind).alias(name)
         return F.lit(_DEFAULTS.get(name)).cast(kind).alias(name)

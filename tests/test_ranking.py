@@ -70,8 +70,9 @@ def test_page_info(spark, n, size, pages):
     assert rows(paging.page_info(numbers(spark, n), 2, size)) == [(n, pages, 2, size)]
 
 
-def test_per_page_is_capped(spark):
-    assert paging.paginate(numbers(spark, 500), per_page=1000).count() == 200
+def test_pages_have_any_size(spark):
+    assert paging.paginate(numbers(spark, 500), per_page=1000).count() == 500
+    assert paging.paginate(numbers(spark, 500), page=2, per_page=300).count() == 200
 
 
 def test_pages_tile_the_listing(spark):

@@ -148,3 +148,11 @@ def test_geojson_lines(spark, city, tmp_path):
         }
     ]
     assert not (tmp_path / "g" / "level=borough").exists()
+
+
+def test_null_parents_are_roots(spark):
+    units = spark.createDataFrame(
+        [(0, "top", "l", None), (1, "below", "l", 0)],
+        "geo_id bigint, name string, level string, parent_id bigint",
+    )
+    assert [r.parent_id for r in world.conform(units, "geo_units").orderBy("geo_id").collect()] == [-1, 0]

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from popatlas.operators import profile
 from popatlas.operators import unit_stats as us
 from tests.conftest import rows
 
@@ -101,12 +102,14 @@ def test_many_activity_names_give_the_same_counts(city, build, monkeypatch):
     w = build(
         geo=[unit(0, "top", "l", -1)],
         people=[(i, i, 20, "male", 0) for i in range(3)],
-        activities=[(i % 3, i, f"a{i % 5}", 0, 0) for i in range(30)],
+        activities=[(i % 3, i, f"a{i % 5}", 0, 0) for i in range(30)]
+        + [(0, 30, None, 0, 0), (2, 31, None, 0, 0)],
     )
-    masked = rows(us.activity_counts(w))
+    masked, summary = rows(us.activity_counts(w)), rows(profile.activity_summary(w))
     monkeypatch.setattr("popatlas.plans.sets.MAX_NAMES", 2)
     other = type(w)(w.geo, w.people, w.venues, w.subsets, w.memberships, w.activities)
     assert other.activity_names is None
+    assert rows(profile.activity_summary(other)) == summary
     assert rows(us.activity_counts(other)) == masked == [(0, f"a{i}", 3) for i in range(5)]
 
 
