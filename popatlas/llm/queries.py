@@ -105,4 +105,14 @@ QUERIES = {
         op10_html_extract,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": """
+        WITH hashed AS (
+          SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                          'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+          FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+               count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+        FROM hashed""",
+}
