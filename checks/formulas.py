@@ -101,8 +101,9 @@ ACTIVITY_NAMES = (
     "commute",
 )
 EVENT_TYPES = ("click", "error", "purchase", "recovery", "signup", "view")
+# Venue ids reach a quarter beyond the suppliers, at every scale factor.
 EVENT_VENUE = """CASE WHEN event_type = 'error' THEN CAST(NULL AS BIGINT)
-     WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE event_id % 250 END"""
+     WHEN event_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE CAST(floor(event_id / 80.0e0) AS BIGINT) END"""
 
 
 def columns(formulas: dict[str, str]) -> str:

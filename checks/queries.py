@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from checks import formulas as f
 from checks import world as cw
 from checks.sql import with_world
 from popatlas.functions import classify
+from popatlas.model import World
 from popatlas.operators import (
     events,
     extent,
@@ -527,6 +529,71 @@ def unit_venue_pages(spark, sf):
     return venues.unit_venues(cw.world(spark, sf), per_page=20)
 
 
+@query(
+    """, listed AS (
+         SELECT ancestor_id, venue_id, row_number() OVER
+                  (PARTITION BY ancestor_id ORDER BY ordinal) - 1 AS rank
+         FROM venues JOIN closure ON geo_id = descendant_id WHERE parent_id = -1)
+       SELECT l.ancestor_id, l.venue_id, l.rank, l.rank // 20 + 1 AS page,
+              s.subset_pos, s.subset_name, s.member_count
+       FROM listed l LEFT JOIN subsets s ON s.venue_id = l.venue_id"""
+)
+def unit_venue_subsets(spark, sf):
+    """The subset lists of every unit's venue listing."""
+    w = cw.world(spark, sf)
+    listed = venues.unit_venues(w, per_page=20).select("ancestor_id", "venue_id", "rank", "page")
+    return venues.with_subsets(listed, w)
+
+
+@query(
+    f""", totals AS ({_CHILD_TOTALS}), listed AS (
+         SELECT venue_id, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+         FROM venues JOIN closure ON geo_id = descendant_id
+         WHERE parent_id = -1 AND ancestor_id = 0 AND venue_type = 'school')
+       SELECT CAST(0 AS BIGINT) AS ancestor_id, l.venue_id, l.rank, CAST(2 AS BIGINT) AS page,
+              v.name, t.child_count, t.total_child_members, s.subset_pos, s.subset_name,
+              s.member_count
+       FROM listed l JOIN venues v ON l.venue_id = v.venue_id
+       JOIN totals t ON t.venue_id = v.venue_id LEFT JOIN subsets s ON s.venue_id = v.venue_id
+       WHERE l.rank // 1 = 1"""
+)
+def unit_venue_page(spark, sf):
+    """One page of one type's venues below one unit, with subset lists."""
+    w = cw.world(spark, sf)
+    listed = venues.unit_venues(w, unit=0, venue_type="school", page=2, per_page=1)
+    shown = ["ancestor_id", "venue_id", "rank", "page", "name", "child_count"]
+    return venues.with_subsets(listed.select(*shown, "total_child_members"), w)
+
+
+@query(
+    """, listed AS (
+         SELECT v.*, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+         FROM venues v WHERE parent_id = 0)
+       SELECT l.parent_id, l.venue_id, l.rank, CAST(1 AS BIGINT) AS page, g.name AS unit,
+              s.subset_pos, s.subset_name, s.member_count
+       FROM listed l LEFT JOIN geo_units g ON g.geo_id = l.geo_id
+       LEFT JOIN subsets s ON s.venue_id = l.venue_id WHERE l.rank // 2 = 0"""
+)
+def venue_children_page(spark, sf):
+    w = cw.world(spark, sf)
+    listed = venues.venue_children(w, parent=0, page=1, per_page=2)
+    return venues.with_subsets(listed.select("parent_id", "venue_id", "rank", "page", "unit"), w)
+
+
+@query(
+    """, listed AS (
+         SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) - 1 AS rank
+         FROM venues WHERE parent_id <> -1)
+       SELECT l.parent_id, l.venue_id, l.rank, s.subset_pos, s.subset_name, s.member_count
+       FROM listed l LEFT JOIN subsets s ON s.venue_id = l.venue_id"""
+)
+def venue_children_subsets(spark, sf):
+    """The subset lists of every parent's child listing."""
+    w = cw.world(spark, sf)
+    listed = venues.venue_children(w).select("parent_id", "venue_id", "rank")
+    return venues.with_subsets(listed, w)
+
+
 @query(
     """SELECT v.parent_id, v.venue_id, v.name, v.venue_type, v.geo_id, v.lat, v.lon, v.ordinal,
               g.name AS unit, row_number() OVER w - 1 AS rank,
@@ -649,6 +716,18 @@ def unit_direct_people_pages(spark, sf):
     return people.unit_people(cw.world(spark, sf))
 
 
+@query(
+    """, listed AS (
+         SELECT person_id, age, sex, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+         FROM people JOIN closure ON geo_id = descendant_id WHERE ancestor_id = 1)
+       SELECT CAST(1 AS BIGINT) AS ancestor_id, *, CAST(2 AS BIGINT) AS page
+       FROM listed WHERE rank // 10 = 1"""
+)
+def unit_people_page(spark, sf):
+    """One page of the people below one unit."""
+    return people.unit_people(cw.world(spark, sf), unit=1, descendants=True, page=2, per_page=10)
+
+
 @query(
     """SELECT * FROM (
          SELECT geo_id, person_id, age, sex,
@@ -700,6 +779,40 @@ def locate_people(spark, sf):
     return locate.locate_people(cw.world(spark, sf))
 
 
+@query(
+    """SELECT p.person_id, g.name AS unit, coalesce(r.rank, 0) // 1000 + 1 AS page
+       FROM people p LEFT JOIN geo_units g ON p.geo_id = g.geo_id
+       LEFT JOIN (SELECT ancestor_id, person_id, row_number() OVER
+                           (PARTITION BY ancestor_id ORDER BY ordinal) - 1 AS rank
+                  FROM people JOIN closure ON geo_id = descendant_id) r
+         ON r.person_id = p.person_id AND r.ancestor_id = p.geo_id"""
+)
+def locate_people_large(spark, sf):
+    return locate.locate_people(cw.world(spark, sf), per_page=1000)
+
+
+@query(
+    """SELECT person_id, age, sex, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+       FROM people ORDER BY ordinal LIMIT 1000"""
+)
+def people_page_large(spark, sf):
+    rows = cw.world(spark, sf).people.select("person_id", "age", "sex", "ordinal")
+    return paging.paginate(rows, per_page=1000).drop("ordinal")
+
+
+@query(
+    """SELECT person_id, row_number() OVER (ORDER BY md5(CAST(person_id AS VARCHAR))) - 1 AS rank
+       FROM people"""
+)
+def people_by_hash(spark, sf):
+    """Pages of an order as spread out as hashes are."""
+    digest = F.md5(F.col("person_id").cast("string").cast("binary"))
+    rows = cw.world(spark, sf).people.select(
+        "person_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("ordinal")
+    )
+    return paging.all_pages(rows).drop("ordinal", "page")
+
+
 @query(
     """SELECT v.venue_id, g.name AS unit, v.venue_type, coalesce(r.rank, 0) // 2 + 1 AS page
        FROM venues v LEFT JOIN geo_units g ON v.geo_id = g.geo_id
@@ -863,6 +976,18 @@ def unit_event_cards(spark, sf):
     return events.unit_event_card(cw.event_log(spark, sf), f.EVENT_TYPES, 12, 1)
 
 
+@query(
+    f"""SELECT CAST(1000 AS BIGINT) AS geo_id, t.event_type,
+               count(CASE WHEN time >= 11.0e0 THEN 1 END) AS rolling,
+               count(e.event_id) AS cumulative
+        FROM (VALUES {_TYPES}) AS t(event_type)
+        LEFT JOIN located e ON e.event_type = t.event_type AND time <= 12.0e0 AND geo_id = 1000
+        GROUP BY t.event_type"""
+)
+def unit_event_card_one(spark, sf):
+    return events.unit_event_card(cw.event_log(spark, sf), f.EVENT_TYPES, 12, 1, unit=1000)
+
+
 # --- frames -------------------------------------------------------------------------
 
 
@@ -914,6 +1039,16 @@ def event_frame_at_time(spark, sf):
     return frames.frame_at(log, frames.bake_frames(log), 12.4)
 
 
+@query(
+    """SELECT event_type, geo_id, CAST(sum(n) AS BIGINT) AS n FROM frames, frame_bounds
+       WHERE frame <= CAST(floor((12.4e0 - t0) / 1.0e0 + 0.5e0) AS BIGINT)
+       GROUP BY event_type, geo_id"""
+)
+def event_frame_at_time_cumulative(spark, sf):
+    log = cw.event_log(spark, sf)
+    return frames.frame_at(log, frames.bake_frames(log), 12.4, cumulative=True)
+
+
 @query(
     """SELECT g.geo_id, g.lat, g.lon, p.population FROM geo_units g
        LEFT JOIN rate_population p ON p.geo_id = g.geo_id WHERE g.lat IS NOT NULL"""
@@ -1059,6 +1194,37 @@ def stored_units(spark, sf):
     return world_source.read_table(spark, path, "geo_units")
 
 
+def _with_tables(w: World, **tables: DataFrame) -> World:
+    kept = {f.name: getattr(w, f.name) for f in dataclasses.fields(World)}
+    return World(**{**kept, **tables})
+
+
+@query(
+    """SELECT 'unit' AS kind, geo_id AS id, parent_id <> -1 AS is_orphan FROM geo_units
+       WHERE parent_id NOT IN (SELECT geo_id FROM geo_units)
+       UNION ALL SELECT 'venue', venue_id, FALSE FROM venues JOIN geo_units USING (geo_id)
+       WHERE venues.parent_id = -1"""
+)
+def stored_null_parents(spark, sf):
+    """Roots and top-level venues of a world stored with NULL where there is no parent."""
+    given, path = cw.world(spark, sf), storage.new_folder(spark, "null-parents")
+    none = F.when(F.col("parent_id") != -1, F.col("parent_id"))
+    for name in ("geo", "venues"):
+        getattr(given, name).withColumn("parent_id", none).write.parquet(f"{path}/{name}")
+    read = _with_tables(
+        given,
+        geo=world_source.read_table(spark, f"{path}/geo", "geo_units"),
+        venues=world_source.read_table(spark, f"{path}/venues", "venues"),
+    )
+    units = hierarchy.roots(read).select(
+        F.lit("unit").alias("kind"), F.col("geo_id").alias("id"), "is_orphan"
+    )
+    listed = venues.unit_venues(read).where("ancestor_id = geo_id")
+    return units.unionByName(
+        listed.select(F.lit("venue").alias("kind"), F.col("venue_id").alias("id"), F.lit(False).alias("is_orphan"))
+    )
+
+
 @query("SELECT *, FALSE AS lost FROM memberships")
 def offset_lists(spark, sf):
     """Memberships through their offset encoding and back."""
@@ -1159,12 +1325,30 @@ def stored_events(spark, sf):
     return event_source.read_events(spark, path).drop("hospital_id")
 
 
-@query()
+@query(
+    """SELECT g.geo_id, g.name, g.level, s.population, s.venues_count, g.lat, g.lon,
+              v.category AS venue_type, v.n
+       FROM geo_units g JOIN stats s ON s.geo_id = g.geo_id
+       LEFT JOIN rolled v ON v.geo_id = g.geo_id AND v.kind = 'venue'
+       WHERE g.lat IS NOT NULL"""
+)
 def level_geojson(spark, sf):
+    """Features of every level, their text parsed back."""
     w = cw.world(spark, sf)
     features = us.level_features(w, us.unit_stats(w, with_activities=False))
     props = ["geo_id", "name", "level", "population", "venues_count", "venue_types"]
-    return geojson.geojson_features(features, props).select("geo_id", "level", "feature")
+    shape = (
+        "properties struct<geo_id: bigint, name: string, level: string, population: bigint, "
+        "venues_count: bigint, venue_types: map<string, bigint>>, "
+        "geometry struct<coordinates: array<double>>"
+    )
+    texts = geojson.geojson_features(features, props).select("feature")
+    return texts.select(F.from_json("feature", shape).alias("f")).select(
+        *[f"f.properties.{p}" for p in props[:-1]],
+        F.col("f.geometry.coordinates")[1].alias("lat"),
+        F.col("f.geometry.coordinates")[0].alias("lon"),
+        F.explode_outer("f.properties.venue_types").alias("venue_type", "n"),
+    )
 
 
 @query(
@@ -1194,16 +1378,19 @@ def geojson_round_trip(spark, sf):
 # --- streaming ----------------------------------------------------------------------
 
 
+_EVENT_COLUMNS = (
+    "event_type",
+    "CAST(ts AS TIMESTAMP) AS ts",
+    "user_id AS person_id",
+    f"{f.EVENT_VENUE} AS venue_id",
+)
+
+
 def _event_stream(spark, sf):
     """The events table as a stream: a glob, since a single file is no stream source."""
     schema = cw.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
-    return raw.select(
-        "event_type",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").alias("person_id"),
-        F.expr(f.EVENT_VENUE).alias("venue_id"),
-    )
+    return raw.selectExpr(*_EVENT_COLUMNS)
 
 
 def _replayed(spark, counts):
@@ -1240,3 +1427,27 @@ def stream_running_totals(spark, sf):
     return _replayed(
         spark, streaming.stream_cumulative(_event_stream(spark, sf), cw.event_log(spark, sf))
     )
+
+
+@query(
+    """SELECT CAST(floor(time) AS BIGINT) AS day, event_type, geo_id, count(*) AS n FROM located
+       WHERE floor(time) + 1 <= (SELECT max(time) FROM world_events) - 9
+       GROUP BY floor(time), event_type, geo_id"""
+)
+def stream_closed_days(spark, sf):
+    """Daily windows appended once the watermark has closed them. The events arrive in
+    files of four spans of eight days, one span after the other, and out of order within."""
+    path = storage.new_folder(spark, "closed")
+    given = cw.table(spark, sf, "events")
+    span = F.floor(cw.days(F.col("ts")) / 8)
+    for number in range(4):
+        given.where(F.least(span, F.lit(3)) == number).write.mode("append").parquet(f"{path}/in")
+    raw = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 8)
+    arriving = raw.parquet(f"{path}/in").selectExpr(*_EVENT_COLUMNS)
+    windows = streaming.stream_daily(arriving, cw.event_log(spark, sf), lateness="9 days")
+    streaming.frames_sink(
+        windows, f"{path}/out", f"{path}/checkpoint", availableNow=True
+    ).start().awaitTermination()
+    day = F.floor(cw.days(F.col("window_start"))).alias("day")
+    closed = spark.read.schema(windows.schema).parquet(f"{path}/out")
+    return closed.select(day, "event_type", "geo_id", "n")

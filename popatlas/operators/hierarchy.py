@@ -54,7 +54,8 @@ def subtree_rows(facts: DataFrame, w: World, unit: int | None = None) -> DataFra
 def roots(w: World) -> DataFrame:
     """Units without a parent, and orphans, whose parent is absent (``is_orphan``)."""
     known = w.units.select(F.col("geo_id").alias("_known"))
-    units = w.geo.select("geo_id", "name", "level", "parent_id")
+    parent = F.coalesce("parent_id", F.lit(NO_PARENT)).alias("parent_id")
+    units = w.geo.select("geo_id", "name", "level", parent)
     top = units.where(F.col("parent_id") == NO_PARENT).withColumn("is_orphan", F.lit(False))
     orphans = (
         units.where(F.col("parent_id") != NO_PARENT)

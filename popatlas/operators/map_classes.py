@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popatlas.functions import classify
+from popatlas.plans.joins import join_on_keys
 
 
 def _with_largest(df: DataFrame, by: Sequence[str], count: str) -> DataFrame:
     """Join the maximum per group: a group may hold every unit, so it is aggregated
     map-side and joined back, not windowed."""
     largest = df.groupBy(*by).agg(F.max(count).alias("largest"))
-    return df.join(largest, list(by))
+    return join_on_keys(df, largest, list(by))
 
 
 def relative_classes(df: DataFrame, by: Sequence[str], count: str = "n") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popatlas.functions.decode import has_coordinates, text_or_id
@@ -14,7 +14,6 @@ from popatlas.operators.hierarchy import subtree_rows
 from popatlas.operators.paging import all_pages, paginate
 from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.nesting import PART_SIZE
-from popatlas.plans.ranking import prefix_sum
 from popatlas.plans.sets import mask_of, names_in
 
 
@@ -202,5 +201,7 @@ def first_people(w: World, n: int = DEFAULT_PER_PAGE) -> DataFrame:
     direct = w.people.select("person_id", "geo_id", "ordinal", "age", "sex").join(
         w.units.select("geo_id"), "geo_id", "left_semi"
     )
-    ranked = prefix_sum(direct, "ordinal", keys=["geo_id"], ties=["person_id"])
-    return ranked.where(F.col("rank") < n).drop("ordinal")
+    # The limit on the place reaches the map side: n rows per unit and task are shuffled.
+    order = Window.partitionBy("geo_id").orderBy("ordinal", "person_id")
+    first = direct.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
+    return first.withColumn("rank", F.col("_place") - 1).drop("ordinal", "_place")

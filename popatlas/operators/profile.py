@@ -12,6 +12,7 @@ from popatlas.functions.decode import literal_rows
 from popatlas.functions.rounding import round_to
 from popatlas.model import World, property_columns
 from popatlas.operators.people import activity_masks
+from popatlas.plans.joins import join_on_keys
 from popatlas.plans.quantiles import exact_quantiles
 from popatlas.plans.sets import count_names
 
@@ -81,7 +82,7 @@ def profile_numeric(
             for p, name in QUARTILES.items()
         ]
     )
-    return moments.join(wide, keys, "left")
+    return join_on_keys(moments, wide, keys, "left")
 
 
 def profile_categorical(
@@ -101,7 +102,7 @@ def profile_categorical(
     # The rank limit reaches the map side, so k values per task travel, not all of them.
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("value").asc())
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return top.join(totals, keys).withColumn(
+    return join_on_keys(top, totals, keys).withColumn(
         "percent", round_to(F.lit(100.0) * F.col("n") / F.col("count"), 2)
     )
 

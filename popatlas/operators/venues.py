@@ -31,7 +31,11 @@ def venue_types(w: World) -> DataFrame:
 
 def venue_members_total(w: World) -> DataFrame:
     """``venue_id, num_members`` over the subsets of each venue."""
-    return w.subsets.groupBy("venue_id").agg(F.sum("member_count").alias("num_members"))
+    return _member_totals(w.subsets)
+
+
+def _member_totals(subsets: DataFrame) -> DataFrame:
+    return subsets.groupBy("venue_id").agg(F.sum("member_count").alias("num_members"))
 
 
 def venue_features(w: World, venue_type: str | None = None) -> DataFrame:
@@ -71,10 +75,10 @@ def venue_subsets(w: World) -> DataFrame:
 
 
 def venue_detail(w: World, venue_id: int | None = None) -> DataFrame:
-    """One row per venue (or of one venue) with its ordered subset list.
+    """Each venue (or one) with its ordered subset list, keyed by ``venue_id, part``.
 
-    An unknown id gives no row. A venue whose subset list exceeds one part continues in
-    further rows, see :func:`popatlas.plans.nesting.nest`.
+    An unknown id gives no row. Nearly every venue has part 0 only; one whose subset list
+    exceeds a part continues in further rows, see :func:`popatlas.plans.nesting.nest`.
     """
     venues, subsets = w.venues, w.subsets
     if venue_id is not None:
@@ -114,20 +118,32 @@ def venue_parents(w: World) -> DataFrame:
     )
 
 
-def venue_child_totals(w: World) -> DataFrame:
-    """``venue_id, child_count, total_child_members`` for every venue, own members
-    excluded."""
+def venue_child_totals(w: World, among: DataFrame | None = None) -> DataFrame:
+    """``venue_id, child_count, total_child_members`` for every venue (or those ``among``,
+    by ``venue_id``), own members excluded."""
+    venues = w.venues
+    below = venues.where(F.col("parent_id") != NO_PARENT).select(
+        "venue_id", F.col("parent_id").alias("_parent")
+    )
+    subsets = w.subsets
+    if among is not None:
+        wanted = among.select("venue_id")
+        venues = venues.join(wanted, "venue_id", "left_semi")
+        below = below.join(
+            wanted.withColumnRenamed("venue_id", "_wanted"),
+            F.col("_parent") == F.col("_wanted"),
+            "left_semi",
+        )
+        subsets = subsets.join(below.select("venue_id"), "venue_id", "left_semi")
     children = (
-        w.venues.where(F.col("parent_id") != NO_PARENT)
-        .select("venue_id", F.col("parent_id").alias("_parent"))
-        .join(venue_members_total(w), "venue_id", "left")
+        below.join(_member_totals(subsets), "venue_id", "left")
         .groupBy("_parent")
         .agg(
             F.count("*").alias("child_count"), F.sum("num_members").alias("total_child_members")
         )
     )
     zero = F.lit(0).cast("bigint")
-    return w.venues.join(children, F.col("venue_id") == F.col("_parent"), "left").select(
+    return venues.join(children, F.col("venue_id") == F.col("_parent"), "left").select(
         "venue_id",
         F.coalesce("child_count", zero).alias("child_count"),
         F.coalesce("total_child_members", zero).alias("total_child_members"),
@@ -135,10 +151,20 @@ def venue_child_totals(w: World) -> DataFrame:
 
 
 def _top_level(w: World, venue_type: str | None) -> DataFrame:
-    venues = w.venues.where(F.col("parent_id") == NO_PARENT)
+    venues = w.venues.where(F.coalesce("parent_id", F.lit(NO_PARENT)) == NO_PARENT)
     return venues if venue_type is None else venues.where(F.col("venue_type") == venue_type)
 
 
+def with_subsets(listed: DataFrame, w: World) -> DataFrame:
+    """Listed venues with one row per subset: ``subset_pos, subset_name, member_count``,
+    NULL for a venue without any. A venue on several listings has its rows on each."""
+    return listed.join(
+        w.subsets.select("venue_id", "subset_pos", "subset_name", "member_count"),
+        "venue_id",
+        "left",
+    )
+
+
 def unit_venues(
     w: World,
     unit: int | None = None,
@@ -148,12 +174,12 @@ def unit_venues(
 ) -> DataFrame:
     """Top-level venues of a unit's subtree in file order.
 
-    With ``unit`` and ``page``: that page, attributes and child totals joined to its few
-    rows only. Without ``unit``: the listing of every unit (``ancestor_id``), each row
+    With ``unit`` and ``page``: that page, attributes and child totals looked up for its
+    rows only. :func:`with_subsets` adds the subsets of the listed venues. Without ``unit``: the listing of every unit (``ancestor_id``), each row
     with its rank and page.
     """
-    def attributed(venues: DataFrame) -> DataFrame:
-        return venues.join(venue_child_totals(w), "venue_id").join(
+    def attributed(venues: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        return venues.join(venue_child_totals(w, among), "venue_id").join(
             _unit_names(w), "geo_id", "left"
         )
 
@@ -172,7 +198,7 @@ def unit_venues(
         "page", F.lit(clamp_page(page)).cast("bigint")
     )
     wanted = w.venues.select(*columns).join(sized_broadcast(rows, per_page), "venue_id")
-    return attributed(wanted).select(*shown)
+    return attributed(wanted, rows).select(*shown)
 
 
 def venue_children(
@@ -181,7 +207,8 @@ def venue_children(
     page: int | None = None,
     per_page: int = DEFAULT_PER_PAGE,
 ) -> DataFrame:
-    """Child venues of one parent, a page of them, or of all parents with their pages."""
+    """Child venues of one parent, a page of them, or of all parents with their pages.
+    :func:`with_subsets` adds their subsets."""
     children = w.venues.where(F.col("parent_id") != NO_PARENT)
     if parent is not None:
         children = children.where(F.col("parent_id") == parent)

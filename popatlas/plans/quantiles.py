@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from popatlas.plans.joins import join_on_keys
 from popatlas.plans.sizing import sized_broadcast
 
 ACCURACY = 100_000
@@ -21,7 +22,8 @@ def exact_quantiles(
     groups: int | None = None,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """``keys, prob, quantile`` by linear interpolation over the non-null values.
+    """``keys, prob, quantile`` by linear interpolation over the non-null values;
+    NULL keys form a group.
 
     Pass one brackets every quantile with a mergeable sketch, whose rank error is at most
     1/``accuracy``. Pass two counts, with map-side aggregation, what lies below each
@@ -54,7 +56,7 @@ def exact_quantiles(
     if keys:
         if groups is None:
             groups = df.select(*keys).distinct().count()
-        paired = rows.join(sized_broadcast(brackets, groups), keys)
+        paired = join_on_keys(rows, sized_broadcast(brackets, groups), keys)
     else:
         paired = rows.withColumn("_brackets", brackets.scalar())
     zone = (

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from popatlas.plans.joins import join_on_keys
+from popatlas.plans.sizing import fits
+
 BUCKET_WIDTH = 1 << 20
+# Slices in one run of the running sum over slices. A 64-bit order has at most 2^44 slices,
+# so neither a run nor the list of runs exceeds 2^22 rows per group, however sparse it is.
+RUN = 1 << 22
 
 
 def _bucket(order: str, width: int) -> Column:
@@ -20,14 +26,28 @@ def bucket_offsets(
     """``keys, _bucket, _sum, _offset``: sum per slice of the order and the sum before it.
 
     The slices are pre-aggregated, so the running sum sees one row per ``width`` ordinals.
+    It is taken in runs of ``RUN`` slices and shifted by the total of the runs before, so
+    spread-out orders (hashed ids), where every row is a slice, do not meet in one task.
     """
     sums = df.groupBy(*keys, _bucket(order, width).alias("_bucket")).agg(
         F.sum(value).alias("_sum")
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_run", F.expr(f"_bucket div {int(RUN)}"))
+
+    def before(by: Sequence[str], order: str) -> Column:
+        earlier = (
+            Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+
+    runs = sums.groupBy(*keys, "_run").agg(F.sum("_sum").alias("_sum"))
+    starts = runs.withColumn("_start", before(keys, "_run")).drop("_sum")
+    placed = sums.withColumn("_within", before([*keys, "_run"], "_bucket"))
+    return (
+        join_on_keys(placed, starts, [*keys, "_run"])
+        .withColumn("_offset", F.col("_start") + F.col("_within"))
+        .drop("_run", "_start", "_within")
     )
-    return sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
 
 
 def prefix_sum(
@@ -43,7 +63,8 @@ def prefix_sum(
     """Add the sum of ``value`` over the earlier rows of the group; without ``value``, the
     0-based rank.
 
-    ``order`` is an integer position (file order); ``ties`` break equal positions. The
+    ``order`` is an integer position (file order), NULL before all others; ``ties`` break
+    equal positions. NULL keys form a group. The
     order is cut into slices of ``width``; each slice of each group is sorted on its own
     and shifted by the total of the slices before it, so a group with a third of all rows
     is spread over as many tasks as it has slices.
@@ -57,10 +78,9 @@ def prefix_sum(
     else:
         before = within.rowsBetween(Window.unboundedPreceding, -1)
         local = F.coalesce(F.sum(amount).over(before), F.lit(0))
+    sliced = df.withColumn("_bucket", _bucket(order, width)).withColumn("_local", local)
     return (
-        df.withColumn("_bucket", _bucket(order, width))
-        .withColumn("_local", local)
-        .join(offsets, [*keys, "_bucket"])
+        join_on_keys(sliced, offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_local", "_offset")
     )
@@ -79,7 +99,8 @@ def rank_slice(
     """The rows ranked ``[start, stop)`` by ``order``, with their rank.
 
     Only the order slices that overlap the range are sorted. Each of them holds at least
-    one wanted row, so at most ``stop - start`` slice rows are broadcast.
+    one wanted row, so there are at most ``stop - start`` of them, which decides whether
+    their list may be broadcast.
     """
     width = width or BUCKET_WIDTH
     touched = (
@@ -88,9 +109,11 @@ def rank_slice(
         .select("_bucket", "_offset")
     )
     within = Window.partitionBy("_bucket").orderBy(order, *ties)
+    sliced = df.withColumn("_bucket", _bucket(order, width))
+    if fits(stop - start):
+        touched = F.broadcast(touched)
     return (
-        df.withColumn("_bucket", _bucket(order, width))
-        .join(F.broadcast(touched), "_bucket")
+        join_on_keys(sliced, touched, ["_bucket"])
         .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1)
         .where((F.col(name) >= start) & (F.col(name) < stop))
         .drop("_bucket", "_offset")
