@@ -121,7 +121,7 @@ class CheckWorld(World):
     or joins are derived on first use and stored, as a world would be."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.max_depth = 8
+        self.max_depth = None
         self._given = (spark, sf_dir)
         self.people = table(spark, sf_dir, "customer").selectExpr(*f.expressions(f.PEOPLE))
         self.venues = table(spark, sf_dir, "supplier").selectExpr(*f.expressions(f.VENUES))

@@ -76,7 +76,7 @@ def property_columns(df: DataFrame, table: str) -> list[str]:
 
 @dataclass
 class World:
-    """The world tables. ``max_depth`` bounds parent links from a unit to its root."""
+    """The world tables. With ``max_depth`` a deeper tree fails instead of being read."""
 
     geo: DataFrame
     people: DataFrame
@@ -84,7 +84,7 @@ class World:
     subsets: DataFrame
     memberships: DataFrame
     activities: DataFrame
-    max_depth: int = 8
+    max_depth: int | None = None
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -96,9 +96,16 @@ class World:
         from popatlas.plans.sizing import sized_broadcast
         from popatlas.plans.storage import stored
 
-        paths = stored(unit_paths(self.geo, self.max_depth, self.unit_count), "unit-paths")
+        paths = stored(unit_paths(self.geo, self.max_depth), "unit-paths")
         return sized_broadcast(paths, self.unit_count)
 
+    @cached_property
+    def closure_rows(self) -> int:
+        """How many (unit, ancestor) pairs there are, units with themselves included."""
+        from pyspark.sql import functions as F
+
+        return self.paths.agg(F.sum(F.size("path").cast("bigint"))).first()[0] or 0
+
     @cached_property
     def activity_names(self) -> list[str] | None:
         """The activity names in use, or None when they are no short list."""

@@ -32,7 +32,7 @@ def _direct_positions(
     listings = listings.select(F.col("_unit").alias("geo_id"), "_listing", *extra)
     if not extra:
         # A unit is in the listings of its path only, which bounds their number.
-        listings = sized_broadcast(listings, w.unit_count * (w.max_depth + 1))
+        listings = sized_broadcast(listings, w.closure_rows)
     listed = facts.select("geo_id", identifier, "ordinal", *extra).join(
         listings, ["geo_id", *extra]
     )

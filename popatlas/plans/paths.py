@@ -6,48 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popatlas.model import NO_PARENT
-from popatlas.plans.sizing import fits, sized_broadcast
+from popatlas.plans.sizing import sized_broadcast
+from popatlas.plans.storage import stored
 
 
-def _links(geo: DataFrame, unit_count: int) -> DataFrame:
-    """Parent links to climb by. Past the broadcast bound only units that have children
-    are kept: leaves are never climbed through, and the rest is a far smaller table."""
-    links = geo.select(
-        F.col("geo_id").alias("_id"),
-        F.when(F.col("parent_id") != NO_PARENT, F.col("parent_id")).alias("_up"),
+def _parent_links(geo: DataFrame) -> DataFrame:
+    """``geo_id, path, _next``: each unit alone and its parent, NULL where it is missing."""
+    parent = F.when(F.col("parent_id") != NO_PARENT, F.col("parent_id"))
+    links = geo.select("geo_id", parent.alias("_up"))
+    known = links.select(F.col("geo_id").alias("_known"))
+    return links.join(sized_broadcast(known), F.col("_up") == F.col("_known"), "left").select(
+        "geo_id", F.array("geo_id").alias("path"), F.col("_known").alias("_next")
     )
-    if fits(unit_count):
-        return F.broadcast(links)
-    inner = geo.select(F.col("parent_id").alias("_id")).distinct()
-    return sized_broadcast(links.join(inner, "_id", "left_semi"))
 
 
-def unit_paths(geo: DataFrame, max_depth: int, unit_count: int) -> DataFrame:
+def unit_paths(geo: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``geo_id, path`` with the unit itself first and its root last.
 
-    One left join per tree level against the same parent links, so the broadcast (or the
-    shuffled side) is built once and reused, and all the steps run in one stage. A missing
-    parent ends the path. A path longer than ``max_depth`` links fails the query: it is a
-    cycle or a deeper tree than was declared.
+    Every round appends to each unfinished path that of the unit it leads to, which doubles
+    its length, so a tree of any depth takes log2(depth) rounds. A round is stored, or its
+    lineage would double too. A missing parent ends the path. Cycles fail the query, as do
+    paths of more than ``max_depth`` links where that is given.
     """
-    links = _links(geo, unit_count)
-    climbing = geo.select(
-        "geo_id",
-        F.array("geo_id").alias("path"),
-        F.when(F.col("parent_id") != NO_PARENT, F.col("parent_id")).alias("_next"),
-    )
-    for _ in range(max_depth + 1):
-        climbing = climbing.join(links, F.col("_next") == F.col("_id"), "left").select(
-            "geo_id",
-            F.when(F.col("_id").isNull(), F.col("path"))
-            .otherwise(F.concat("path", F.array("_id")))
-            .alias("path"),
-            F.col("_up").alias("_next"),
+    climbing = stored(_parent_links(geo), "climbing")
+    while True:
+        leads_on = climbing.where(F.col("_next").isNotNull())
+        if leads_on.isEmpty():
+            break
+        # Few units are led to: leaves never are, so this side stays far below the table.
+        targets = leads_on.select(F.col("_next").alias("geo_id")).distinct()
+        onward = sized_broadcast(climbing.join(targets, "geo_id", "left_semi")).select(
+            F.col("geo_id").alias("_id"), F.col("path").alias("_more"), F.col("_next").alias("_then")
+        )
+        longer = leads_on.join(onward, F.col("_next") == F.col("_id")).select(
+            "geo_id", F.concat("path", "_more").alias("path"), F.col("_then").alias("_next")
+        )
+        grown = _checked(longer, max_depth)
+        climbing = stored(
+            climbing.where(F.col("_next").isNull()).unionByName(grown), "climbing"
         )
-    too_deep = F.raise_error(F.lit(f"geography is cyclic or deeper than {max_depth} links"))
-    return climbing.select(
-        "geo_id",
-        F.when(F.size("path") > max_depth + 1, too_deep.cast("array<bigint>"))
-        .otherwise(F.col("path"))
-        .alias("path"),
+    return climbing.select("geo_id", "path")
+
+
+def _checked(paths: DataFrame, max_depth: int | None) -> DataFrame:
+    fault = F.when(F.size(F.array_distinct("path")) < F.size("path"), "geography is cyclic")
+    if max_depth is not None:
+        deeper = f"geography is cyclic or deeper than {max_depth} links"
+        fault = F.when(F.size("path") > max_depth + 1, deeper).otherwise(fault)
+    return paths.withColumn(
+        "path",
+        F.when(fault.isNotNull(), F.raise_error(fault).cast("array<bigint>")).otherwise(
+            F.col("path")
+        ),
     )

@@ -67,7 +67,7 @@ def read_world(
     path: str,
     fmt: str = "parquet",
     schemas: dict[str, T.StructType] | None = None,
-    max_depth: int = 8,
+    max_depth: int | None = None,
 ) -> World:
     """The world stored below ``path``, one directory per table."""
     schemas = schemas or {}

@@ -27,7 +27,7 @@ def spark():
 def build(spark):
     """A world from rows; tables not given are empty."""
 
-    def make(max_depth=8, **rows):
+    def make(max_depth=None, **rows):
         tables = {
             name: spark.createDataFrame(rows.get(name, []), schema)
             for name, schema in SCHEMAS.items()

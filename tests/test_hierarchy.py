@@ -30,7 +30,7 @@ def test_descendants_exclude_the_unit(tree):
 
 
 def test_cycle_and_depth_fail(build):
-    with pytest.raises(Exception, match="cyclic or deeper"):
+    with pytest.raises(Exception, match="cyclic"):
         h.closure(build(geo=[unit(1, 2), unit(2, 1)])).collect()
     chain = [unit(0, -1), *(unit(i, i - 1) for i in range(1, 5))]
     assert h.closure(build(geo=chain, max_depth=4)).count() == 15
@@ -38,6 +38,17 @@ def test_cycle_and_depth_fail(build):
         h.closure(build(geo=chain, max_depth=3)).collect()
 
 
+def test_a_deep_tree_needs_no_declared_depth(build):
+    chain = [unit(i, i - 1) for i in range(41)]
+    assert h.closure(build(geo=chain)).count() == 41 * 42 // 2
+
+
+def test_cycle_below_a_chain_fails(build):
+    loop = [unit(10, 12), unit(11, 10), unit(12, 11), unit(1, 11), unit(2, 1), unit(3, -1)]
+    with pytest.raises(Exception, match="cyclic"):
+        h.closure(build(geo=loop)).collect()
+
+
 def test_preorder_visits_siblings_in_file_order(tree):
     order = {g: (n, size) for g, n, size in rows(h.preorder(tree))}
     assert [g for g, _ in sorted(order.items(), key=lambda x: x[1])] == [1, 3, 5, 6, 2, 4, 7, 8]

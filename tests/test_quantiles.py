@@ -51,3 +51,11 @@ def test_categorical_profile_keeps_the_top_and_counts_all(spark):
     top = profile_categorical(df, ["c"], k=4).orderBy("place").collect()
     assert [r.value for r in top] == ["v02", "v05", "v08", "v11"]
     assert {(r["count"], r.unique_count, r.percent) for r in top} == {(60, 30, 5.0)}
+
+
+def test_null_groups_keep_their_profile(spark):
+    df = spark.createDataFrame([(None, 1.0, "a"), (None, 3.0, "a"), ("x", 5.0, "b")], "g string, v double, c string")
+    numeric = {r.g: (r["count"], r["median"]) for r in profile_numeric(df, ["v"], by=["g"]).collect()}
+    assert numeric == {None: (2, 2.0), "x": (1, 5.0)}
+    top = profile_categorical(df, ["c"], by=["g"])
+    assert sorted((r.g or "", r.value, r.n) for r in top.collect()) == [("", "a", 2), ("x", "b", 1)]

@@ -92,3 +92,20 @@ def test_size_budget_keeps_the_crossing_record(spark, budget, start, kept):
     marked = paging.take_within_bytes(df, "ordinal", "size", budget, start)
     assert rows(marked.where("kept"), "ordinal") == [(i,) for i in range(kept)]
     assert rows(paging.budget_report(marked, "size")) == [(kept, 5 - kept, 5 * kept)]
+
+
+def test_null_positions_come_first_and_null_keys_form_a_group(spark):
+    data = [(None, 5), (None, None), (1, 7), (1, None), (1, 2)]
+    df = spark.createDataFrame(data, "k bigint, o bigint")
+    got = {(r.k, r.o): r["rank"] for r in prefix_sum(df, "o", keys=["k"], width=2).collect()}
+    assert got == {(None, None): 0, (None, 5): 1, (1, None): 0, (1, 2): 1, (1, 7): 2}
+    first = rank_slice(df.where("k = 1"), "o", 0, 2, width=2)
+    assert sorted(r.o is None for r in first.collect()) == [False, True]
+
+
+def test_slices_of_a_spread_order_are_summed_in_runs(spark, monkeypatch):
+    monkeypatch.setattr("popatlas.plans.ranking.RUN", 4)
+    values = [random.Random(i).randrange(-(1 << 62), 1 << 62) for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "o bigint")
+    ranked = prefix_sum(df, "o", width=16)
+    assert [r.o for r in ranked.orderBy("rank").collect()] == sorted(values)
