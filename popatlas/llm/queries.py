@@ -115,4 +115,56 @@ ORACLES: dict[str, str] = {
                count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM hashed""",
+    "op8_chat_format": """
+        WITH turns AS (
+          SELECT DISTINCT CAST(floor(conv_id / 2.0e0) AS BIGINT) AS pair_id,
+                 conv_id % 2 = 0 AS chosen,
+                 coalesce(CAST(turn AS BIGINT), -4611686018427387904) AS turn, role, text
+          FROM conversations WHERE conv_id IS NOT NULL),
+        sides AS (
+          SELECT pair_id, turn,
+                 list({'role': role, 'text': text} ORDER BY role NULLS FIRST, text NULLS FIRST)
+                   FILTER (WHERE chosen) AS c,
+                 list({'role': role, 'text': text} ORDER BY role NULLS FIRST, text NULLS FIRST)
+                   FILTER (WHERE NOT chosen) AS r
+          FROM turns GROUP BY pair_id, turn),
+        firsts AS (
+          SELECT pair_id, min(turn) AS first_difference FROM sides
+          WHERE c IS DISTINCT FROM r GROUP BY pair_id),
+        drawn AS (
+          SELECT t.pair_id, CAST(floor(t.turn / 1000.0e0) AS BIGINT) AS part, t.turn, role, text,
+                 CASE WHEN first_difference IS NULL OR t.turn < first_difference
+                      THEN CASE WHEN chosen THEN 'p' END
+                      WHEN chosen THEN 'c' ELSE 'r' END AS goes_to,
+                 concat('<|im_start|>', replace(replace(coalesce(role, 'unknown'),
+                   '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>'), chr(10)) AS head,
+                 replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'),
+                   '<|im_end|>', '<im_end>') AS body
+          FROM turns t LEFT JOIN firsts f ON f.pair_id = t.pair_id),
+        placed AS (
+          SELECT *, row_number() OVER w AS place,
+                 sum(length(head) + length(body) + 11) OVER w - length(body) - 11 AS body_start
+          FROM drawn
+          WINDOW w AS (PARTITION BY pair_id, part, goes_to
+                       ORDER BY turn, role NULLS FIRST, text NULLS FIRST)),
+        lines AS (
+          SELECT pair_id, part, goes_to, place, concat(head, body, '<|im_end|>', chr(10)) AS line,
+                 CASE WHEN role = 'assistant'
+                      THEN concat(body_start, '-', body_start + length(body)) END AS span
+          FROM placed)
+        SELECT pair_id, part,
+               count(*) FILTER (WHERE goes_to = 'p') AS n_prompt_turns,
+               count(*) FILTER (WHERE goes_to = 'c') AS n_chosen_turns,
+               count(*) FILTER (WHERE goes_to = 'r') AS n_rejected_turns,
+               coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE goes_to = 'p'), '')
+                 AS prompt,
+               coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE goes_to = 'c'), '')
+                 AS chosen,
+               coalesce(string_agg(span, ',' ORDER BY place) FILTER (WHERE goes_to = 'c'), '')
+                 AS chosen_spans,
+               coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE goes_to = 'r'), '')
+                 AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY place) FILTER (WHERE goes_to = 'r'), '')
+                 AS rejected_spans
+        FROM lines GROUP BY pair_id, part""",
 }
