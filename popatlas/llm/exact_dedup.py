@@ -82,8 +82,10 @@ def drop_exact_copies(
 ) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops, all columns kept.
 
-    Only ids of dropped rows travel. Where an id occurs more than once among them (repeated
-    rows), those few rows are told apart by their text.
+    The list of dropped ids grows with the input, so it is joined by a shuffle at every
+    size, each task hashing its share of the list; rows are neither sorted nor broadcast.
+    Where an id occurs more than once among them (repeated rows), those few rows are told
+    apart by their text.
     """
     ids = exact_groups(docs, id_col, text_col, tracked)
     tally = (
@@ -92,7 +94,7 @@ def drop_exact_copies(
         .agg(F.max("kept").alias("any_kept"), F.count("*").alias("copies"))
         .where(~F.col("any_kept") | (F.col("copies") > 1))
     )
-    tally = stored(tally, "dropped")
+    tally = stored(tally, "dropped").hint("shuffle_hash")
     digest = F.sha2(utf8(ascii_lower(whole_text(text_col))), 256)
     once = docs.withColumns({"_sha": digest, "_id": F.col(id_col)})
     same = F.col("_id").eqNullSafe(F.col("_t.doc_id")) & (F.col("_sha") == F.col("_t.text_sha256"))
