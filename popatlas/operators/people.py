@@ -204,4 +204,4 @@ def first_people(w: World, n: int = DEFAULT_PER_PAGE) -> DataFrame:
     # The limit on the place reaches the map side: n rows per unit and task are shuffled.
     order = Window.partitionBy("geo_id").orderBy("ordinal", "person_id")
     first = direct.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
-    return first.withColumn("rank", F.col("_place") - 1).drop("ordinal", "_place")
+    return first.withColumn("rank", (F.col("_place") - 1).cast("bigint")).drop("ordinal", "_place")
