@@ -549,18 +549,18 @@ def unit_venue_subsets(spark, sf):
     f""", totals AS ({_CHILD_TOTALS}), listed AS (
          SELECT venue_id, row_number() OVER (ORDER BY ordinal) - 1 AS rank
          FROM venues JOIN closure ON geo_id = descendant_id
-         WHERE parent_id = -1 AND ancestor_id = 0 AND venue_type = 'school')
+         WHERE parent_id = -1 AND ancestor_id = 0 AND venue_type = 'household')
        SELECT CAST(0 AS BIGINT) AS ancestor_id, l.venue_id, l.rank, CAST(2 AS BIGINT) AS page,
               v.name, t.child_count, t.total_child_members, s.subset_pos, s.subset_name,
               s.member_count
        FROM listed l JOIN venues v ON l.venue_id = v.venue_id
        JOIN totals t ON t.venue_id = v.venue_id LEFT JOIN subsets s ON s.venue_id = v.venue_id
-       WHERE l.rank // 1 = 1"""
+       WHERE l.rank = 1"""
 )
 def unit_venue_page(spark, sf):
     """One page of one type's venues below one unit, with subset lists."""
     w = cw.world(spark, sf)
-    listed = venues.unit_venues(w, unit=0, venue_type="school", page=2, per_page=1)
+    listed = venues.unit_venues(w, unit=0, venue_type="household", page=2, per_page=1)
     shown = ["ancestor_id", "venue_id", "rank", "page", "name", "child_count"]
     return venues.with_subsets(listed.select(*shown, "total_child_members"), w)
 
