@@ -137,6 +137,7 @@ def _windows(path: str, window: int, group: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder(path).release()  # the worker may have encoded before; here it needs no words
+        pa.default_memory_pool().release_unused()
         first = TaskContext.get().partitionId() << 33
         held: list[pa.RecordBatch] = []
         waiting = 0
@@ -155,6 +156,7 @@ def _windows(path: str, window: int, group: int):
                     held, waiting = [], 0
         if held:
             yield from packed(pa.Table.from_batches(held), first)[0]
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -30,7 +30,7 @@ PER_LABEL = 2000
 NEIGHBOURS = 25
 SHARPNESS = 8
 THRESHOLD = 0.3
-BLOCK = 512
+BLOCK = 128  # rows scored at once; a block takes TERMS numbers a row, several times over
 CHUNK = 1 << 22
 
 
