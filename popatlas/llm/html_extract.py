@@ -161,11 +161,14 @@ def _best(node: Node) -> int:
 
 
 def _literals(node: Node, path: tuple[str, ...], into: set[tuple[tuple[str, ...], str]]) -> None:
-    """Texts that are the same on all pages, by the keys above them."""
+    """Texts that are the same on all pages, by the keys above them. What is optional or
+    repeated is not on all pages, nor is what lies below it."""
     for kid in node.kids:
+        if kid.maybe or kid.many:
+            continue
         if kid.key != TEXT:
             _literals(kid, (*path, kid.key), into)
-        elif kid.text is not None and not kid.maybe and not kid.many:
+        elif kid.text is not None:
             into.add((path, kid.text))
 
 
