@@ -10,8 +10,9 @@ that are the same on all pages stay literal.
 The wrapper tells where the main text is: in ``article`` elements, else in ``main`` ones,
 else in those named as content, else in the slots of the whole page. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments are left out by element and name.
-Literals within the main region are template text and left out too, provided that at least
-``SURE`` pages with different texts were aligned. A page without the wrapper's region is
+All else within articles and elements named as content is kept. Literals of a ``main`` region
+or of a whole page are template text and left out too, provided that at least ``SURE`` pages
+with different texts were aligned. A page without the wrapper's region is
 read by the same order of preference on its own.
 
 Hosts are split into blocks by a hash of the page, of at most about ``PAGES`` pages and
@@ -38,6 +39,7 @@ PAGES = 400
 BYTES = 16 << 20
 WIDEST = 3
 SURE = 5
+WHOLE = (0, 2)
 
 LEFT_OUT_TAGS = frozenset(
     """head nav header footer aside form button select input fieldset dialog menu object embed canvas
@@ -191,18 +193,23 @@ def extract(htmls: list[str]) -> list[str]:
     pages = [parse(html, LEFT_OUT_WORDS) for html in htmls]
     wrapper = infer(pages)
     rank = _best(wrapper)
-    found = []
+    found, ranks = [], []
     for page in pages:
         own = rank if _best(page) <= rank else _best(page)
         texts: list[tuple[tuple[str, ...], str]] = []
         _gather(page, (), own, own == 3, texts)
         if not texts and own < 3:
-            _gather(page, (), min(own, _best(page)), False, texts)
+            own = min(own, _best(page))
+            _gather(page, (), own, False, texts)
         found.append(texts)
+        ranks.append(own)
     template: set[tuple[tuple[str, ...], str]] = set()
     if len({tuple(t) for t in found}) >= SURE and _slots(wrapper):
         _literals(wrapper, (), template)
-    return [" ".join(t for p, t in texts if (p, t) not in template) for texts in found]
+    return [
+        " ".join(t for p, t in texts if own in WHOLE or (p, t) not in template)
+        for own, texts in zip(ranks, found, strict=True)
+    ]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,3 +11,10 @@ def test_what_one_page_alone_has_is_no_template_text():
     assert html_extract.extract([f"<main><section id=s{'abcdef'[i]}><p>own {i}</p></section></main>" for i in range(6)]) == [
         f"own {i}" for i in range(6)
     ]
+
+
+def test_articles_keep_what_all_pages_share():
+    for start, end in (("<article>", "</article>"), ("<div class=content>", "</div>")):
+        pages = [f"{start}<h1>One title</h1><p>Same lead</p><p>body {i}</p>{end}" for i in range(8)]
+        for n in (1, 4, 5, 8):
+            assert html_extract.extract(pages[:n]) == [f"One title Same lead body {i}" for i in range(n)]
