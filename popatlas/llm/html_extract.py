@@ -9,7 +9,8 @@ that are the same on all pages stay literal.
 
 The wrapper tells where the main text is: in ``article`` elements, else in ``main`` ones,
 else in those named as content, else in the slots of the whole page. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments are left out by element and name.
+footers, sidebars, notices, adverts, forms and comments are left out by element and by whole
+names; no name but ``hidden`` leaves out pages, articles or headings, nor an id a section.
 All else within articles and elements named as content is kept. Literals of a ``main`` region
 or of a whole page are template text and left out too, provided that at least ``SURE`` pages
 with different texts were aligned. A page without the wrapper's region is
@@ -22,6 +23,7 @@ Null or empty pages give an empty text; pages without a host share the host "".
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popatlas.llm.common import long_rows
-from popatlas.llm.html_tree import TEXT, Node, parse
+from popatlas.llm.html_tree import HIDDEN, TEXT, Node, parse
 from popatlas.llm.runs import whole_runs
 from popatlas.plans.storage import stored
 
@@ -52,20 +54,41 @@ LEFT_OUT_WORDS = frozenset(
     promo promoted promotion related replies reply respond search share sharing sidebar signup social
     sponsor sponsored subscribe toolbar topbar widget widgets""".split()
 )
+LEFT_OUT_NAMES = LEFT_OUT_WORDS | {HIDDEN}
+FRAME_TAGS = frozenset("article main h1 nav header footer".split())
+PARTS = re.compile(r"[^a-z]+")
+MAIN_WORDS = frozenset({"main"})
 CONTENT_WORDS = frozenset("articlebody article content entry post story body".split())
 
 
 def left_out(node: Node) -> bool:
-    return node.tag in LEFT_OUT_TAGS or bool(node.words & LEFT_OUT_WORDS)
+    """By element or by a whole name. A form that holds a page's frame is no form of its own."""
+    if node.names & LEFT_OUT_NAMES:
+        return True
+    return node.tag in LEFT_OUT_TAGS and not (node.tag == "form" and _holds(node, FRAME_TAGS))
+
+
+def _holds(node: Node, tags: frozenset[str]) -> bool:
+    return any(kid.tag in tags or _holds(kid, tags) for kid in node.kids)
+
+
+def _named(node: Node, words: frozenset[str]) -> bool:
+    """Whether a name has one of the words and none that tells of something else."""
+    if not node.words & words:
+        return False
+    if not node.words & LEFT_OUT_WORDS:
+        return True
+    parts = (frozenset(PARTS.split(name)) for name in node.names)
+    return any(part & words and not part & LEFT_OUT_WORDS for part in parts)
 
 
 def preference(node: Node) -> int:
     """How surely an element is the main text: 0 most, 3 not at all."""
     if node.tag == "article":
         return 0
-    if node.tag == "main" or "main" in node.words:
+    if node.tag == "main" or _named(node, MAIN_WORDS):
         return 1
-    return 2 if node.words & CONTENT_WORDS and node.tag not in ("body", "html") else 3
+    return 2 if _named(node, CONTENT_WORDS) and node.tag not in ("body", "html") else 3
 
 
 def merge(into: Node, node: Node) -> None:
@@ -143,6 +166,7 @@ def _next(places: dict[str, list[int]], key: str, start: int) -> int | None:
 def folded(node: Node) -> Node:
     """A copy of the tree with repeated siblings folded."""
     copy = Node(node.tag, node.words, node.text)
+    copy.names = node.names
     copy.kids = fold([folded(kid) for kid in node.kids])
     return copy
 
@@ -190,7 +214,7 @@ def _gather(node: Node, path: tuple[str, ...], rank: int, inside: bool, out: lis
 
 def extract(htmls: list[str]) -> list[str]:
     """The main text of each page of one host."""
-    pages = [parse(html, LEFT_OUT_WORDS) for html in htmls]
+    pages = [parse(html, LEFT_OUT_NAMES) for html in htmls]
     wrapper = infer(pages)
     rank = _best(wrapper)
     found, ranks = [], []

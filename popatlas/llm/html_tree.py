@@ -41,18 +41,26 @@ _MARKUP = re.compile(
 )
 _NAMES = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+_SHOWN = re.compile(r"(?:^|\s)(?:class|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_ID = re.compile(r"(?:^|\s)id\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+# Elements whose ids name a place in the text, and those that no name but ``hidden`` tells about.
+ANCHORS = frozenset("a section".split())
+UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+HIDDEN = "[hidden]"
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
-    """An element or a text. ``key`` is what nodes are aligned by."""
+    """An element or a text. ``key`` is what nodes are aligned by, ``words`` the words of its
+    names, ``names`` the whole names that may tell that it is left out."""
 
-    __slots__ = ("key", "tag", "words", "kids", "text", "many", "maybe")
+    __slots__ = ("key", "tag", "words", "names", "kids", "text", "many", "maybe")
 
     def __init__(self, tag: str, words: frozenset[str] = frozenset(), text: str | None = None):
         self.tag, self.words, self.text = tag, words, text
         self.key = f"{tag}.{'.'.join(sorted(words))}" if words else tag
+        self.names: frozenset[str] = frozenset()
         self.kids: list[Node] = []
         self.many = self.maybe = False
 
@@ -66,9 +74,23 @@ def _words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _names(tag: str, attributes: str) -> frozenset[str]:
+    """Whole class, role and other names, in small letters, and ``HIDDEN`` if so marked."""
+    if "=" not in attributes and "hidden" not in attributes:
+        return frozenset()
+    found = []
+    if tag not in UNNAMED:
+        found = [n for v in _SHOWN.findall(attributes) for n in v.strip("\"'").lower().split()]
+        if tag not in ANCHORS:
+            found += [n for v in _ID.findall(attributes) for n in v.strip("\"'").lower().split()]
+    if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        found.append(HIDDEN)
+    return frozenset(found)
+
+
 def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
     """The tree of a page. Inline elements dissolve into the text around them, unless one of
-    their words is in ``marked``; a line break becomes a blank. End tags without a start are
+    their names is in ``marked``; a line break becomes a blank. End tags without a start are
     ignored, missing ones implied. Comments and raw content (scripts, say) are left out.
     Elements more than ``DEEPEST`` levels down do not nest; their texts join those around."""
     root = Node("page")
@@ -112,7 +134,8 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
             texts.append(" ")
             continue
         words = _words(attributes)
-        if tag in INLINE and not words & marked:
+        names = _names(tag, attributes) if words else words
+        if tag in INLINE and not names & marked:
             continue
         flush()
         ended = ENDS.get(tag, ())
@@ -125,6 +148,7 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
             elif stack[depth].tag in KEEPS_APART:
                 break
         node = Node(tag, words)
+        node.names = names
         stack[-1].kids.append(node)
         if tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
