@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 INLINE = frozenset(
@@ -92,9 +93,12 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
     """The tree of a page. Inline elements dissolve into the text around them, unless one of
     their names is in ``marked``; a line break becomes a blank. End tags without a start are
     ignored, missing ones implied. Comments and raw content (scripts, say) are left out.
-    Elements more than ``DEEPEST`` levels down do not nest; their texts join those around."""
+    Elements more than ``DEEPEST`` levels down do not nest; their texts join those around, and
+    their end tags close only them."""
     root = Node("page")
     stack = [root]
+    deeper: list[str] = []
+    counts: Counter[str] = Counter()
     texts: list[str] = []
 
     def flush() -> None:
@@ -112,10 +116,19 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
         end, start, attributes = found[1], found[2] or found[4], found[3] or found[5] or ""
         if end:
             tag = end.lower()
+            if counts[tag]:
+                flush()
+                last = ""
+                while last != tag:
+                    last = deeper.pop()
+                    counts[last] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     flush()
                     del stack[depth:]
+                    deeper.clear()
+                    counts.clear()
                     break
             else:
                 if tag == "p" or (tag not in INLINE and tag != "br"):
@@ -138,7 +151,7 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
         if tag in INLINE and not names & marked:
             continue
         flush()
-        ended = ENDS.get(tag, ())
+        ended = () if deeper else ENDS.get(tag, ())
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in ended:
                 del stack[depth:]
@@ -150,8 +163,12 @@ def parse(html: str, marked: frozenset[str] = frozenset()) -> Node:
         node = Node(tag, words)
         node.names = names
         stack[-1].kids.append(node)
-        if tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                deeper.append(tag)
+                counts[tag] += 1
     texts.append(html[at:])
     flush()
     return root

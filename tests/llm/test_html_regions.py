@@ -39,3 +39,9 @@ def test_only_whole_names_leave_out():
     for name in ('class="x Ad"', "id=comments", 'role="complementary"', "hidden", 'aria-label="share"'):
         assert html_extract.extract([f"<article>{body}<div {name}>no</div></article>"]) == ["T text"]
     assert html_extract.extract([f"<article>{body}<form><p>no</p></form></article>"]) == ["T text"]
+
+
+def test_end_tags_below_the_deepest_level_close_nothing_else():
+    deep = "<div>" * 300 + "deep" + "</div>" * 300
+    page = f"<div><article><p>before</p>{deep}<p>after</p></article></div><p>outside</p>"
+    assert html_extract.extract([page]) == ["before deep after"]
