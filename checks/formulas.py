@@ -100,6 +100,10 @@ ACTIVITY_NAMES = (
     "residence",
     "commute",
 )
+# What a world without some of its labels lacks: sexes, venue types and activities.
+NO_SEX = "person_id % 7 = 3"
+NO_VENUE_TYPE = "venue_id % 4 = 1"
+NO_ACTIVITY = "seq % 5 = 2"
 EVENT_TYPES = ("click", "error", "purchase", "recovery", "signup", "view")
 # Venue ids reach a quarter beyond the suppliers, at every scale factor.
 EVENT_VENUE = """CASE WHEN event_type = 'error' THEN CAST(NULL AS BIGINT)

@@ -199,6 +199,37 @@ def unit_stats_categories(spark, sf):
     return us.stats_long(us.unit_stats(cw.world(spark, sf)))
 
 
+@query("SELECT geo_id, kind, category, n FROM unlabelled_rolled")
+def unit_stats_missing_labels(spark, sf):
+    stats = us.unit_stats(cw.unlabelled_world(spark, sf))
+    return us.stats_long(stats, ["sex", "venue", "activity"])
+
+
+@query(
+    """SELECT g.geo_id, category AS venue_type, n, s.population FROM geo_units g
+       JOIN unlabelled_rolled r ON r.geo_id = g.geo_id AND kind = 'venue'
+       JOIN stats s ON s.geo_id = g.geo_id WHERE g.lat IS NOT NULL"""
+)
+def level_features_missing_labels(spark, sf):
+    w = cw.unlabelled_world(spark, sf)
+    shown = us.level_features(w, us.unit_stats(w, with_activities=False))
+    return shown.select("geo_id", "population", F.explode("venue_types").alias("venue_type", "n"))
+
+
+@query(
+    """SELECT d.geo_id, category AS sex, n, n / population * 100 AS percent
+       FROM unlabelled_rolled d JOIN unit_population p ON p.geo_id = d.geo_id
+       WHERE kind = 'sex'"""
+)
+def unit_detail_missing_labels(spark, sf):
+    w = cw.unlabelled_world(spark, sf)
+    detail = us.unit_detail(w, us.unit_stats(w))
+    entries = detail.select("geo_id", "population", F.explode("sex_distribution").alias("sex", "n"))
+    return entries.select(
+        "geo_id", "sex", "n", (F.col("n") / F.col("population") * 100).alias("percent")
+    )
+
+
 @query("SELECT geo_id, population, venues_count, children_count, has_stats FROM stats")
 def unit_stats_totals(spark, sf):
     return us.unit_stats(cw.world(spark, sf), with_activities=False).select(
@@ -675,6 +706,22 @@ def activity_map_sizes(spark, sf):
     )
 
 
+@query(
+    """SELECT person_id, coalesce(activity, 'unknown') AS activity,
+              coalesce(venue_type, 'unknown') AS venue_type, count(*) AS visits
+       FROM unlabelled_activities JOIN unlabelled_venues USING (venue_id)
+       GROUP BY ALL"""
+)
+def activity_map_missing_labels(spark, sf):
+    nested = people.activity_map(cw.unlabelled_world(spark, sf))
+    return (
+        nested.select("person_id", F.explode("activity_map").alias("activity", "venues"))
+        .select("person_id", "activity", F.explode("venues").alias("venue_type", "visits"))
+        .groupBy("person_id", "activity", "venue_type")
+        .agg(F.sum(F.size("visits")).alias("visits"))
+    )
+
+
 @query(
     """SELECT p.person_id, v.venue_type, v.name AS venue_name FROM people p
        LEFT JOIN (SELECT person_id, arg_min(venue_id, seq) AS venue_id FROM activities
@@ -828,6 +875,21 @@ def locate_venues(spark, sf):
 _SIZED = "length(sex) + length(segment) + 24"
 
 
+@query(
+    """SELECT v.venue_id, g.name AS unit, t.venue_type, coalesce(r.rank, 0) // 2 + 1 AS page
+       FROM venues v JOIN unlabelled_venues t ON t.venue_id = v.venue_id
+       LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN (SELECT ancestor_id, v.venue_id, row_number() OVER
+                           (PARTITION BY ancestor_id, u.venue_type ORDER BY ordinal) - 1 AS rank
+                  FROM venues v JOIN unlabelled_venues u ON u.venue_id = v.venue_id
+                  JOIN closure ON v.geo_id = descendant_id WHERE parent_id = -1) r
+         ON r.venue_id = v.venue_id AND r.ancestor_id = v.geo_id"""
+)
+def locate_venues_missing_types(spark, sf):
+    """Venues without a type have a listing of their own."""
+    return locate.locate_venues(cw.unlabelled_world(spark, sf), per_page=2)
+
+
 @query(
     f"""SELECT person_id, CAST(bytes AS BIGINT) AS bytes,
                CAST(bytes_before AS BIGINT) AS bytes_before,
@@ -1009,6 +1071,16 @@ def event_frames_overlapping(spark, sf):
     return frames.bake_frames(cw.event_log(spark, sf), step=0.5, width=2.0)
 
 
+@query(
+    """SELECT event_type, frame, geo_id, count(*) AS n
+       FROM located JOIN frame_times ON time <= frame_time AND time >= frame_time - 10.0e0
+       GROUP BY event_type, frame, geo_id"""
+)
+def event_frames_wide(spark, sf):
+    """Windows ten steps wide, counted by differences."""
+    return frames.bake_frames(cw.event_log(spark, sf), step=1.0, width=10.0)
+
+
 @query(
     """SELECT event_type, k AS frame, geo_id, count(*) AS n
        FROM located JOIN (

@@ -93,6 +93,29 @@ CTES: dict[str, str] = {
         SELECT ancestor_id AS geo_id, kind, category, CAST(sum(n) AS BIGINT) AS n
         FROM direct JOIN closure ON geo_id = descendant_id
         GROUP BY ancestor_id, kind, category""",
+    # Labels go missing as in the formulas; what is missing counts as unknown.
+    "unlabelled_people": f"""
+        SELECT person_id, geo_id, CASE WHEN NOT ({f.NO_SEX}) THEN sex END AS sex FROM people""",
+    "unlabelled_venues": f"""
+        SELECT venue_id, geo_id, CASE WHEN NOT ({f.NO_VENUE_TYPE}) THEN venue_type END
+          AS venue_type FROM venues""",
+    "unlabelled_activities": f"""
+        SELECT person_id, seq, venue_id, CASE WHEN NOT ({f.NO_ACTIVITY}) THEN activity END
+          AS activity FROM activities""",
+    "unlabelled_direct": """
+        SELECT geo_id, 'sex' AS kind, coalesce(sex, 'unknown') AS category, count(*) AS n
+        FROM unlabelled_people JOIN geo_units USING (geo_id) GROUP BY geo_id, category
+        UNION ALL
+        SELECT geo_id, 'venue', coalesce(venue_type, 'unknown') AS category, count(*)
+        FROM unlabelled_venues JOIN direct_people USING (geo_id) GROUP BY geo_id, category
+        UNION ALL
+        SELECT geo_id, 'activity', activity, count(DISTINCT person_id)
+        FROM unlabelled_activities JOIN people USING (person_id) JOIN geo_units USING (geo_id)
+        WHERE activity IS NOT NULL GROUP BY geo_id, activity""",
+    "unlabelled_rolled": """
+        SELECT ancestor_id AS geo_id, kind, category, CAST(sum(n) AS BIGINT) AS n
+        FROM unlabelled_direct JOIN closure ON geo_id = descendant_id
+        GROUP BY ancestor_id, kind, category""",
     "child_counts": """
         SELECT parent_id AS geo_id, count(*) AS children_count FROM geo_units
         WHERE parent_id <> -1 GROUP BY parent_id""",

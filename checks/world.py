@@ -148,6 +148,24 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     return CheckWorld(spark, sf_dir)
 
 
+@cache
+def unlabelled_world(spark: SparkSession, sf_dir: str) -> World:
+    """The check world with sexes, venue types and activities missing here and there."""
+    full = world(spark, sf_dir)
+
+    def without(df: DataFrame, column: str, where: str) -> DataFrame:
+        return df.withColumn(column, F.when(~F.expr(where), F.col(column)))
+
+    return World(
+        full.geo,
+        without(full.people, "sex", f.NO_SEX),
+        without(full.venues, "venue_type", f.NO_VENUE_TYPE),
+        full.subsets,
+        full.memberships,
+        without(full.activities, "activity", f.NO_ACTIVITY),
+    )
+
+
 def days(ts) -> F.Column:
     """Days since 2024-01-01, UTC."""
     start = F.lit(1704067200000000)

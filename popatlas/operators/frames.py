@@ -18,7 +18,7 @@ from popatlas.operators.events import (
     resolve_geo,
 )
 
-# Windows wider than this many steps are counted per run before they are spread.
+# Windows wider than this many steps are counted by differences.
 MANY_FRAMES = 2
 
 
@@ -56,10 +56,11 @@ def bake_frames(
     """``event_type, frame, geo_id, n``, only where n > 0: events within [t_k − width, t_k].
 
     Each event falls in one run of consecutive frames, found by arithmetic; the closed
-    bounds are tested exactly, on the frame times rounded to 6 decimals. When windows
-    overlap a lot, events with the same type, unit and run are counted first and only
-    those counts are spread over the frames; otherwise an event has one or two frames and
-    a single aggregation does.
+    bounds are tested exactly, on the frame times rounded to 6 decimals. Where windows
+    overlap a lot, counting works by differences: a run adds its events at its first frame
+    and takes them away after its last, so at most two rows per run are shuffled however
+    wide the windows are, and a running sum gives the counts. Otherwise an event has one or
+    two frames and a single aggregation does.
     """
     grid = _grid(log, step)
     t0, last = grid.select("t0").scalar(), grid.select("last").scalar()
@@ -88,10 +89,36 @@ def bake_frames(
         located = resolve_geo(inside.select("*", frame).drop("_first", "_final"), log)
         return located.groupBy("event_type", "frame", "geo_id").agg(F.count("*").alias("n"))
     counted = count_by_unit(inside, log, ["event_type", "_first", "_final"])
+    return _summed_differences(counted)
+
+
+def _summed_differences(runs: DataFrame) -> DataFrame:
+    """``event_type, frame, geo_id, n`` from runs ``_first, _final`` of ``n`` events each.
+
+    A (type, unit) has at most one difference a frame, so a window partition is as long as
+    the time grid at most. Between two differences the count stays as it is.
+    """
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("_first").alias("at"), F.col("n").alias("by")),
+            F.struct((F.col("_final") + 1).alias("at"), (-F.col("n")).alias("by")),
+        )
+    )
+    differences = (
+        runs.select("event_type", "geo_id", ends.alias("d"))
+        .groupBy("event_type", "geo_id", "d.at")
+        .agg(F.sum("d.by").alias("by"))
+        .where("by <> 0")
+    )
+    order = Window.partitionBy("event_type", "geo_id").orderBy("at")
+    level = F.sum("by").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        counted.select("event_type", "geo_id", frame, "n")
-        .groupBy("event_type", "frame", "geo_id")
-        .agg(F.sum("n").cast("bigint").alias("n"))
+        differences.withColumn("n", level.cast("bigint"))
+        .withColumn("_until", F.lead("at").over(order) - 1)
+        .where("n > 0")
+        .select(
+            "event_type", F.explode(F.sequence("at", "_until")).alias("frame"), "geo_id", "n"
+        )
     )
 
 

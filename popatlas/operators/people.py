@@ -12,8 +12,8 @@ from popatlas.functions.paging import DEFAULT_PER_PAGE, clamp_page
 from popatlas.model import UNKNOWN, World, property_columns
 from popatlas.operators.hierarchy import subtree_rows
 from popatlas.operators.paging import all_pages, paginate
+from popatlas.plans.nesting import PART_SIZE, labelled, map_of
 from popatlas.plans.sizing import sized_broadcast
-from popatlas.plans.nesting import PART_SIZE
 from popatlas.plans.sets import mask_of, names_in
 
 
@@ -89,13 +89,15 @@ def activity_map(
 ) -> DataFrame:
     """``person_id, part, activity_map``: activity → venue type → visits in stored order.
 
-    A person with more than ``part_size`` assignments continues in further parts.
+    A person with more than ``part_size`` assignments continues in further parts. An
+    assignment without an activity is listed under ``UNKNOWN``.
     """
     visit = F.struct("seq", "subset_name", "venue_id", "venue_name", "venue_type")
     # One shuffle, by what all three groupings share.
     by_type = (
         person_activities(w, ids)
         .withColumn("part", F.expr(f"seq div {int(part_size)}"))
+        .withColumn("activity", labelled("activity"))
         .repartition("person_id", "part")
         .groupBy("person_id", "part", "activity", "venue_type")
         .agg(F.array_sort(F.collect_list(visit)).alias("visits"))
@@ -113,12 +115,10 @@ def activity_map(
         )
     )
     by_activity = by_type.groupBy("person_id", "part", "activity").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("venue_type", "visits")))).alias(
-            "venues"
-        )
+        map_of("venue_type", "visits").alias("venues")
     )
     return by_activity.groupBy("person_id", "part").agg(
-        F.map_from_entries(F.collect_list(F.struct("activity", "venues"))).alias("activity_map")
+        map_of("activity", "venues").alias("activity_map")
     )
 
 

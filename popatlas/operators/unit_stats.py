@@ -15,6 +15,7 @@ from popatlas.functions.decode import has_coordinates
 from popatlas.model import AGE_BREAKS, AGE_LABELS, World
 from popatlas.operators.hierarchy import child_counts, with_ancestors
 from popatlas.operators.people import activity_masks
+from popatlas.plans.nesting import labelled, map_of
 from popatlas.plans.sets import count_names
 
 ALL = "all"
@@ -157,9 +158,12 @@ def unit_stats(
     """The statistics record of every unit, subtree included.
 
     ``has_stats`` is false for childless units without people, whose counts are all zero;
-    with ``populated_only=False`` every unit has statistics.
+    with ``populated_only=False`` every unit has statistics. People without a sex and venues
+    without a type count under ``UNKNOWN``, with those that are stored so.
     """
-    direct = unit_measures(w, populated_only, with_activities)
+    direct = unit_measures(w, populated_only, with_activities).withColumn(
+        "category", labelled("category")
+    )
     rolled = rollup(direct, w, ["kind", "category"], counted=True)
 
     def total(kind: str, category: str | None = None) -> Column:
@@ -169,8 +173,7 @@ def unit_stats(
         return F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0)).cast("bigint")
 
     def as_map(kind: str) -> Column:
-        entry = F.when(F.col("kind") == kind, F.struct("category", "n"))
-        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+        return map_of("category", "n", F.col("kind") == kind)
 
     records = rolled.groupBy("geo_id").agg(
         total("population").alias("population"),

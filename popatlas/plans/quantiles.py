@@ -1,16 +1,75 @@
-"""Exact interpolated quantiles without sorting or collecting the column."""
+"""Exact interpolated quantiles by histogram refinement, without sorting a column."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popatlas.plans.joins import join_on_keys
 from popatlas.plans.sizing import sized_broadcast
+from popatlas.plans.storage import stored
 
-ACCURACY = 100_000
+# Buckets of one round, and how many values are few enough to be told apart at once.
+BUCKETS = 1 << 16
+# Buckets for each doubling of the magnitude in the first round: at most 2 x 2098 doublings.
+PER_DOUBLING = 8
+_ZERO = 1 << 20
+
+BRACKET = ["lo", "hi", "below", "inside", "ranks"]
+
+
+def _magnitude(value: Column) -> Column:
+    """A bucket that grows with the value: by sign, then by the logarithm of its size.
+
+    A rounded logarithm still never falls while its argument grows, so buckets are in the
+    order of the values, whatever side of a border a value falls on.
+    """
+    size = F.floor(F.log2(F.abs(value)) * PER_DOUBLING)
+    return (
+        F.when(value > 0, F.lit(_ZERO) + size).when(value < 0, -F.lit(_ZERO) - size).otherwise(F.lit(0))
+    ).cast("double")
+
+
+def _within(value: Column, buckets: int) -> Column:
+    """A bucket of the value in its bracket: the value itself where the bracket holds few,
+    else its place between the ends, which also never falls while the value grows."""
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    place = F.floor((value - lo) / (hi - lo) * buckets).cast("double")
+    return F.when(F.col("_b.inside") <= buckets, value).otherwise(place)
+
+
+def _narrowed(tally: DataFrame, keys: Sequence[str], by: Sequence[str], ranks: Column) -> DataFrame:
+    """The buckets that hold a wanted rank, as brackets. ``tally`` has a row per bucket."""
+    upto = Window.partitionBy(*keys, *by).orderBy("_bucket")
+    before = F.coalesce(
+        F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    return (
+        tally.withColumn("below", F.col("_below") + before)
+        .withColumn(
+            "ranks",
+            F.filter(
+                ranks, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("_c"))
+            ),
+        )
+        .where(F.size("ranks") > 0)
+        .select(
+            *keys,
+            "_n",
+            F.col("_min").alias("lo"),
+            F.col("_max").alias("hi"),
+            "below",
+            F.col("_c").alias("inside"),
+            "ranks",
+        )
+    )
+
+
+def _rank(prob: Column, n: Column, above: bool) -> Column:
+    low = F.floor(prob * (n - 1))
+    return F.least(low + 1, n - 1) if above else low
 
 
 def exact_quantiles(
@@ -20,93 +79,79 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     *,
     groups: int | None = None,
-    accuracy: int = ACCURACY,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """``keys, prob, quantile`` by linear interpolation over the non-null values;
-    NULL keys form a group.
+    """``keys, prob, quantile`` by linear interpolation over the finite values; NULL keys
+    form a group.
 
-    Pass one brackets every quantile with a mergeable sketch, whose rank error is at most
-    1/``accuracy``. Pass two counts, with map-side aggregation, what lies below each
-    bracket and how often each value inside it occurs. Only those inside values (about
-    4/``accuracy`` of the rows, equal values merged) are then put in order. The ranks are
-    counts, so the answer is exact; a bracket that misses its rank fails the query.
+    A round counts values by bucket, map-side first, with the smallest and the largest
+    value of each bucket. Counts tell which buckets hold the wanted ranks; only their values
+    go on to the next round, in finer buckets between those two values. A bracket of at
+    most ``buckets`` values takes the values themselves as buckets, so the round after is
+    its last; otherwise a round divides its width by ``buckets``, and it ends in any case
+    when its smallest and largest value agree. Nothing is estimated: buckets follow the
+    order of the values and ranks are counts. No task gets more rows than buckets times
+    brackets of a group.
 
-    ``groups`` is the number of key groups when the caller knows it; it decides whether
-    the brackets may be broadcast, and is counted otherwise.
+    Rounds run when this is called. ``groups`` is the number of key groups when the caller
+    knows it; it decides whether brackets may be broadcast, and is counted otherwise.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
-    ends = [b for p in probs for b in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_ends")
-    )
-    bracket = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.col("_ends")[2 * i].alias("lo"),
-                F.col("_ends")[2 * i + 1].alias("hi"),
-                F.col("_n").alias("n"),
+    raw = F.col(value).cast("double")
+    finite = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != F.lit(float("inf")))
+    rows = df.where(finite).select(*keys, raw.alias("_v"))
+    counts = [F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    ranks = F.array_distinct(
+        F.flatten(
+            F.transform(
+                wanted,
+                lambda p: F.array(_rank(p, F.col("_n"), False), _rank(p, F.col("_n"), True)),
             )
-            for i, p in enumerate(probs)
-        ]
-    )
-    brackets = sketch.where("_n > 0").select(*keys, bracket.alias("_brackets"))
-    if keys:
-        if groups is None:
-            groups = df.select(*keys).distinct().count()
-        paired = join_on_keys(rows, sized_broadcast(brackets, groups), keys)
-    else:
-        paired = rows.withColumn("_brackets", brackets.scalar())
-    zone = (
-        F.when(F.col("_v") < F.col("_b.lo"), F.lit(0))
-        .when(F.col("_v") <= F.col("_b.hi"), F.lit(1))
-        .otherwise(F.lit(2))
-    )
-    tally = (
-        paired.withColumn("_b", F.explode("_brackets"))
-        .withColumn("_zone", zone)
-        .groupBy(
-            *keys,
-            F.col("_b.prob").alias("prob"),
-            F.col("_b.n").alias("_n"),
-            "_zone",
-            F.when(F.col("_zone") == 1, F.col("_v")).alias("_inside"),
         )
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    so_far = (
-        Window.partitionBy(*keys, "prob")
-        .orderBy("_zone", "_inside")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    tally = rows.groupBy(*keys, _magnitude(F.col("_v")).alias("_bucket")).agg(*counts)
+    totalled = tally.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    found = stored(
+        _narrowed(totalled.withColumn("_below", F.lit(0).cast("bigint")), keys, [], ranks),
+        "brackets",
     )
-    # A bracket may end one rank short; then the wanted value is the largest one below it
-    # or the smallest one above it, which the two outer zones carry.
-    position = F.col("prob") * (F.col("_n") - 1)
-    low, high = F.floor(position), F.least(F.floor(position) + 1, F.col("_n") - 1)
-    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-
-    def at(rank):
-        return (
-            F.when((F.col("_zone") == 0) & (rank == last), F.col("_max"))
-            .when((F.col("_zone") == 1) & rank.between(first, last), F.col("_inside"))
-            .when((F.col("_zone") == 2) & (rank == first), F.col("_min"))
+    done = [found.where("lo = hi")]
+    active = found.where("lo < hi")
+    while not active.isEmpty():
+        bracket = F.struct(*BRACKET)
+        packed = active.groupBy(*keys, "_n").agg(F.collect_list(bracket).alias("_brackets"))
+        if keys:
+            if groups is None:
+                groups = packed.count()
+            paired = join_on_keys(rows, sized_broadcast(packed, groups), keys)
+        else:
+            only = packed.select(F.struct("_n", "_brackets").alias("only")).scalar()
+            paired = rows.withColumn("_only", only).select("_v", "_only.*")
+        held = paired.withColumn("_b", F.explode("_brackets")).where(
+            (F.col("_v") >= F.col("_b.lo")) & (F.col("_v") <= F.col("_b.hi"))
         )
-
-    picked = (
-        tally.withColumn("_upto", F.sum("_c").over(so_far))
-        .withColumn("_low", at(low))
-        .withColumn("_high", at(high))
-        .groupBy(*keys, "prob", "_n")
-        .agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+        tally = (
+            held.groupBy(*keys, "_n", "_b", _within(F.col("_v"), buckets).alias("_bucket"))
+            .agg(*counts)
+            .withColumn("_below", F.col("_b.below"))
+        )
+        found = stored(_narrowed(tally, keys, ["_b"], F.col("_b.ranks")), "brackets")
+        done.append(found.where("lo = hi"))
+        active = found.where("lo < hi")
+    values = done[0]
+    for more in done[1:]:
+        values = values.unionByName(more)
+    by_rank = values.select(*keys, "_n", F.explode("ranks").alias("_rank"), F.col("lo").alias("_v"))
+    at = by_rank.groupBy(*keys, "_n").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    share = position - F.floor(position)
-    return picked.select(
-        *keys,
-        "prob",
-        F.when(F.col("_low").isNull() | F.col("_high").isNull(), missed)
-        .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
-        .alias("quantile"),
+    n, prob = F.col("_n"), F.col("prob")
+    position = prob * (n - 1)
+    low = F.element_at("_at", _rank(prob, n, False))
+    high = F.element_at("_at", _rank(prob, n, True))
+    return (
+        at.select(*keys, "_n", "_at", F.explode(wanted).alias("prob"))
+        .withColumn("quantile", low + (high - low) * (position - F.floor(position)))
+        .select(*keys, "prob", "quantile")
     )

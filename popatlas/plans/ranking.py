@@ -26,12 +26,20 @@ def bucket_offsets(
     """``keys, _bucket, _sum, _offset``: sum per slice of the order and the sum before it.
 
     The slices are pre-aggregated, so the running sum sees one row per ``width`` ordinals.
-    It is taken in runs of ``RUN`` slices and shifted by the total of the runs before, so
-    spread-out orders (hashed ids), where every row is a slice, do not meet in one task.
     """
     sums = df.groupBy(*keys, _bucket(order, width).alias("_bucket")).agg(
         F.sum(value).alias("_sum")
     )
+    return slice_offsets(sums, keys)
+
+
+def slice_offsets(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_offset``, the sum before it, to each slice ``keys, _bucket, _sum``.
+
+    The running sum is taken in runs of ``RUN`` slices and shifted by the total of the runs
+    before, so spread-out orders (hashed ids), where every row is a slice, do not meet in
+    one task.
+    """
     sums = sums.withColumn("_run", F.expr(f"_bucket div {int(RUN)}"))
 
     def before(by: Sequence[str], order: str) -> Column:
@@ -59,6 +67,7 @@ def prefix_sum(
     ties: Sequence[str] = (),
     width: int | None = None,
     name: str = "rank",
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the earlier rows of the group; without ``value``, the
     0-based rank.
@@ -68,10 +77,16 @@ def prefix_sum(
     order is cut into slices of ``width``; each slice of each group is sorted on its own
     and shifted by the total of the slices before it, so a group with a third of all rows
     is spread over as many tasks as it has slices.
+
+    ``offsets`` (:func:`slice_offsets`) may be handed in where they are known already; rows
+    of groups that they do not list get NULL.
     """
     keys, width = list(keys), width or BUCKET_WIDTH
     amount = F.lit(1) if value is None else F.col(value)
-    offsets = bucket_offsets(df, order, keys, amount, width).drop("_sum")
+    how = "inner" if offsets is None else "left"
+    if offsets is None:
+        offsets = bucket_offsets(df, order, keys, amount, width)
+    offsets = offsets.drop("_sum")
     within = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     if value is None:
         local = F.row_number().over(within) - 1
@@ -80,7 +95,7 @@ def prefix_sum(
         local = F.coalesce(F.sum(amount).over(before), F.lit(0))
     sliced = df.withColumn("_bucket", _bucket(order, width)).withColumn("_local", local)
     return (
-        join_on_keys(sliced, offsets, [*keys, "_bucket"])
+        join_on_keys(sliced, offsets, [*keys, "_bucket"], how)
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_local", "_offset")
     )

@@ -114,6 +114,22 @@ def test_frames_match_brute_force(build_log, step, width):
     assert fr.frame_index(log, 1e9, step).first()[0] == length - 1
 
 
+def test_wide_frames_move_two_rows_a_run(build_log):
+    """Thirty frames a run: the explode comes after the running sum."""
+    events = [("a", float(i % 40), i % 3, -1) for i in range(400)]
+    log = build_log(events, people=[(p, p) for p in range(3)])
+    baked = fr.bake_frames(log, 1.0, 30.0)
+    want = {}
+    for _, time, person, _ in events:
+        for k in range(40):
+            if k - 30 <= time <= k:
+                want[(k, person)] = want.get((k, person), 0) + 1
+    assert {(r.frame, r.geo_id): r.n for r in baked.collect()} == want
+    plan = baked._jdf.queryExecution().optimizedPlan().toString()
+    sequence, window = plan.index("sequence("), plan.index("Window [")
+    assert sequence < window and plan.count("sequence(") == 1
+
+
 def test_events_past_the_last_whole_step_are_in_no_frame(build_log):
     log = build_log([("e", t, 1, 0) for t in (0.0, 1.0, 1.9)], [(0, 4)])
     assert rows(fr.bake_frames(log, 1, 0.5), "frame", "n") == [(0, 1), (1, 1)]

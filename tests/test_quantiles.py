@@ -17,15 +17,20 @@ def samples():
         "skewed": np.exp(rng.normal(size=1800) * 4),
         "hot": np.concatenate([np.full(900, 7.0), rng.random(1500)]),
         "negative": -np.arange(301.0),
+        "both signs": np.concatenate([-np.exp(rng.normal(size=300)), np.zeros(99), rng.random(300)]),
+        "zeros": np.array([0.0, -0.0, 0.0]),
+        "extreme": np.array([5e-324, -5e-324, 1.7e308, 1.0, 1e-300, -1.7e308, 2.0**0.125]),
+        "powers": 2.0 ** np.arange(-60, 60),
+        "close": 1.0 + np.arange(400) * 2.0**-52,
     }
 
 
-@pytest.mark.parametrize("accuracy", [20, 100_000])
-def test_exact_at_any_sketch_accuracy(spark, accuracy):
+@pytest.mark.parametrize("buckets", [2, 20, 1 << 16])
+def test_exact_with_any_number_of_buckets(spark, buckets):
     data = samples()
     cells = [(name, float(v)) for name, values in data.items() for v in values]
     df = spark.createDataFrame([*cells, ("none", None)], "k string, v double").repartition(5)
-    got = exact_quantiles(df, "v", PROBS, ["k"], accuracy=accuracy).collect()
+    got = exact_quantiles(df, "v", PROBS, ["k"], buckets=buckets).collect()
     assert {r.k for r in got} == set(data)
     for r in got:
         assert r["quantile"] == pytest.approx(float(np.quantile(data[r.k], r.prob)), rel=1e-12), r
@@ -59,3 +64,23 @@ def test_null_groups_keep_their_profile(spark):
     assert numeric == {None: (2, 2.0), "x": (1, 5.0)}
     top = profile_categorical(df, ["c"], by=["g"])
     assert sorted((r.g or "", r.value, r.n) for r in top.collect()) == [("", "a", 2), ("x", "b", 1)]
+
+
+def test_no_sketch_and_no_row_of_one_group_in_one_task(spark):
+    """A third of the rows in one group, all of one value: one row per task is shuffled."""
+    df = spark.range(0, 90_000, 1, 6).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k",
+        "CASE WHEN id % 3 = 0 THEN 7.0 ELSE CAST(id AS DOUBLE) END AS v",
+    )
+    got = exact_quantiles(df, "v", [0.5], ["k"])
+    assert "percentile_approx" not in got._jdf.queryExecution().toString()
+    values = {r.k: r["quantile"] for r in got.collect()}
+    pdf = df.toPandas()
+    assert values == pytest.approx(pdf.groupby("k")["v"].median().to_dict())
+
+
+def test_only_finite_values_have_quantiles(spark):
+    values = [float("inf"), float("nan"), None, 3.0, float("-inf"), 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["quantile"] for r in exact_quantiles(df, "v", [0.5, 1.0]).orderBy("prob").collect()] == [2.0, 3.0]
+    assert exact_quantiles(df.where("v is null"), "v", [0.5]).count() == 0

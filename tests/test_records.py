@@ -155,6 +155,32 @@ def test_locate_without_unit_and_for_children(club):
     assert found == {0: 1, 1: 1, 2: 1, 3: 1}
 
 
+def test_each_fact_is_located_once_whatever_its_id(build):
+    """Repeated and missing ids, unknown units, missing orders and types: one row each."""
+    w = build(
+        geo=[(0, 0, "top", "l", -1, 1.0, 2.0), (1, 1, "sub", "m", 0, 1.0, 2.0)],
+        people=[(5, 0, 1, "m", 1), (5, 1, 1, "m", 1), (None, 2, 1, "m", 0), (6, 3, 1, "m", 77),
+                (7, 4, 1, "m", None), (8, None, 1, "m", 0)],
+        venues=[(1, 0, "a", None, 0, -1, None, None, None), (1, 1, "b", None, 0, -1, None, None, None),
+                (2, 2, "c", None, 0, 1, None, None, None), (3, 3, "d", "bar", None, -1, None, None, None),
+                (None, 4, "e", "bar", 1, -1, None, None, None)],
+    )
+    got = sorted(map(tuple, locate.locate_people(w, 1).collect()), key=str)
+    assert got == sorted([(5, "sub", 1), (5, "sub", 2), (None, "top", 4), (6, None, 1), (7, None, 1), (8, "top", 1)], key=str)
+    got = sorted(map(tuple, locate.locate_venues(w, 1).collect()), key=str)
+    want = [(1, "top", None, 1), (1, "top", None, 2), (2, "top", None, 1), (3, None, "bar", 1), (None, "sub", "bar", 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_locating_scans_the_facts_once(spark):
+    from checks import world as check_world
+
+    w = check_world.world(spark, "/root/testdata/sf0.001")
+    for located, table in ((locate.locate_people(w), "customer"), (locate.locate_venues(w), "supplier")):
+        plan = located._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"/{table}.parquet") == 1
+
+
 def test_world_profile(club, build):
     summary = profile.population_summary(club).first()
     assert (summary.total_people, summary.mean_age, summary.min_age) == (3, 35.0, 25)

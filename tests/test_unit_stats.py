@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from popatlas.operators import profile
+from popatlas.operators import people, profile
 from popatlas.operators import unit_stats as us
 from tests.conftest import rows
 
@@ -126,3 +126,42 @@ def test_detail_with_display_names(city, spark):
 def test_root_population_is_people_with_a_known_unit(city, populated_only):
     stats = us.unit_stats(city, populated_only)
     assert stats.where("geo_id = 0").first().population == city.people.count()
+
+
+def test_missing_labels_count_as_unknown(build):
+    """One NULL sex, venue type and activity each; stored unknowns share their entry."""
+    w = build(
+        geo=[unit(0, "top", "l", -1), unit(1, "sub", "m", 0)],
+        people=[(0, 0, 20, None, 1), (1, 1, 20, "unknown", 1), (2, 2, None, "male", 0)],
+        venues=[
+            (0, 0, "a", None, 1, -1, None, None, False),
+            (1, 1, "b", "unknown", 0, -1, None, None, False),
+            (2, 2, "c", "bar", 0, -1, None, None, False),
+        ],
+        activities=[(0, 0, None, 0, 0), (0, 1, "unknown", 1, 0), (1, 0, "leisure", 2, 0)],
+    )
+    stats = {r.geo_id: r for r in us.unit_stats(w).collect()}
+    assert stats[0].sex_distribution == {"male": 1, "unknown": 2}
+    assert stats[0].venue_types == {"bar": 1, "unknown": 2}
+    assert stats[1].venue_types == {"unknown": 1}
+    assert stats[0].activity_counts == {"leisure": 1, "unknown": 1}
+    assert stats[0].population == 3 and sum(stats[0].age_distribution.values()) == 2
+    assert us.level_features(w, us.unit_stats(w)).count() == 2
+    detail = {r.geo_id: r for r in us.unit_detail(w, us.unit_stats(w)).collect()}
+    assert detail[1].sex_distribution == {"unknown": 2}
+    maps = {r.person_id: r.activity_map for r in people.activity_map(w).collect()}
+    assert set(maps[0]) == {"unknown"} and set(maps[1]) == {"leisure"}
+    assert [v.venue_id for v in maps[0]["unknown"]["unknown"]] == [0, 1]
+    assert [v.venue_id for v in maps[1]["leisure"]["bar"]] == [2]
+
+
+def test_all_labels_missing(build):
+    w = build(
+        geo=[unit(0, "top", "l", -1)],
+        people=[(0, 0, None, None, 0)],
+        venues=[(0, 0, None, None, 0, -1, None, None, None)],
+        activities=[(0, 0, None, 0, 0)],
+    )
+    r = us.unit_stats(w).first()
+    assert r.sex_distribution == {"unknown": 1} and r.venue_types == {"unknown": 1}
+    assert r.activity_counts == {}
