@@ -56,9 +56,11 @@ def _bytes_of(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Unit rows of root frequencies times term weights; rows without terms stay zero."""
-    x = np.sqrt(counts.astype(np.float32)) * weights
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    x = counts.astype(np.float32)
+    np.sqrt(x, out=x)
+    x *= weights
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.divide(x, norm, out=x, where=norm > 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,7 +72,7 @@ class Votes:
     """The fitted space, the sample's latent vectors and their labels."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = RANK):
-        seen = (counts > 0).sum(axis=0)
+        seen = np.count_nonzero(counts, axis=0)
         self.weights = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
         self.labels = labels.astype(np.float64)
         x = weighted(counts, self.weights)
@@ -102,12 +104,33 @@ class Votes:
         return np.clip(out, 0, 1)
 
 
+_CELL = np.dtype([("slot", ">u2"), ("count", ">u4")])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The label and the counts that are not 0, slot by slot."""
     for batch in batches:
-        rows = [term_counts(b).astype("<u4").tobytes() for b in _bytes_of(batch["text"])]
+        rows = []
+        for text in _bytes_of(batch["text"]):
+            counts = term_counts(text)
+            cells = np.empty(np.count_nonzero(counts), _CELL)
+            cells["slot"] = np.flatnonzero(counts)
+            cells["count"] = counts[cells["slot"]]
+            rows.append(cells.tobytes())
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(rows, pa.binary())], ["label", "counts"])
 
 
+def _table_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels of the sample in an order that its content alone decides, so ties
+    between neighbours fall the same way however the rows arrive."""
+    rows.sort(key=lambda r: (bytes(r["counts"]), r["label"]))
+    counts = np.zeros((len(rows), TERMS), np.float32)  # whole numbers below 2^24 are exact
+    for row, found in zip(counts, rows):
+        cells = np.frombuffer(found["counts"], _CELL)
+        row[cells["slot"]] = cells["count"]
+    return counts, np.array([r["label"] for r in rows])
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -132,9 +155,9 @@ def fit(
         .select("label", "text")
     )
     rows = texts.mapInArrow(_counted, "label int, counts binary").collect()
-    counts = np.array([np.frombuffer(r["counts"], "<u4") for r in rows]).reshape(len(rows), TERMS)
-    order = np.lexsort(counts.T[:8]) if len(rows) else []
-    return Votes(counts[order], np.array([r["label"] for r in rows])[order])
+    counts, known_labels = _table_of(rows)
+    del rows
+    return Votes(counts, known_labels)
 
 
 def score(
