@@ -18,6 +18,7 @@ from popatlas.operators import (
     extent,
     frames,
     hierarchy,
+    incremental,
     locate,
     map_classes,
     paging,
@@ -199,6 +200,46 @@ def unit_stats_categories(spark, sf):
     return us.stats_long(us.unit_stats(cw.world(spark, sf)))
 
 
+def _three_batches(w):
+    """People in three batches: most live where they did, some come later, and every ninth
+    was first counted in the unit of the next person's id and has moved since."""
+    moved = w.people.where("person_id % 9 = 4")
+    others = w.people.select((F.col("person_id") - 1).alias("person_id"), F.col("geo_id").alias("_old"))
+    before = moved.join(others, "person_id").withColumn("geo_id", F.col("_old")).drop("_old")
+    settled = w.people.where("person_id % 9 <> 4 and person_id % 5 <> 0")
+    late = w.people.where("person_id % 9 <> 4 and person_id % 5 = 0")
+    return settled, before, late, moved
+
+
+@query(
+    """SELECT ancestor_id AS geo_id, sex, count(*) AS n
+       FROM people JOIN closure ON geo_id = descendant_id GROUP BY ancestor_id, sex"""
+)
+def rollup_incremental(spark, sf):
+    """Counts by sex of whole subtrees, kept up to date from batches and compacted."""
+    w = cw.world(spark, sf)
+    settled, before, late, moved = _three_batches(w)
+    store = incremental.CountStore(spark, storage.new_folder(spark, "counts"), ["sex"])
+    store.write(incremental.people_delta(w, settled.unionByName(before), by=["sex"]))
+    store.write(incremental.people_delta(w, late, by=["sex"]), "late")
+    store.compact()
+    store.write(incremental.people_delta(w, moved, before, by=["sex"]), "moves")
+    return store.counts()
+
+
+@query(
+    """SELECT ancestor_id AS geo_id, event_type, count(*) AS n
+       FROM located JOIN closure ON geo_id = descendant_id GROUP BY ancestor_id, event_type"""
+)
+def event_rollup_incremental(spark, sf):
+    """Events per unit and type: the counts of the first weeks, merged with those after."""
+    w, log = cw.world(spark, sf), cw.event_log(spark, sf)
+    first = incremental.event_delta(log, w, log.events.where("time < 20"))
+    later = incremental.event_delta(log, w, log.events.where("time >= 20"))
+    base, delta = storage.stored(first, "event-base"), storage.stored(later, "event-delta")
+    return incremental.merged(base, delta, ["event_type"])
+
+
 @query("SELECT geo_id, kind, category, n FROM unlabelled_rolled")
 def unit_stats_missing_labels(spark, sf):
     stats = us.unit_stats(cw.unlabelled_world(spark, sf))
@@ -1465,9 +1506,9 @@ def _event_stream(spark, sf):
     return raw.selectExpr(*_EVENT_COLUMNS)
 
 
-def _replayed(spark, counts):
+def _replayed(spark, counts, combine=None):
     path = storage.new_folder(spark, "stream")
-    streaming.replay(counts, f"{path}/counts", f"{path}/checkpoint")
+    streaming.replay(counts, f"{path}/counts", f"{path}/checkpoint", combine)
     return spark.read.schema(counts.schema).parquet(f"{path}/counts")
 
 
@@ -1494,6 +1535,19 @@ def stream_rolling_counts(spark, sf):
     return _replayed(spark, counts).select(start, "event_type", "geo_id", "n")
 
 
+@query(
+    """SELECT CAST(k AS BIGINT) AS start_day, event_type, geo_id, count(*) AS n
+       FROM located JOIN range(-20, 4000) AS r(k) ON (k + 19723) % 2 = 0 AND time >= k AND time < k + 7
+       GROUP BY k, event_type, geo_id"""
+)
+def stream_paned_counts(spark, sf):
+    """Weeks that begin every other day (of 1970), from panes of one day."""
+    panes = streaming.stream_panes(_event_stream(spark, sf), cw.event_log(spark, sf), 7, 2)
+    found = _replayed(spark, panes, lambda counts: streaming.windows_of(counts, 7, 2))
+    start = F.floor(cw.days(F.col("window_start"))).alias("start_day")
+    return found.select(start, "event_type", "geo_id", "n")
+
+
 @query("SELECT event_type, geo_id, count(*) AS n FROM located GROUP BY event_type, geo_id")
 def stream_running_totals(spark, sf):
     return _replayed(
@@ -1510,16 +1564,39 @@ def stream_closed_days(spark, sf):
     """Daily windows appended once the watermark has closed them. The events arrive in
     files of four spans of eight days, one span after the other, and out of order within."""
     path = storage.new_folder(spark, "closed")
+    arriving = _arriving_in_spans(spark, sf, path)
+    windows = streaming.stream_daily(arriving, cw.event_log(spark, sf), lateness="9 days")
+    day = F.floor(cw.days(F.col("window_start"))).alias("day")
+    return _closed(spark, windows, path).select(day, "event_type", "geo_id", "n")
+
+
+def _arriving_in_spans(spark, sf, path):
     given = cw.table(spark, sf, "events")
     span = F.floor(cw.days(F.col("ts")) / 8)
     for number in range(4):
         given.where(F.least(span, F.lit(3)) == number).write.mode("append").parquet(f"{path}/in")
     raw = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 8)
-    arriving = raw.parquet(f"{path}/in").selectExpr(*_EVENT_COLUMNS)
-    windows = streaming.stream_daily(arriving, cw.event_log(spark, sf), lateness="9 days")
+    return raw.parquet(f"{path}/in").selectExpr(*_EVENT_COLUMNS)
+
+
+def _closed(spark, windows, path):
+    """The windows that the watermark has closed once all input is read."""
     streaming.frames_sink(
         windows, f"{path}/out", f"{path}/checkpoint", availableNow=True
     ).start().awaitTermination()
-    day = F.floor(cw.days(F.col("window_start"))).alias("day")
-    closed = spark.read.schema(windows.schema).parquet(f"{path}/out")
-    return closed.select(day, "event_type", "geo_id", "n")
+    return spark.read.schema(windows.schema).parquet(f"{path}/out")
+
+
+@query(
+    """SELECT CAST(k AS BIGINT) AS start_day, event_type, geo_id, count(*) AS n
+       FROM located JOIN range(-20, 4000) AS r(k) ON time >= k AND time < k + 5
+       WHERE k + 5 <= (SELECT max(time) FROM world_events) - 9
+       GROUP BY k, event_type, geo_id"""
+)
+def stream_closed_windows(spark, sf):
+    """Five-day windows each day, put together from closed panes and appended when closed."""
+    path = storage.new_folder(spark, "closed-windows")
+    arriving = _arriving_in_spans(spark, sf, path)
+    windows = streaming.stream_rolling(arriving, cw.event_log(spark, sf), 5, 1, "9 days")
+    start = F.floor(cw.days(F.col("window_start"))).alias("start_day")
+    return _closed(spark, windows, path).select(start, "event_type", "geo_id", "n")

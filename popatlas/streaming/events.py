@@ -6,6 +6,9 @@ lookups of the log are joined to it as static tables.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -31,9 +34,13 @@ def _windowed(located: DataFrame, window: Column) -> DataFrame:
     counts = located.groupBy(window.alias("w"), "event_type", "geo_id").agg(
         F.count("*").alias("n")
     )
+    return _spans(counts, "w")
+
+
+def _spans(counts: DataFrame, window: str) -> DataFrame:
     return counts.select(
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        F.col(f"{window}.start").alias("window_start"),
+        F.col(f"{window}.end").alias("window_end"),
         "event_type",
         "geo_id",
         "n",
@@ -53,9 +60,48 @@ def stream_rolling(
     lateness: str | None = None,
 ) -> DataFrame:
     """Counts per sliding window of ``width`` days every ``step`` days. Windows are
-    half-open here, where baked frames are closed."""
-    window = F.window("ts", _days(width), _days(step))
-    return _windowed(locate_stream(events, log, lateness), window)
+    half-open here, where baked frames are closed.
+
+    With ``lateness`` (for sinks that append) an event is counted once, in its pane, and a
+    closed pane goes to all its windows as one row; both states are dropped as the watermark
+    passes. Without, as complete results need it, every event goes to all its windows and
+    all windows are kept; :func:`stream_panes` with :func:`windows_of` avoids that.
+    """
+    if lateness is None:
+        return _windowed(locate_stream(events, log), F.window("ts", _days(width), _days(step)))
+    panes = _pane_counts(locate_stream(events, log, lateness), width, step)
+    # The time of a pane keeps the watermark, so the windows close with it too.
+    spans = F.window(F.window_time("w"), _days(width), _days(step))
+    counts = panes.groupBy(spans.alias("span"), "event_type", "geo_id").agg(F.sum("n").alias("n"))
+    return _spans(counts, "span")
+
+
+def pane_seconds(width: float, step: float) -> int:
+    """The longest pane of which every window of ``width`` each ``step`` days is made up."""
+    return math.gcd(round(width * SECONDS_PER_DAY), round(step * SECONDS_PER_DAY))
+
+
+def _pane_counts(located: DataFrame, width: float, step: float) -> DataFrame:
+    pane = F.window("ts", f"{pane_seconds(width, step)} seconds")
+    return located.groupBy(pane.alias("w"), "event_type", "geo_id").agg(F.count("*").alias("n"))
+
+
+def stream_panes(
+    events: DataFrame,
+    log: EventLog,
+    width: float = 1.0,
+    step: float = 1.0,
+    lateness: str | None = None,
+) -> DataFrame:
+    """Counts per pane: one state row per event, whatever the width of the windows."""
+    return _spans(_pane_counts(locate_stream(events, log, lateness), width, step), "w")
+
+
+def windows_of(panes: DataFrame, width: float, step: float) -> DataFrame:
+    """The sliding windows of ``width`` days every ``step`` days from stored pane counts."""
+    spans = F.window("window_start", _days(width), _days(step))
+    counts = panes.groupBy(spans.alias("span"), "event_type", "geo_id").agg(F.sum("n").alias("n"))
+    return _spans(counts, "span")
 
 
 def stream_cumulative(events: DataFrame, log: EventLog) -> DataFrame:
@@ -79,11 +125,17 @@ def frames_sink(
     return writer.trigger(**trigger) if trigger else writer
 
 
-def replay(counts: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain all available input and leave the complete counts as parquet at ``path``."""
+def replay(
+    counts: DataFrame,
+    path: str,
+    checkpoint: str,
+    combine: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Drain all available input and leave the complete counts as parquet at ``path``, put
+    together by ``combine`` (windows from panes, say) where it is given."""
 
     def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        (combine(batch) if combine else batch).write.mode("overwrite").parquet(path)
 
     query = (
         counts.writeStream.outputMode("complete")
