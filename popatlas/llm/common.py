@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popatlas.plans.storage import stored
+from popatlas.plans.storage import new_folder, shared_folder, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,6 +30,27 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores added as keep them apart from the columns of
+    ``df`` (and of each other's case), so that no column passed through is overwritten."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored, as it must be where rows are numbered: a lineage that is run twice may
+    number them differently. Without a shared folder this fails instead."""
+    if shared_folder(df.sparkSession) is None:
+        new_folder(df.sparkSession, name)  # says which setting is missing
+    return stored(df, name)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, unlike ``lower`` which folds every script."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -55,7 +76,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, at: str) -> Data
         .drop(tie)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    kept = stored(dealt, name)
+    kept = settled(dealt, name)
     # The id is the partition's number times 2^33 plus the row's place in the partition.
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

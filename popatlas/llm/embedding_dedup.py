@@ -15,7 +15,9 @@ forest. A pair that shares several tables counts in the first one only.
 
 Vectors that are null, empty, all zero, or hold nulls or non-finite components, and rows
 without a label, link with nothing; so do vectors of different length. Rows of one
-``vec_id`` are vectors of their own. The cosine of a vector to its copies is 1.
+``vec_id``, null ones too, are vectors of their own: entries carry a number that nothing
+else has, and only the answer names a component by its smallest id (null if all are null).
+The cosine of a vector to its copies is 1.
 """
 
 from __future__ import annotations
@@ -170,15 +172,20 @@ def similar_vectors(
     ).mapInArrow(_digests, "vec_id long, label string, digest binary, vector array<double>")
     rows = stored(rows, "vectors")
     distinct = (
-        rows.where("digest is not null and vec_id is not null")
+        rows.where("digest is not null")
         .groupBy("label", "digest")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+        .agg(
+            F.min("vec_id").alias("first_id"),
+            F.count("*").alias("copies"),
+            F.first("vector").alias("vector"),
+        )
         .withColumn("dim", F.size("vector"))
-        .select("rep", "label", "digest", "dim", "copies", "vector")
+        .withColumn("rep", F.monotonically_increasing_id())  # settled as entries are stored
+        .select("rep", "first_id", "label", "digest", "dim", "copies", "vector")
     )
     largest = rows.where("digest is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     width, k, tables = shape(largest, threshold)
-    schema = "rep long, label string, digest binary, dim int, copies long, vector array<double>, keys array<long>"
+    schema = "rep long, first_id long, label string, digest binary, dim int, copies long, vector array<double>, keys array<long>"
     entries = stored(distinct.mapInArrow(_keys(width, k, tables), schema), "entries")
     at = ["label", "dim", "tab", "key"]
     keyed = entries.select("rep", "label", "dim", F.posexplode("keys").alias("tab", "key"))
@@ -202,18 +209,21 @@ def similar_vectors(
     found = stored(compared, "compared")
     counts = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
     grouped = components(found.where("v is not null").select("u", "v"), "vector-links")
-    named = (
-        entries.select("label", "digest", "rep", "copies")
+    placed = (
+        entries.select("label", "digest", "rep", "first_id", "copies")
         .join(counts.withColumnRenamed("u", "rep"), "rep", "left")
         .join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "label",
-            "digest",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"),
-            F.coalesce("component", "rep").alias("component"),
-        )
+        .withColumn("component", F.coalesce("component", "rep"))
+    )
+    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = placed.join(smallest, "component").select(
+        "label",
+        "digest",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"),
+        "component_id",
+        F.lit(True).alias("_named"),
     )
-    own = F.coalesce("component", "vec_id")
+    own = F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("vec_id"))
     return rows.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import ascii_lower, utf8, whole_text
+from popatlas.llm.common import ascii_lower, fresh, settled, utf8, whole_text
 from popatlas.plans.storage import stored
 
 TRACKED = 4096
@@ -42,7 +42,7 @@ def exact_groups(
 ) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     digest = F.unhex(F.sha2(utf8(ascii_lower(whole_text(text_col))), 256))
-    rows = stored(
+    rows = settled(
         docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")).withColumn(
             "row", F.monotonically_increasing_id()
         ),
@@ -96,11 +96,13 @@ def drop_exact_copies(
     )
     tally = stored(tally, "dropped").hint("shuffle_hash")
     digest = F.sha2(utf8(ascii_lower(whole_text(text_col))), 256)
-    once = docs.withColumns({"_sha": digest, "_id": F.col(id_col)})
-    same = F.col("_id").eqNullSafe(F.col("_t.doc_id")) & (F.col("_sha") == F.col("_t.text_sha256"))
-    out = once.join(tally.alias("_t"), same, "left_anti").select(docs.columns)
+    sha, gone, gone_sha = fresh(docs, "_sha", "_gone", "_gone_sha")
+    once = docs.withColumn(sha, digest)
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(sha) == F.col(gone_sha))
+    tally = tally.withColumnsRenamed({"doc_id": gone, "text_sha256": gone_sha})
+    out = once.join(tally, same, "left_anti").select(docs.columns)
     repeated = tally.where("any_kept")
     if repeated.isEmpty():
         return out
-    more = once.join(repeated.alias("_t"), same, "left_semi").dropDuplicates(["_id", "_sha"])
+    more = once.join(repeated, same, "left_semi").dropDuplicates([id_col, sha])
     return out.unionByName(more.select(docs.columns))

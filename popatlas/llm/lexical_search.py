@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popatlas.llm.common import long_rows
+from popatlas.llm.common import long_rows, settled
 from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.storage import stored
 
@@ -239,7 +239,7 @@ def _search_block(
         .withColumn("bag", F.xxhash64("m", "terms", "tfs"))
         .drop("n")
     )
-    classes = stored(
+    classes = settled(
         known.groupBy(*SAME)
         .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
         .withColumn("class_id", F.monotonically_increasing_id()),
