@@ -14,6 +14,7 @@ from checks.sql import with_world
 from popatlas.functions import classify
 from popatlas.model import World
 from popatlas.operators import (
+    clustered,
     events,
     extent,
     frames,
@@ -92,6 +93,52 @@ def geo_preorder(spark, sf):
     return hierarchy.preorder(cw.world(spark, sf))
 
 
+def _clustered_people(spark, sf):
+    w = cw.world(spark, sf)
+    path = storage.new_folder(spark, "clustered")
+    people = w.people.select("person_id", "geo_id", "ordinal", "age", "sex")
+    clustered.write_clustered(w, people, path)
+    return clustered.ClusteredFacts(spark, path)
+
+
+@query(
+    """SELECT person_id, geo_id, age, sex FROM people
+       JOIN closure ON geo_id = descendant_id WHERE ancestor_id = 2"""
+)
+def subtree_people_clustered(spark, sf):
+    """The people of a region from files in the order of the tree."""
+    return _clustered_people(spark, sf).subtree(2).drop("ordinal")
+
+
+@query(
+    """SELECT person_id, age, sex, rank FROM (
+         SELECT person_id, age, sex, row_number() OVER (ORDER BY ordinal) - 1 AS rank
+         FROM people JOIN closure ON geo_id = descendant_id WHERE ancestor_id = 2)
+       WHERE rank >= 20 AND rank < 30"""
+)
+def subtree_page_clustered(spark, sf):
+    found = _clustered_people(spark, sf).page(2, page=3, per_page=10, ties=["person_id"])
+    return found.select("person_id", "age", "sex", "rank")
+
+
+@query(
+    """SELECT ancestor_id, person_id, row_number() OVER w - 1 AS rank,
+              (row_number() OVER w - 1) // 7 + 1 AS page
+       FROM people JOIN closure ON geo_id = descendant_id
+       JOIN geo_units a ON a.geo_id = ancestor_id AND a.level = 'nation'
+       WINDOW w AS (PARTITION BY ancestor_id ORDER BY ordinal)"""
+)
+def nation_pages_clustered(spark, sf):
+    nations = cw.world(spark, sf).geo.where("level = 'nation'")
+    pages = _clustered_people(spark, sf).pages(nations, per_page=7, ties=["person_id"])
+    return pages.select("ancestor_id", "person_id", "rank", "page")
+
+
+@query("SELECT geo_id, population AS n FROM unit_population")
+def population_by_intervals(spark, sf):
+    return _clustered_people(spark, sf).counts()
+
+
 @query("SELECT ancestor_id, person_id FROM people JOIN closure ON geo_id = descendant_id")
 def geo_subtree_people(spark, sf):
     w = cw.world(spark, sf)
