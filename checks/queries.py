@@ -126,7 +126,7 @@ def subtree_page_clustered(spark, sf):
               (row_number() OVER w - 1) // 7 + 1 AS page
        FROM people JOIN closure ON geo_id = descendant_id
        JOIN geo_units a ON a.geo_id = ancestor_id AND a.level = 'nation'
-       WINDOW w AS (PARTITION BY ancestor_id ORDER BY ordinal)"""
+       WINDOW w AS (PARTITION BY ancestor_id ORDER BY people.ordinal)"""
 )
 def nation_pages_clustered(spark, sf):
     nations = cw.world(spark, sf).geo.where("level = 'nation'")
