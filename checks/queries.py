@@ -794,6 +794,69 @@ def activity_map_sizes(spark, sf):
     )
 
 
+@query(
+    """SELECT a.person_id, a.seq, a.activity, a.venue_id, v.name AS venue_name, v.venue_type,
+              coalesce(g.name, CAST(v.geo_id AS VARCHAR)) AS venue_unit,
+              coalesce(s.subset_name, CAST(a.subset_pos AS VARCHAR)) AS subset_name
+       FROM activities a JOIN venues v ON a.venue_id = v.venue_id
+       LEFT JOIN geo_units g ON v.geo_id = g.geo_id
+       LEFT JOIN subsets s ON s.venue_id = a.venue_id AND s.subset_pos = a.subset_pos"""
+)
+def person_activities_bucketed(spark, sf):
+    """Assignments, venues and subsets from a world stored in buckets of venues."""
+    path = storage.new_folder(spark, "bucketed")
+    world_source.write_bucketed_world(cw.world(spark, sf), path, 8)
+    return people.person_activities(world_source.read_bucketed_world(spark, path))
+
+
+@query(
+    """SELECT p.person_id, p.age, p.sex, g.name AS unit, coalesce(n, 0) AS visits,
+              coalesce(kinds, 0) AS activities
+       FROM people p LEFT JOIN geo_units g ON g.geo_id = p.geo_id
+       LEFT JOIN (SELECT person_id, count(*) AS n, count(DISTINCT activity) AS kinds
+                  FROM activities JOIN venues USING (venue_id) GROUP BY person_id) a
+         ON a.person_id = p.person_id"""
+)
+def person_record(spark, sf):
+    """Profile and activities of everyone at once."""
+    record = people.person_record(cw.world(spark, sf))
+    visits = F.aggregate(
+        F.flatten(F.flatten(F.transform(F.map_values("activity_map"), F.map_values))),
+        F.lit(0).cast("bigint"),
+        lambda n, _: n + 1,
+    )
+    return record.select(
+        "person_id",
+        "age",
+        "sex",
+        F.col("home_unit.name").alias("unit"),
+        visits.alias("visits"),
+        F.size("activity_map").cast("bigint").alias("activities"),
+    )
+
+
+@query(
+    """SELECT venue_id, venue_type,
+              CASE WHEN venue_type IN ('school', 'company') THEN CAST(balance AS VARCHAR) END
+                AS balance,
+              CASE WHEN venue_type = 'company' THEN CAST(is_residence AS VARCHAR) END AS residence,
+              CASE venue_type WHEN 'company' THEN 2 WHEN 'school' THEN 1 ELSE 0 END AS n
+       FROM venues"""
+)
+def venue_typed_properties(spark, sf):
+    """Each venue type shows the properties that belong to it."""
+    rows = cw.world(spark, sf).venues.select("venue_id", "venue_type", "balance", "is_residence")
+    sets = {"school": ["balance"], "company": ["balance", "is_residence"]}
+    folded = world_source.with_typed_properties(rows, sets, "venue_type")
+    return folded.select(
+        "venue_id",
+        "venue_type",
+        F.try_element_at("properties", F.lit("balance")).alias("balance"),
+        F.try_element_at("properties", F.lit("is_residence")).alias("residence"),
+        F.size("properties").alias("n"),
+    )
+
+
 @query(
     """SELECT person_id, coalesce(activity, 'unknown') AS activity,
               coalesce(venue_type, 'unknown') AS venue_type, count(*) AS visits

@@ -113,6 +113,18 @@ class World:
 
         return short_list(self.activities, "activity")
 
+    @cached_property
+    def most_subsets(self) -> int | None:
+        """The largest number of subsets of one venue, or None where a position repeats."""
+        from pyspark.sql import functions as F
+
+        per_place = self.subsets.groupBy("venue_id", "subset_pos").agg(F.count("*").alias("_rows"))
+        per_venue = per_place.groupBy("venue_id").agg(
+            F.count("*").alias("_places"), F.max("_rows").alias("_rows")
+        )
+        most, rows = per_venue.agg(F.max("_places"), F.max("_rows")).first()
+        return None if (rows or 0) > 1 else most or 0
+
     @cached_property
     def unit_count(self) -> int:
         return self.geo.count()

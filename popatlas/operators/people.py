@@ -16,6 +16,9 @@ from popatlas.plans.nesting import PART_SIZE, labelled, map_of
 from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.sets import mask_of, names_in
 
+# Subsets of one venue that its assignments may look up by position.
+LISTED_SUBSETS = 64
+
 
 def _chosen(df: DataFrame, ids: Sequence[int] | DataFrame | None) -> DataFrame:
     if ids is None:
@@ -49,6 +52,11 @@ def person_activities(w: World, ids: Sequence[int] | DataFrame | None = None) ->
 
     The subset name is the one at that position of the venue; a venue without subsets
     shows the position instead, and a unit that is not known shows its id.
+
+    Assignments join once, by venue: while no venue has more than ``LISTED_SUBSETS`` subsets
+    (counted once per world) a venue carries its names by position. They are shuffled once
+    then, and not at all where they are stored in buckets of venues. Past that bound, and
+    where positions repeat, the names are joined by venue and position.
     """
     units = w.units.select(F.col("geo_id"), F.col("name").alias("venue_unit"))
     venues = (
@@ -63,15 +71,22 @@ def person_activities(w: World, ids: Sequence[int] | DataFrame | None = None) ->
             text_or_id(F.col("venue_unit"), F.col("geo_id")).alias("venue_unit"),
         )
     )
-    return (
-        _chosen(w.activities, ids)
-        .join(venues, "venue_id")
-        .join(
-            w.subsets.select("venue_id", "subset_pos", "subset_name"),
-            ["venue_id", "subset_pos"],
-            "left",
+    places = w.subsets.select("venue_id", "subset_pos", "subset_name")
+    chosen = _chosen(w.activities, ids)
+    if w.most_subsets is not None and w.most_subsets <= LISTED_SUBSETS:
+        entry = F.struct("subset_pos", "subset_name")
+        names = (
+            places.where("venue_id is not null and subset_pos is not null")
+            .groupBy("venue_id")
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
         )
-        .select(
+        found = chosen.join(venues.join(names, "venue_id", "left"), "venue_id").withColumn(
+            "subset_name", F.try_element_at("_names", F.col("subset_pos"))
+        )
+    else:
+        found = chosen.join(venues, "venue_id").join(places, ["venue_id", "subset_pos"], "left")
+    return (
+        found.select(
             "person_id",
             "seq",
             "activity",
@@ -84,6 +99,23 @@ def person_activities(w: World, ids: Sequence[int] | DataFrame | None = None) ->
     )
 
 
+def person_record(
+    w: World, ids: Sequence[int] | DataFrame | None = None, part_size: int = PART_SIZE
+) -> DataFrame:
+    """A person's full record: profile, home unit and activities, ``part`` by part.
+
+    Someone without activities has one row, with an empty map.
+    """
+    maps = activity_map(w, ids, part_size)
+    kind = maps.schema["activity_map"].dataType.simpleString()
+    return (
+        person_profile(w, ids)
+        .join(maps, "person_id", "left")
+        .withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+        .withColumn("activity_map", F.coalesce("activity_map", F.expr(f"cast(map() as {kind})")))
+    )
+
+
 def activity_map(
     w: World, ids: Sequence[int] | DataFrame | None = None, part_size: int = PART_SIZE
 ) -> DataFrame:

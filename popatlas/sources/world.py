@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,57 @@ def write_world(w: World, path: str, fmt: str = "parquet", mode: str = "error")
         df.write.format(fmt).options(**_OPTIONS.get(fmt, {})).mode(mode).save(f"{path}/{name}")
 
 
+# The tables that facts about venues join by, and are stored in buckets of.
+BUCKETED = ("venues", "subsets", "memberships", "activities")
+
+
+def write_bucketed_world(w: World, path: str, buckets: int, mode: str = "error") -> None:
+    """As :func:`write_world` in parquet, the tables in ``BUCKETED`` dealt into ``buckets`` by
+    venue and sorted by it within each, so that joins by venue need not shuffle them.
+
+    A venue with a third of all assignments makes one large bucket; where that is so, the
+    plain layout lets the optimizer split it.
+    """
+    spark = w.geo.sparkSession
+    for name in ("geo_units", "people"):
+        df = w.geo if name == "geo_units" else w.people
+        df.write.mode(mode).parquet(f"{path}/{name}")
+    for name in BUCKETED:
+        table = f"{name}_{uuid.uuid4().hex}"
+        (
+            getattr(w, name)
+            .repartition(buckets, "venue_id")
+            .write.mode(mode)
+            .bucketBy(buckets, "venue_id")
+            .sortBy("venue_id")
+            .option("path", f"{path}/{name}")
+            .saveAsTable(table)
+        )
+        spark.sql(f"DROP TABLE {table}")  # its files stay, they have a path of their own
+    layout = spark.createDataFrame([(name, buckets) for name in BUCKETED], "name string, buckets int")
+    layout.coalesce(1).write.mode(mode).parquet(f"{path}/layout")
+
+
+def read_bucketed_world(spark: SparkSession, path: str, max_depth: int | None = None) -> World:
+    """The world of :func:`write_bucketed_world`. Its bucketed tables are named in the
+    session's catalog, which is how Spark knows of buckets."""
+    buckets = {r["name"]: r["buckets"] for r in spark.read.parquet(f"{path}/layout").collect()}
+    tables = {}
+    for name in CORE_COLUMNS:
+        stored = spark.read.parquet(f"{path}/{name}")
+        if name in buckets:
+            table = f"{name}_{uuid.uuid4().hex}"
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+            place = f"{path}/{name}".replace("'", "\\'")
+            spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (venue_id) "
+                f"SORTED BY (venue_id) INTO {buckets[name]} BUCKETS LOCATION '{place}'"
+            )
+            stored = spark.table(table)
+        tables[name] = conform(stored, name)
+    return World(geo=tables.pop("geo_units"), max_depth=max_depth, **tables)
+
+
 def with_properties(
     df: DataFrame, cols: Sequence[str], exclude: Sequence[str] = (), name: str = "properties"
 ) -> DataFrame:

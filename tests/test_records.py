@@ -181,6 +181,52 @@ def test_locating_scans_the_facts_once(spark):
         assert plan.count(f"/{table}.parquet") == 1
 
 
+@pytest.mark.parametrize("listed", [0, 64])
+def test_activities_with_names_listed_or_joined(club, monkeypatch, listed):
+    monkeypatch.setattr(people, "LISTED_SUBSETS", listed)
+    got = rows(people.person_activities(club), "person_id", "seq", "venue_id", "subset_name")
+    assert got == [(1, 0, 3, "4"), (2, 0, 2, "adults"), (2, 1, 1, "kids"), (2, 2, 0, "staff")]
+
+
+def test_repeated_subset_positions_list_every_name(club, spark):
+    more = club.subsets.unionByName(spark.createDataFrame([(1, 1, "again", 1)], club.subsets.schema))
+    w = type(club)(club.geo, club.people, club.venues, more, club.memberships, club.activities)
+    assert club.most_subsets == 2 and w.most_subsets is None
+    got = rows(people.person_activities(w, [2]).where("seq = 1"), "subset_name")
+    assert got == [("again",), ("kids",)]
+
+
+def test_activities_stored_in_buckets_are_not_shuffled(club, spark, tmp_path):
+    from popatlas.sources.world import read_bucketed_world, write_bucketed_world
+
+    write_bucketed_world(club, str(tmp_path / "w"), 4)
+    w = read_bucketed_world(spark, str(tmp_path / "w"))
+    assert rows(people.person_activities(w)) == rows(people.person_activities(club))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = people.person_activities(w)._jdf.queryExecution().executedPlan().toString()
+        plain = people.person_activities(club)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plan.splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "FileScan" in line and "activit" in line and "seq" in line]
+    # Upwards from the scan of the activities to the join: no exchange.
+    join = max(i for i in range(at) if "SortMergeJoin" in lines[i])
+    assert not any("Exchange" in line for line in lines[join:at])
+    assert "Bucketed: true" in lines[at] and "Exchange" in plain
+    again = read_bucketed_world(spark, str(tmp_path / "w"))
+    assert rows(again.subsets) == rows(club.subsets)
+
+
+def test_full_record(club):
+    got = {r.person_id: r for r in people.person_record(club).collect()}
+    assert set(got) == {0, 1, 2} and got[0].activity_map == {} and got[0].home_unit is None
+    assert got[2].age == 25 and set(got[2].activity_map) == {"primary_activity", "residence"}
+    assert got[2].part == got[0].part == 0
+    assert [r.person_id for r in people.person_record(club, [1]).collect()] == [1]
+
+
 def test_world_profile(club, build):
     summary = profile.population_summary(club).first()
     assert (summary.total_people, summary.mean_age, summary.min_age) == (3, 35.0, 25)
