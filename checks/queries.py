@@ -1529,6 +1529,28 @@ def person_lookup(spark, sf):
     return cw.event_log(spark, sf).person_geo
 
 
+def _located_log(spark, sf):
+    """The event log stored located, in two batches."""
+    path, log = storage.new_folder(spark, "located"), cw.event_log(spark, sf)
+    for batch, when in (("early", "time < 18"), ("late", "time >= 18")):
+        part = dataclasses.replace(log, events=log.events.where(when))
+        event_source.write_located_events(part, path, batch)
+    return event_source.read_located_log(spark, path)
+
+
+@query(
+    """SELECT event_type, geo_id, count(*) AS n FROM located WHERE time >= 15 AND time <= 21
+       GROUP BY event_type, geo_id"""
+)
+def event_counts_located_log(spark, sf):
+    return events.geo_counts(_located_log(spark, sf), start=15, end=21)
+
+
+@query("SELECT event_type, frame, geo_id, n FROM frames")
+def event_frames_located_log(spark, sf):
+    return frames.bake_frames(_located_log(spark, sf))
+
+
 @query("SELECT event_id, event_type, time, person_id, venue_id FROM world_events")
 def stored_events(spark, sf):
     """Events stored per type, one type without a venue column and one with

@@ -141,12 +141,14 @@ class World:
 class EventLog:
     """Events ``(event_type, time, person_id, venue_id, …)`` and the id → unit lookups.
 
-    The entries that can locate an event are picked once, counted and stored.
+    The entries that can locate an event are picked once, counted and stored. The events of
+    a ``located`` log carry their ``geo_id`` already and need no lookup.
     """
 
     events: DataFrame
     venue_geo: DataFrame
     person_geo: DataFrame
+    located: bool = False
 
     @cached_property
     def venue_lookup(self) -> DataFrame:

@@ -67,8 +67,12 @@ def resolve_geo(events: DataFrame, log: EventLog, keep_unresolved: bool = False)
     """Add ``geo_id``: the unit of the venue, else of the person; neither → dropped.
 
     With a person lookup too large to broadcast, only the events that their venue did not
-    place are shuffled to it; the others never leave their tasks for it.
+    place are shuffled to it; the others never leave their tasks for it. That reads the log
+    once for either kind, so a log that is asked more than once is better stored located
+    (:func:`popatlas.sources.events.write_located_events`): its events pass as they are.
     """
+    if log.located:
+        return events if keep_unresolved else events.where(F.col("geo_id").isNotNull())
     if not (fits(log.person_count) or keep_unresolved or events.isStreaming):
         return _resolve_apart(events, log)
     by_venue = _with_venue_unit(events, log)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from popatlas.model import EventLog
+from popatlas.operators.events import resolve_geo
 from popatlas.sources.lookups import latest_lookup
 
 EVENT_COLUMNS = {
@@ -70,3 +73,36 @@ def event_log(
         latest_lookup(venue_rows, "venue_id", "geo_id", order),
         latest_lookup(person_rows, "person_id", "geo_id", order),
     )
+
+
+FIRST_BATCH = "first"
+
+
+def write_located_events(log: EventLog, path: str, batch: str = FIRST_BATCH) -> None:
+    """Store the events of a log with the unit they happened in, as one batch of many.
+
+    Whatever the lookups cost, they are joined once per event: later batches are located on
+    their own and lie beside the earlier ones, and every operator then reads a log without
+    lookups. A batch that is written again replaces itself. Events that neither venue nor
+    person places are kept without a unit: they count for the time range of the log. The
+    log is read once for that, whatever fits a broadcast.
+    """
+    located = resolve_geo(log.events, log, keep_unresolved=True)
+    write_events(located, f"{path}/batch={batch}", "overwrite")
+
+
+def read_located_log(
+    spark: SparkSession, path: str, batches: Sequence[str] | None = None
+) -> EventLog:
+    """The log that :func:`write_located_events` has stored, all of it or some batches (those
+    added since the last run, say). Batch and type are partition columns, so only the files
+    of what is asked for are read, and ``time`` filters reach the row groups."""
+    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    if batches is not None:
+        stored = stored.where(F.col("batch").cast("string").isin(list(batches)))
+    events = stored.drop("batch")
+    typed = events.withColumn("event_type", F.col("event_type").cast("string"))
+    nothing = spark.createDataFrame([], "venue_id bigint, person_id bigint, geo_id bigint")
+    return EventLog(
+        typed, nothing.select("venue_id", "geo_id"), nothing.select("person_id", "geo_id"), located=True
+    )

@@ -74,6 +74,25 @@ def test_locating_events(build_log, monkeypatch, limit):
     assert kept.where("geo_id IS NOT NULL").count() == len(want)
 
 
+def test_a_located_log_needs_no_lookup(spark, build_log, tmp_path):
+    from popatlas.sources.events import read_located_log, write_located_events
+
+    log, want = place_cases(build_log)
+    path = str(tmp_path / "located")
+    for name, part in (("0", log.events.where("time < 4")), ("1", log.events.where("time >= 4"))):
+        for _ in range(2):  # a batch that is written again replaces itself
+            write_located_events(type(log)(part, log.venue_geo, log.person_geo), path, name)
+    back = read_located_log(spark, path)
+    assert rows(ev.resolve_geo(back.events, back), "time", "geo_id") == want
+    assert rows(ev.geo_counts(back)) == rows(ev.geo_counts(log))
+    assert rows(fr.bake_frames(back, 1, 3)) == rows(fr.bake_frames(log, 1, 3))
+    plan = ev.geo_counts(back, ["e"], 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    late = read_located_log(spark, path, ["1"])
+    assert rows(ev.resolve_geo(late.events, late), "time", "geo_id") == [(t, g) for t, g in want if t >= 4]
+    assert late.events.count() == 5
+
+
 def test_features_and_totals(city, build_log):
     log = build_log(
         [("a", 1.0, 0, 0), ("a", 1.0, 0, 0), ("a", 2.0, 2, 1)], [(0, 0), (1, 1)], []
