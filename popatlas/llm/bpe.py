@@ -12,18 +12,21 @@ made by merges of the token itself, then those of its right part before the toke
 about, and so on. One lookup tells whether a stretch dropped an arc, which makes
 ``follows`` fast; its answers are kept in a table.
 
-A word has just one accepted token sequence. To find it, a table of byte transitions gives
-the longest token at a position; the automaton reads it if it has such an arc, else the next
-shorter one, and if it has none of them the token before is shortened in the same way.
-Positions that lead nowhere are remembered, so a word takes linear time. Decoding emits the
-bytes that the arcs stand for.
+A word has just one accepted token sequence, and each of its prefixes too: the sequence of
+the prefix before its last token, then that token. So a word is read byte by byte, without
+going back. A table of byte transitions (a row per beginning of a token, about 1 KB each)
+gives the longest token that ends at a position; it is the last one there if the automaton
+has its arc after the last token where it begins, else the next shorter one is asked. Arcs
+that were asked for stay in a table of fixed size. New words are read together, sorted by
+length, one position of all at a time; long ones each on their own. Time is linear in the
+length of a word, memory four bytes a position. Decoding emits the bytes that the arcs stand for.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -44,7 +47,13 @@ _PLAIN = re.compile(
 ).fullmatch
 WORDS = 600_000
 ROWS = 500
+LETTERS = 1 << 21  # of the texts whose new words are read together
+LONG = 64
+TOGETHER = 1 << 13
+ARC_BITS = 21
+ARCS = 1 << 18
 ROOT = 0
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,7 +74,6 @@ class Automaton:
         self.state_of: dict[int, int] = {}  # the state that a merge made, by its two tokens
         self.target = [ROOT] * 256
         self.origin, self.dropped, self.made = [ROOT], [-1], [-1]
-        self.known: dict[int, bool] = {}
         for u, v in merges:
             a, b = rank.get(u), rank.get(v)
             if a is None or b is None or u + v in rank or not self._reads(a, b, len(self.tokens)):
@@ -83,29 +91,50 @@ class Automaton:
         self.rank = rank
         self.start = len(self.tokens)  # stands for the start of a word, before any token
         self.target.append(ROOT)
-        self.length = [len(t) for t in self.tokens]
-        # Byte transitions: the tokens as a tree, and what token each place in it completes.
-        self.step: dict[int, int] = {}
-        self.complete = [-1]
-        for token, spelling in enumerate(self.tokens):
+        self.known: dict[int, bool] = {}
+        self.lefts, self.rights = np.array(self.left), np.array(self.right)
+        pairs = np.fromiter(self.state_of, np.int64, len(self.state_of))
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self.pair_made = np.append(np.fromiter(self.state_of.values(), np.int64, len(pairs))[order], -1)
+        self.arcs = np.full(1 << ARC_BITS, -1)
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The byte transitions: from each beginning of a token, a byte leads to the longest
+        beginning of a token that what has been read ends with."""
+        places: dict[int, int] = {}
+        levels: list[list[tuple[int, int, int]]] = []
+        ends = []
+        for spelling in self.tokens:
             place = 0
-            for byte in spelling:
-                place = self.step.setdefault(place << 8 | byte, len(self.complete))
-                if place == len(self.complete):
-                    self.complete.append(-1)
-            self.complete[place] = token
-        self.shorter = [self._longest(t[:-1], 0) for t in self.tokens]
-
-    def _longest(self, word: bytes, at: int) -> int:
-        """The longest token that starts at a position, or -1 at the end."""
-        place, best, step, complete = 0, -1, self.step.get, self.complete
-        for byte in word[at:]:
-            place = step(place << 8 | byte)
-            if place is None:
-                break
-            if complete[place] >= 0:
-                best = complete[place]
-        return best
+            for depth, byte in enumerate(spelling):
+                key = place << 8 | byte
+                if key not in places:
+                    places[key] = len(places) + 1
+                    levels += [[]] * (depth == len(levels))
+                    levels[depth].append((place, byte, places[key]))
+                place = places[key]
+            ends.append(place)
+        steps = np.zeros((len(places) + 1, 256), dtype=np.int32)
+        complete = np.full(len(places) + 1, -1, dtype=np.int32)
+        complete[ends] = np.arange(len(ends))
+        rest = np.zeros(len(places) + 1, dtype=np.int32)  # the longest other beginning it ends with
+        before = None
+        for level in levels:
+            parent, byte, place = np.array(level).T
+            if before is not None:
+                rest[place] = steps[rest[parent], byte]
+                steps[before] = steps[rest[before]]
+                bare = place[complete[place] < 0]
+                complete[bare] = complete[rest[bare]]
+            steps[parent, byte] = place
+            before = place
+        steps[before] = steps[rest[before]]
+        self.steps, self.longest = steps.ravel(), complete
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int32)
+        self.shorters = complete[rest[ends]]
+        self.length, self.shorter = self.lengths.tolist(), self.shorters.tolist()
 
     def _reads(self, before: int, token: int, now: int) -> bool:
         """Whether the state that ``before`` leads to has the arc, as of the merge ``now``."""
@@ -137,32 +166,113 @@ class Automaton:
         key = before << 32 | token
         found = self.known.get(key)
         if found is None:
-            if len(self.known) >= 4 * WORDS:
+            if len(self.known) >= ARCS:
                 self.known.clear()
             found = self.known[key] = before == self.start or self._reads(before, token, self.start)
         return found
 
+    def _read_arcs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``_reads`` for many at once."""
+        found = np.ones(len(before), dtype=bool)
+        left = np.flatnonzero(before != self.start)
+        before, token = before[left], token[left]
+        now = np.full(len(left), self.start)
+        while len(left):
+            pair = before << 32 | token
+            at = np.searchsorted(self.pairs, pair)
+            dropped = (self.pairs[at] == pair) & (self.pair_made[at] < now)
+            found[left[dropped]] = False
+            by_token = (token > 255) & (token >= before)
+            on = ~dropped & (by_token | (before > 255))
+            left, before, token, by_token = left[on], before[on], token[on], by_token[on]
+            now = np.where(by_token, token + 1, before)
+            token, before = np.where(by_token, self.lefts[token], token), np.where(
+                by_token, before, self.rights[np.minimum(before, len(self.rights) - 1)]
+            )
+        return found
+
+    def _arcs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``follows`` for many at once, by the table of arcs."""
+        before, token = before.astype(np.int64), token.astype(np.int64)
+        key = before << 32 | token
+        slot = (key.view(np.uint64) * _MIX) >> np.uint64(64 - ARC_BITS)
+        kept = self.arcs[slot]
+        found = (kept & 1).astype(bool)
+        new = np.flatnonzero(kept >> 1 != key)
+        if len(new):
+            found[new] = self._read_arcs(before[new], token[new])
+            self.arcs[slot[new]] = key[new] << 1 | found[new]
+        return found
+
     def encode(self, word: bytes) -> list[int]:
         """The ranks of the tokens of a word."""
+        step, longest = memoryview(self.steps), memoryview(self.longest)
         known, length, shorter = self.known.get, self.length, self.shorter
-        out = [self.start]
-        at, nowhere, token = 0, 0, self._longest(word, 0)
-        while at < len(word):
-            if token < 0:  # none can be read here: back to the token before
-                nowhere |= 1 << at
-                token = out.pop()
-                at -= length[token]
+        last, place = array("i", [self.start]), 0
+        for end, byte in enumerate(word, 1):
+            place = step[place << 8 | byte]
+            token = longest[place]
+            while True:
+                before = last[end - length[token]]
+                reads = known(before << 32 | token)
+                if reads or (reads is None and self.follows(before, token)):
+                    break
                 token = shorter[token]
-                continue
-            end = at + length[token]
-            if not nowhere >> end & 1:
-                reads = known(out[-1] << 32 | token)
-                if reads or (reads is None and self.follows(out[-1], token)):
-                    out.append(token)
-                    at, token = end, self._longest(word, end)
-                    continue
-            token = shorter[token]
-        return out[1:]
+            last.append(token)
+        out, end = [], len(word)
+        while end:
+            out.append(last[end])
+            end -= length[last[end]]
+        return out[::-1]
+
+    def encode_words(self, words: Sequence[bytes]) -> list[np.ndarray]:
+        """``encode`` for many words (none empty) at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(words)
+        order = np.argsort(-sizes, kind="stable")
+        long = int(np.searchsorted(-sizes[order], -LONG))  # those of more bytes
+        for k in order[:long].tolist():
+            out[k] = np.array(self.encode(words[k]))
+        for at in range(long, len(words), TOGETHER):
+            part = order[at : at + TOGETHER]
+            tokens, ends = self._encode_sorted([words[k] for k in part.tolist()], sizes[part])
+            start = 0
+            for k, end in zip(part.tolist(), ends.tolist(), strict=True):
+                out[k] = tokens[start:end]
+                start = end
+        return out
+
+    def _encode_sorted(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words that come longest first, and where each word's end."""
+        n, lengths = len(words), self.lengths
+        text = np.frombuffer(b"".join(words), dtype=np.uint8)
+        begin, column = np.cumsum(sizes) - sizes, np.arange(n)
+        last = np.empty((int(sizes[0]) + 1) * n, dtype=np.int32)
+        last[:n] = self.start
+        place = np.zeros(n, dtype=np.int64)
+        for end in range(1, int(sizes[0]) + 1):
+            live = int(np.searchsorted(-sizes, -end, side="right"))
+            place = self.steps[place[:live] << 8 | text[begin[:live] + (end - 1)]].astype(np.int64)
+            token = self.longest[place]
+            open_ = self._arcs(last[(end - lengths[token]) * n + column[:live]], token)
+            bad = np.flatnonzero(~open_)
+            while len(bad):
+                token[bad] = less = self.shorters[token[bad]]
+                bad = bad[~self._arcs(last[(end - lengths[less]) * n + bad], less)]
+            last[end * n : end * n + live] = token
+        end, count, taken = sizes.copy(), np.zeros(n, dtype=np.int64), []
+        left = column
+        while len(left):
+            token = last[end[left] * n + left]
+            taken.append((left, token))
+            end[left] -= lengths[token]
+            count[left] += 1
+            left = left[end[left] > 0]
+        ends = np.cumsum(count)
+        out = np.empty(int(ends[-1]), dtype=np.int64)
+        for back, (left, token) in enumerate(taken, 1):
+            out[ends[left] - back] = token
+        return out, ends
 
 
 class Bpe:
@@ -187,51 +297,61 @@ class Bpe:
         self.automaton = Automaton([(spelled(u), spelled(v)) for u, v in pairs])
         self.special = {t["content"]: t["id"] for t in added}
         known = {spelled(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.ids = [known.get(t, -1) for t in self.automaton.tokens]
+        self.ids = np.array([known.get(t, -1) for t in self.automaton.tokens], dtype="<i4")
         self.labels = {i: t for t, i in known.items()} | {i: t.encode() for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pieces = regex.compile(PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
+        own = {name: np.array([i], dtype="<u4").tobytes() for name, i in self.special.items()}
+        self.own = own | {"": b""}
+        self.words: dict[str, bytes] = dict(self.own)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Takes up the ids of words, stretches of text between places where every split
+        begins anew."""
+        cut = []
+        for word in words:
+            plain = _PLAIN(word)
+            cut.append([p for p in plain.groups() if p] if plain else self.pieces(word))
         if len(self.known) >= WORDS:
             self.known.clear()
+        known = self.known
+        new = list(set().union(*cut).difference(known))
         ids = self.ids
-        self.known[piece] = out = [ids[t] for t in self.automaton.encode(piece.encode())]
-        return out
+        for piece, tokens in zip(new, self.automaton.encode_words([p.encode() for p in new]), strict=True):
+            known[piece] = ids[tokens].tobytes()
+        for word, pieces in zip(words, cut, strict=True):
+            self.words[word] = b"".join([known[p] for p in pieces])
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a stretch of text between places where every split begins anew."""
-        if len(self.words) >= WORDS:
-            self.words.clear()
-        plain = _PLAIN(word)
-        pieces = [p for p in plain.groups() if p] if plain else self.pieces(word)
-        get, found = self.known.get, []
-        for piece in pieces:
-            found += get(piece) or self._piece(piece)
-        self.words[word] = out = struct.pack(f"<{len(found)}I", *found)
-        return out
-
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> list[str]:
         doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
         if doubled or not text.replace("\n", "").isprintable():
-            parts = self.pieces(text)  # runs of white space, or kinds other than these two
-        else:  # a split begins at each blank or line end
-            parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        get, make = self.words.get, self._word
-        return b"".join([found if (found := get(p)) is not None else make(p) for p in parts])
+            return self.pieces(text)  # runs of white space, or kinds other than these two
+        # A split begins at each blank or line end.
+        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _words(self, text: str) -> list[str]:
         if self.marks is None or not self.marks.search(text):
             return self._plain(text)
         out = []
         for part in self.marks.split(text):
-            mark = self.special.get(part)
-            out.append(self._plain(part) if mark is None else np.array([mark], dtype="<u4").tobytes())
-        return b"".join(out)
+            out += [part] if part in self.special else self._plain(part)
+        return out
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.words) >= WORDS:
+            self.words = dict(self.own)
+        split = [self._words(t) for t in texts]
+        new = set().union(*split).difference(self.words)
+        if new:
+            self._learn(new)
+        words = self.words
+        return [b"".join([words[w] for w in parts]) for parts in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of the arc labels; ids outside the vocabulary stand for nothing, and
@@ -240,6 +360,16 @@ class Bpe:
         return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+def _runs(texts: Sequence[str]) -> Iterator[Sequence[str]]:
+    """The texts in runs of about ``LETTERS`` letters."""
+    at, letters = 0, 0
+    for end, text in enumerate(texts, 1):
+        letters += len(text)
+        if letters >= LETTERS or end == len(texts):
+            yield texts[at:end]
+            at, letters = end, 0
+
+
 @lru_cache(maxsize=1)
 def bpe(path: str) -> Bpe:
     """One automaton for each vocabulary file and Python worker."""
@@ -252,11 +382,12 @@ def encode_texts(
     """``doc_id, ids`` (array of ints) for every document. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe(vocabulary).encode
+        encode = bpe(vocabulary).encode_all
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [np.frombuffer(encode(t.as_py()), dtype="<i4") for t in part["text"]]
+                runs = _runs(part["text"].to_pylist())
+                ids = [np.frombuffer(i, dtype="<i4") for run in runs for i in encode(run)]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists], ["doc_id", "ids"])

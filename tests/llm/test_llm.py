@@ -227,6 +227,37 @@ def test_automaton_states():
         assert [auto.tokens[t] for t in auto.encode(word)] == merged(word)
 
 
+def test_bpe_words_together():
+    own, library = bpe.Bpe(BYTE), Tokenizer.from_file(BYTE)
+    auto, rng = own.automaton, np.random.default_rng(6)
+    letters = list("aeioubcdthsn") + ["the", "ing", "ß", "漢", "'", "!!", "0"]
+    words = {"".join(rng.choice(letters, rng.integers(1, 30))).encode() for _ in range(4000)}
+    words = sorted(words | {b"ab" * bpe.LONG, b"a" * bpe.LONG, b"a" * (bpe.LONG + 1), b"x"})
+    together = auto.encode_words(words)
+    for word, tokens in zip(words, together, strict=True):
+        assert tokens.tolist() == auto.encode(word)
+        assert b"".join(auto.tokens[t] for t in tokens) == word
+        assert all(auto.follows(a, b) for a, b in zip(tokens, tokens[1:]))
+    assert auto.encode_words([]) == []
+    # Arcs keep their answer however often others have taken their place in the table.
+    before, token = rng.integers(0, auto.start + 1, 20_000), rng.integers(0, auto.start, 20_000)
+    for _ in range(2):
+        got = auto._arcs(before, token)
+        assert got.tolist() == [auto.follows(a, b) for a, b in zip(before.tolist(), token.tolist())]
+    texts = ["", "one two", "a<|endoftext|>b", " " * 5000 + "end", "\n\nab \n", "ab" * 5000, "one two"]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(texts)] == ids
+    assert [t for run in bpe._runs(texts) for t in run] == texts and not list(bpe._runs([]))
+
+
+def test_bpe_words_let_go(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 3)
+    own, library = bpe.Bpe(BYTE), Tokenizer.from_file(BYTE)
+    for text in ("one two three four", "four five <|endoftext|> one", "", "one two three four"):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+
+
 def test_bpe_tables(docs, none):
     library = Tokenizer.from_file(BYTE)
     decoded = bpe.decode_ids(bpe.encode_texts(docs, BYTE), BYTE).collect()
