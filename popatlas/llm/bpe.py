@@ -28,7 +28,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PLAIN = re.compile(
     r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)"
 ).fullmatch
-WORDS = 600_000
+WORDS = 300_000
 ROWS = 500
-LETTERS = 1 << 21  # of the texts whose new words are read together
+LETTERS = 1 << 20  # of the texts whose new words are read together
 LONG = 64
 TOGETHER = 1 << 13
 ARC_BITS = 21
@@ -294,10 +294,9 @@ class Bpe:
             return bytes(letters[c] for c in token)
 
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.automaton = Automaton([(spelled(u), spelled(v)) for u, v in pairs])
+        self.merges = [(spelled(u), spelled(v)) for u, v in pairs]
         self.special = {t["content"]: t["id"] for t in added}
         known = {spelled(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.ids = np.array([known.get(t, -1) for t in self.automaton.tokens], dtype="<i4")
         self.labels = {i: t for t, i in known.items()} | {i: t.encode() for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -307,6 +306,17 @@ class Bpe:
         self.words: dict[str, bytes] = dict(self.own)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Compiled when first asked for: decoding does without."""
+        return Automaton(self.merges)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """The id of each of the automaton's tokens, -1 for none."""
+        known = {t: i for i, t in self.labels.items() if i not in self.special.values()}
+        return np.array([known.get(t, -1) for t in self.automaton.tokens], dtype="<i4")
+
     def _learn(self, words: set[str]) -> None:
         """Takes up the ids of words, stretches of text between places where every split
         begins anew."""
