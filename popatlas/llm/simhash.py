@@ -20,7 +20,7 @@ of all links give each document the smallest ``doc_id`` it can reach.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,24 +44,40 @@ QUERIES = 2048
 CHUNK = 1 << 16
 ALL = (1 << 64) - 1
 
+Forest = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def fingerprint(text: str, words: int) -> int:
-    """The unsigned fingerprint of a text. Only A-Z are lower-cased; words are runs of bytes
-    other than space and 0x09 to 0x0D. A text of fewer words is one shingle, none gives 0."""
+
+def shingle_values(text: str, words: int) -> np.ndarray:
+    """The XXH64 values of all word shingles, repeats included. Only A-Z are lower-cased; words
+    are runs of bytes other than space and 0x09 to 0x0D. A text of fewer words is one shingle,
+    none gives none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     last = ends[min(words, len(parts)) - 1 :]
     first = np.concatenate([[0], ends[: len(last) - 1] + 1])
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest, found = xxhash.xxh64_intdigest, []
     for at in range(0, len(last), CHUNK):
         spans = zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)
-        values = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=">u8")
-        bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
+        found.append(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+    return np.concatenate(found)
+
+
+def majority(values: np.ndarray) -> int:
+    """The unsigned number of the bits that are set in over half of the values."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(values), CHUNK):
+        part = values[at : at + CHUNK].astype(">u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(last)).tobytes(), "big")
+    return int.from_bytes(np.packbits(total * 2 > len(values)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The unsigned fingerprint of a text; one without a word has 0."""
+    return majority(shingle_values(text, words))
 
 
 def fingerprints(
@@ -139,15 +155,26 @@ class GrayIndex:
         return query, node
 
 
-def large_bucket(fps: np.ndarray, reps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between the fingerprints of one bucket."""
+def direct_links(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links of each node to smaller ones, that to the smallest."""
+    low, high = np.minimum(u, v), np.maximum(u, v)
+    order = np.lexsort((low, high))
+    low, high = low[order], high[order]
+    first = np.append(True, high[1:] != high[:-1])[: len(high)]
+    return high[first], low[first]
+
+
+def large_bucket(
+    fps: np.ndarray, reps: np.ndarray, limit: int, forest: Forest = spanning_forest
+) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between the fingerprints of one bucket."""
     index = GrayIndex(fps)
     ordered = reps[index.order]
     us, vs = [], []
     for start in range(0, len(fps), QUERIES):
         query, found = index.search(index.codes[start : start + QUERIES], limit)
         later = found > query + start
-        u, v = spanning_forest(ordered[query[later] + start], ordered[found[later]])
+        u, v = forest(ordered[query[later] + start], ordered[found[later]])
         us.append(u)
         vs.append(v)
     return np.concatenate(us), np.concatenate(vs)
@@ -167,7 +194,7 @@ def small_buckets(
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _link_buckets(limit: int):
+def _link_buckets(limit: int, forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_runs(batches, ["mask", "key"]):
             fps = table["fp"].to_numpy().view(np.uint64)
@@ -175,16 +202,19 @@ def _link_buckets(limit: int):
             sizes = np.diff(np.append(starts, len(fps)))
             found = [small_buckets(fps, reps, sizes, limit)]
             for at, n in zip(starts[sizes > FAN], sizes[sizes > FAN], strict=True):
-                found.append(large_bucket(fps[at : at + n], reps[at : at + n], limit))
-            u, v = spanning_forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found.append(large_bucket(fps[at : at + n], reps[at : at + n], limit, forest))
+            u, v = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, limit: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(
+    fps: DataFrame, limit: int = MAX_BITS, bucket: int = BUCKET, forest: Forest = spanning_forest
+) -> DataFrame:
     """Links ``u, v`` between the ``rep`` values of distinct fingerprints (``fp, rep``) that
-    differ in at most ``limit`` bits, enough of them to give all components."""
+    differ in at most ``limit`` bits, enough of them to give all components; with
+    :func:`direct_links` the pairs themselves, each fingerprint of a bucket with the smallest."""
     blocks, equal = limit + 2, 2
     todo, links = fps.withColumn("mask", F.lit(0).cast("long")), None
     masks = [0]
@@ -214,7 +244,7 @@ def fingerprint_links(fps: DataFrame, limit: int = MAX_BITS, bucket: int = BUCKE
         found = (
             rows.repartition("mask", "key")
             .sortWithinPartitions("mask", "key")
-            .mapInArrow(_link_buckets(limit), LINKS)
+            .mapInArrow(_link_buckets(limit, forest), LINKS)
         )
         links = found if links is None else links.unionByName(found)
         if last or not again:

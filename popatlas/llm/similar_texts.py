@@ -1,4 +1,4 @@
-"""Near-dedup by similarity: texts whose sets of word shingles have a Jaccard similarity of
+"""Near-dedup by SimHash and similarity: texts whose sets of word shingles have a Jaccard similarity of
 at least ``NUMERATOR / DENOMINATOR`` are linked.
 
 Each distinct set is a node. ``BANDS`` independent fingerprints per set, each made of the
@@ -6,9 +6,12 @@ minima of ``ROWS`` permutations of its shingle hashes, name the buckets it goes
 at the threshold miss each other in all of them with a chance of 2.4e-9, closer ones with
 less. Every link is confirmed on the whole sets.
 
-First each node is paired with the smallest of the nodes that come first in its buckets, so
-that a large group of copies costs one comparison per member. Then the first node of each
-bucket is paired with those that are not in its component yet. Last, in the buckets whose
+First each node is paired with the smallest of those whose SimHash fingerprint differs from its
+own in at most ``MAX_BITS`` bits, found by the Gray-order index of ``simhash``, and with the
+smallest of the nodes that come first in its buckets, so that a large group of copies costs two
+comparisons per member. Then come the other pairs of near fingerprints, and of the first node
+of a bucket with its others, that are not in one component yet. SimHash alone would miss most
+texts between 0.8 and 0.95; the buckets of minima hold those. Last, in the buckets whose
 members are not all in one component yet, members of different components are compared, the
 likely pairs (``LIKELY`` bytes of their sketches agree) a round before the others, each pair in
 the first bucket that both go to: 32 bits of every bucket key ride along, and other texts agree in
@@ -32,7 +35,15 @@ from pyspark.sql import functions as F
 from popatlas.llm.common import fresh, long_rows, whole_text
 from popatlas.llm.components import LINKS, components
 from popatlas.llm.runs import whole_runs
-from popatlas.llm.simhash import CHUNK, SEED, SHINGLE_WORDS
+from popatlas.llm.simhash import (
+    MAX_BITS,
+    SEED,
+    SHINGLE_WORDS,
+    direct_links,
+    fingerprint_links,
+    majority,
+    shingle_values,
+)
 from popatlas.plans.storage import stored
 
 NUMERATOR, DENOMINATOR = 4, 5
@@ -53,20 +64,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The distinct XXH64 values of all word shingles, ascending. Words and case are those
-    of ``simhash.fingerprint``; a text of fewer words is one shingle, none gives none."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    last = ends[min(words, len(parts)) - 1 :]
-    first = np.concatenate([[0], ends[: len(last) - 1] + 1])
-    digest, found = xxhash.xxh64_intdigest, []
-    for at in range(0, len(last), CHUNK):
-        spans = zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)
-        found.append(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
-    return np.unique(np.concatenate(found))
+    """The distinct values of ``simhash.shingle_values``, ascending."""
+    return np.unique(shingle_values(text, words))
 
 
 def minima(values: np.ndarray) -> np.ndarray:
@@ -142,9 +141,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, sketches = [], [], [], []
+            nodes, fps, sizes, keys, sketches = [], [], [], [], []
             for text in batch["text"]:
-                values = shingles(text.as_py(), words)
+                repeated = shingle_values(text.as_py(), words)
+                values = np.unique(repeated)
+                fps.append(majority(repeated))
                 # Smaller sets reach the similarity only if they are equal.
                 least = minima(values) if len(values) >= NUMERATOR else None
                 nodes.append(node_of(values))
@@ -155,11 +156,12 @@ def _described(words: int):
                 batch["doc_id"],
                 batch["text_key"],
                 pa.array(nodes, pa.int64()),
+                pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
                 pa.array(sketches, pa.binary()),
             ]
-            names = ["doc_id", "text_key", "node", "size", "keys", "sketch"]
+            names = ["doc_id", "text_key", "node", "fp", "size", "keys", "sketch"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -264,6 +266,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int) ->
     return stored(joined.mapInArrow(_confirmed, LINKS), "similar-pairs")
 
 
+def _near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of nodes, ``u`` the smaller, whose SimHash fingerprints are equal or found
+    near by the Gray-order index: each fingerprint with the smallest of every bucket it shares."""
+    named = rows.where("sketch is not null").select("fp", "node").distinct()
+    fps = stored(named.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    equal = named.join(fps, "fp").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    found = fingerprint_links(fps, MAX_BITS, forest=direct_links).unionByName(equal).where("u <> v")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similar_groups(
     docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -274,7 +286,7 @@ def similar_groups(
         F.xxhash64(whole_text(text_col)).alias("text_key"),
         whole_text(text_col).alias("text"),
     )
-    schema = "doc_id long, text_key long, node long, size long, keys array<long>, sketch binary"
+    schema = "doc_id long, text_key long, node long, fp long, size long, keys array<long>, sketch binary"
     rows = stored(texts.mapInArrow(_described(words), schema), "shingle-sets")
     tags = F.transform("keys", lambda k: (k.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
     nodes = rows.select("node", "size", "sketch", tags.alias("tags")).dropDuplicates(["node"])
@@ -303,16 +315,20 @@ def similar_groups(
     def labelled(found: DataFrame) -> DataFrame:
         return members.join(found, "node", "left").withColumn("label", label).drop("component")
 
-    stars = members.where("node <> centre")
-    first = stars.groupBy(F.col("node").alias("v")).agg(F.min("centre").alias("u"))
-    links = linked(first)
+    stars = members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
+    near = stored(_near_fingerprints(rows), "near-fingerprints")
+    first = [pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v") for pairs in (near, stars)]
+    links = linked(first[0].unionByName(first[1]).distinct())
     found = components(links)
-    centres = found.select(F.col("node").alias("centre"), F.col("component").alias("at"))
+    ends = [
+        found.select(F.col("node").alias(side), F.col("component").alias(f"at_{side}")) for side in "uv"
+    ]
     apart = (
-        labelled(found)
-        .join(centres, "centre", "left")
-        .where("node <> centre and label <> coalesce(at, centre)")
-        .select(F.col("centre").alias("u"), F.col("node").alias("v"))
+        near.unionByName(stars)
+        .join(ends[0], "u", "left")
+        .join(ends[1], "v", "left")
+        .where("coalesce(at_u, u) <> coalesce(at_v, v)")
+        .select("u", "v")
         .distinct()
     )
     links = links.unionByName(linked(apart))

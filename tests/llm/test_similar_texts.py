@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from popatlas.llm import similar_texts
+from popatlas.llm import simhash, similar_texts
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -124,3 +124,22 @@ def test_pairs_leave_their_first_shared_bucket_only():
     assert sorted(one) == [p for p, ok in zip(listed, likely, strict=True) if ok and first[p]]
     assert sorted(two) == [p for p, a, b in zip(listed, near, likely, strict=True) if a and not b and first[p]]
     assert len(one) > 20 and len(two) > 20
+
+
+def test_stage_pairs_near_simhash_fingerprints(spark):
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 10**6, 2000).astype(str).tolist()
+    other = rng.integers(0, 10**6, 2000).astype(str).tolist()
+    texts = [" ".join(w) for w in (words, words[:-1] + ["x"], other)]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.MAX_BITS < (prints[0] ^ prints[2]).bit_count()
+    nodes = [similar_texts.node_of(similar_texts.shingles(t)) for t in texts]
+    signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
+    rows = spark.createDataFrame(
+        [(n, p, b"0") for n, p in zip(nodes, signed, strict=True)], "node long, fp long, sketch binary"
+    )
+    found = [tuple(r) for r in similar_texts._near_fingerprints(rows).collect()]
+    assert found == [tuple(sorted(nodes[:2]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = similar_texts.drop_similar(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
