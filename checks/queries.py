@@ -1418,8 +1418,7 @@ def stored_units(spark, sf):
 
 
 def _with_tables(w: World, **tables: DataFrame) -> World:
-    kept = {f.name: getattr(w, f.name) for f in dataclasses.fields(World)}
-    return World(**{**kept, **tables})
+    return cw.ChangedWorld(w, **tables)
 
 
 @query(

@@ -13,6 +13,8 @@ from popatlas.plans.ranking import prefix_sum
 from popatlas.plans.storage import stored
 from popatlas.sources.lookups import latest_lookup
 
+TABLES = ("geo", "people", "venues", "subsets", "memberships", "activities")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -148,22 +150,43 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     return CheckWorld(spark, sf_dir)
 
 
-@cache
-def unlabelled_world(spark: SparkSession, sf_dir: str) -> World:
-    """The check world with sexes, venue types and activities missing here and there."""
-    full = world(spark, sf_dir)
+class ChangedWorld(World):
+    """A world with some of its tables replaced. The others are asked for on first use only,
+    so that a query derives no table that it does not read."""
 
-    def without(df: DataFrame, column: str, where: str) -> DataFrame:
-        return df.withColumn(column, F.when(~F.expr(where), F.col(column)))
+    def __init__(self, given: World, **tables: DataFrame) -> None:
+        self.max_depth = given.max_depth
+        self._given = given
+        vars(self).update(tables)
 
-    return World(
-        full.geo,
-        without(full.people, "sex", f.NO_SEX),
-        without(full.venues, "venue_type", f.NO_VENUE_TYPE),
-        full.subsets,
-        full.memberships,
-        without(full.activities, "activity", f.NO_ACTIVITY),
-    )
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        return getattr(self._given, name)
+
+
+def _without(df: DataFrame, column: str, where: str) -> DataFrame:
+    return df.withColumn(column, F.when(~F.expr(where), F.col(column)))
+
+
+class UnlabelledWorld(ChangedWorld):
+    """A world with sexes, venue types and activities missing here and there."""
+
+    def __init__(self, given: World) -> None:
+        super().__init__(
+            given,
+            people=_without(given.people, "sex", f.NO_SEX),
+            venues=_without(given.venues, "venue_type", f.NO_VENUE_TYPE),
+        )
+
+    @cached_property
+    def activities(self) -> DataFrame:
+        return _without(self._given.activities, "activity", f.NO_ACTIVITY)
+
+
+@cache
+def unlabelled_world(spark: SparkSession, sf_dir: str) -> World:
+    return UnlabelledWorld(world(spark, sf_dir))
 
 
 def days(ts) -> F.Column:
