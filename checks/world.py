@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from checks import formulas as f
 from popatlas.model import EventLog, World
 from popatlas.plans.ranking import prefix_sum
+from popatlas.plans.sizing import sized_broadcast
 from popatlas.plans.storage import stored
 from popatlas.sources.lookups import latest_lookup
 
+# Positions of the visits of one person that are ranked in one task: eight to an order.
+VISIT_SLICE = 1 << 23
 TABLES = ("geo", "people", "venues", "subsets", "memberships", "activities")
 
 
@@ -41,9 +44,8 @@ def geo_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the customer and priority of their order."""
-    return table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def subset_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +57,21 @@ def subset_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.distinct().withColumn("subset_pos", (place - 1).cast("int"))
 
 
+def with_positions(named: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a venue and subset name with ``subset_pos``. The positions are few, so the rows
+    stay where they are."""
+    places = stored(subset_positions(spark, sf_dir), "subset-positions")
+    return named.join(sized_broadcast(places), ["venue_id", "subset_name"])
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (venue, subset name, person)."""
-    return (
-        visits(spark, sf_dir)
-        .select(
-            F.col("l_suppkey").alias("venue_id"),
-            F.col("l_returnflag").alias("subset_name"),
-            F.col("o_custkey").alias("person_id"),
-        )
-        .distinct()
+    named = visits(spark, sf_dir).select(
+        F.col("l_suppkey").alias("venue_id"),
+        F.col("l_returnflag").alias("subset_name"),
+        F.col("o_custkey").alias("person_id"),
     )
+    return named.distinct()
 
 
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,7 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = prefix_sum(
         members(spark, sf_dir), "person_id", keys=["venue_id", "subset_name"], name="seq"
     )
-    return ranked.join(subset_positions(spark, sf_dir), ["venue_id", "subset_name"]).select(
+    return with_positions(ranked, spark, sf_dir).select(
         "venue_id", "subset_pos", "seq", "person_id"
     )
 
@@ -111,9 +117,14 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
     )
     ranked = prefix_sum(
-        taken, "position", keys=["person_id"], ties=["l_partkey", "venue_id"], name="seq"
-    )
-    return ranked.join(subset_positions(spark, sf_dir), ["venue_id", "subset_name"]).select(
+        taken,
+        "position",
+        keys=["person_id"],
+        ties=["l_partkey", "venue_id"],
+        width=VISIT_SLICE,
+        name="seq",
+    )
+    return with_positions(ranked, spark, sf_dir).select(
         "person_id", "seq", "activity", "venue_id", "subset_pos"
     )
 

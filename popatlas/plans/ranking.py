@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popatlas.plans.joins import join_on_keys
+from popatlas.plans.joins import join_on_keys, plain_keys, plain_names
 from popatlas.plans.sizing import fits
 
 BUCKET_WIDTH = 1 << 20
@@ -86,18 +86,21 @@ def prefix_sum(
     how = "inner" if offsets is None else "left"
     if offsets is None:
         offsets = bucket_offsets(df, order, keys, amount, width)
-    offsets = offsets.drop("_sum")
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
+    # The window and the join ask for the same columns, so the rows are shuffled and sorted once.
+    slices = [*keys, "_bucket"]
+    plain = plain_names(slices)
+    within = Window.partitionBy(*plain).orderBy(order, *ties)
     if value is None:
         local = F.row_number().over(within) - 1
     else:
         before = within.rowsBetween(Window.unboundedPreceding, -1)
         local = F.coalesce(F.sum(amount).over(before), F.lit(0))
-    sliced = df.withColumn("_bucket", _bucket(order, width)).withColumn("_local", local)
+    sliced = plain_keys(df.withColumn("_bucket", _bucket(order, width)), slices)
     return (
-        join_on_keys(sliced, offsets, [*keys, "_bucket"], how)
+        sliced.withColumn("_local", local)
+        .join(plain_keys(offsets.select(*slices, "_offset"), slices).drop(*slices), plain, how)
         .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_bucket", "_local", "_offset")
+        .drop(*plain, "_bucket", "_local", "_offset")
     )
 
 

@@ -32,3 +32,50 @@ def test_world_with_other_tables_derives_only_what_is_read(city):
     given = Only(city, "geo", "people", "venues", "subsets")
     changed = queries._with_tables(given, venues=city.venues.where("venue_id = 0"))
     assert rows(venues.venue_child_totals(changed)) == [(0, 0, 0)]
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_rows_are_shuffled_once_for_their_rank(spark):
+    data = [(k, o) for k in (None, "", "a") for o in (None, 0, 1, 5, 6)]
+    df = spark.createDataFrame(data, "k string, ordinal long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        offsets = ranking.bucket_offsets(df, "ordinal", ["k"], F.lit(1), 4).localCheckpoint()
+        ranked = ranking.prefix_sum(df, "ordinal", keys=["k"], width=4, offsets=offsets)
+        # One for the rows, one for the offsets.
+        assert _exchanges(ranked) == 2
+        whole = ranking.prefix_sum(df, "ordinal", keys=["k"], width=4)
+        for found in (ranked, whole):
+            assert found.columns == ["k", "ordinal", "rank"]
+            got = {(r.k, r.ordinal): r.rank for r in found.collect()}
+            assert got == {(k, o): i % 5 for i, (k, o) in enumerate(data)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _visits(spark, folder):
+    lines = [(o, n, o % 3, o % 2, "AR"[n % 2]) for o in range(40) for n in (1, 2)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(
+        [(o, o % 5, "1-URGENT") for o in range(40)], "o_orderkey long, o_custkey long, o_orderpriority string"
+    ).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_positions_do_not_shuffle_the_visits(spark, tmp_path):
+    _visits(spark, tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = cw.activities(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [venue_id" in plan
+        assert found.count() == 80
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
