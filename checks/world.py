@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import formulas as f
 from popatlas.model import EventLog, World
 from popatlas.plans.ranking import prefix_sum
-from popatlas.plans.sizing import sized_broadcast
+from popatlas.plans.sizing import sized_broadcast, spread
 from popatlas.plans.storage import stored
 from popatlas.sources.lookups import latest_lookup
 
@@ -45,7 +45,10 @@ def geo_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the customer and priority of their order."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    n = lines.count()
+    return spread(lines, n, "l_orderkey").join(
+        spread(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
 
 
 def subset_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("subset_name"),
         F.col("o_custkey").alias("person_id"),
     )
-    return named.distinct()
+    return spread(named, table(spark, sf_dir, "lineitem").count(), *named.columns).distinct()
 
 
 def subsets(spark: SparkSession, sf_dir: str) -> DataFrame:

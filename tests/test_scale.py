@@ -68,6 +68,15 @@ def _visits(spark, folder):
     ).write.parquet(f"{folder}/orders.parquet")
 
 
+def test_large_visits_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    _visits(spark, tmp_path)
+    few = rows(cw.subsets(spark, str(tmp_path)))
+    monkeypatch.setattr(sizing, "TASK_ROWS", 5)
+    dealt = cw.members(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert rows(cw.subsets(spark, str(tmp_path))) == few
+
+
 def test_positions_do_not_shuffle_the_visits(spark, tmp_path):
     _visits(spark, tmp_path)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
