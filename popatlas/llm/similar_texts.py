@@ -12,7 +12,8 @@ smallest of the nodes that come first in its buckets, so that a large group of c
 comparisons per member. Then come the other pairs of near fingerprints, and of the first node
 of a bucket with its others, that are not in one component yet. SimHash alone would miss most
 texts between 0.8 and 0.95; the buckets of minima hold those. Last, in the buckets whose
-members are not all in one component yet, members of different components are compared, the
+members are not all in one component yet, members of different components are compared within
+the task that holds the bucket, and the sets of those in a likely pair are brought to it, the
 likely pairs (``LIKELY`` bytes of their sketches agree) a round before the others, each pair in
 the first bucket that both go to: 32 bits of every bucket key ride along, and other texts agree in
 those of a band with a chance of 2e-10. Pairs whose sizes rule out the similarity are left out, and so are those whose sketches tell them apart. A sketch is one
@@ -56,6 +57,7 @@ LIKELY = 195
 STEP = 512
 BLOCK = 256
 PAIRS = 1 << 16  # whose bytes are compared at once
+OPEN_ROWS = 1000
 
 _drawn = np.random.default_rng(SEED)
 _TIMES = _drawn.integers(0, 1 << 31, (BITS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -189,33 +191,87 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["key", "node", "centre"])
 
 
+def _candidates(
+    table: pa.Table, starts: np.ndarray, same: int, below: int, skip: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The run and row numbers of pairs of a bucket that lie in different components, share
+    ``same`` bytes, but less than ``below``, and no bucket of a band before. The first ``skip``
+    rows of a bucket are left out."""
+    nodes, labels, sizes = (table[c].to_numpy() for c in ("node", "label", "size"))
+    sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8)
+    sketches = sketches.reshape(len(nodes), BITS)
+    bits = first_bits(sketches)
+    tags = table["tags"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+    own = tag(table["key"].to_numpy())
+    for run, (start, stop) in enumerate(zip(starts, [*starts[1:], len(nodes)], strict=True)):
+        band = int((tags[start] == own[start]).argmax())
+        for a in range(start + skip, stop, BLOCK):
+            for b in range(a, stop, BLOCK):
+                us, vs = slice(a, min(a + BLOCK, stop)), slice(b, min(b + BLOCK, stop))
+                small = np.minimum(sizes[us, None], sizes[None, vs])
+                large = np.maximum(sizes[us, None], sizes[None, vs])
+                may = (labels[us, None] != labels[None, vs]) & (nodes[us, None] < nodes[None, vs])
+                may &= small * DENOMINATOR >= large * NUMERATOR
+                u, v = np.nonzero(may)
+                near = np.flatnonzero(close(sketches, bits, a + u, b + v, same, below))
+                near = near[~shared_before(tags, band, a + u[near], b + v[near])]
+                yield run, a + u[near], b + v[near]
+
+
 def _across(same: int, below: int):
-    """Pairs of a bucket that lie in different components, share ``same`` bytes, but less than
-    ``below``, and no bucket of a band before."""
+    """The candidates of each bucket. Its first node has been compared with all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, ["key"]):
+            nodes = table["node"].to_numpy()
+            for _, u, v in _candidates(table, starts, same, below, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], ["u", "v"])
+
+    return run
+
+
+def _open_members(same: int, below: int):
+    """The rows of each bucket that are in any pair of :func:`_across`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_runs(batches, ["key"]):
-            nodes, labels, sizes = (table[c].to_numpy() for c in ("node", "label", "size"))
-            sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8)
-            sketches = sketches.reshape(len(nodes), BITS)
-            bits = first_bits(sketches)
-            tags = table["tags"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
-            own = tag(table["key"].to_numpy())
-            for start, stop in zip(starts, [*starts[1:], len(nodes)], strict=True):
-                band = int((tags[start] == own[start]).argmax())
-                # The first node of a bucket has been compared with all others.
-                for a in range(start + 1, stop, BLOCK):
-                    for b in range(a, stop, BLOCK):
-                        us, vs = slice(a, min(a + BLOCK, stop)), slice(b, min(b + BLOCK, stop))
-                        small = np.minimum(sizes[us, None], sizes[None, vs])
-                        large = np.maximum(sizes[us, None], sizes[None, vs])
-                        may = (labels[us, None] != labels[None, vs]) & (nodes[us, None] < nodes[None, vs])
-                        may &= small * DENOMINATOR >= large * NUMERATOR
-                        u, v = np.nonzero(may)
-                        near = np.flatnonzero(close(sketches, bits, a + u, b + v, same, below))
-                        near = near[~shared_before(tags, band, a + u[near], b + v[near])]
-                        found = [pa.array(nodes[us][u[near]]), pa.array(nodes[vs][v[near]])]
-                        yield pa.RecordBatch.from_arrays(found, ["u", "v"])
+            paired = np.zeros(table.num_rows, dtype=bool)
+            for _, u, v in _candidates(table, starts, same, below, 1):
+                paired[u] = paired[v] = True
+            yield from table.filter(pa.array(paired)).combine_chunks().to_batches(max_chunksize=OPEN_ROWS)
+
+    return run
+
+
+def _linked_across(same: int, below: int):
+    """The pairs of :func:`_across` that are similar, from its :func:`_open_members` with their
+    sets. What a bucket has joined already is not compared again, so no more links leave it than
+    it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, ["key"]):
+            nodes, labels = (table[c].to_numpy() for c in ("node", "label"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["values"].combine_chunks()]
+            joined: dict[int, int] = {}
+            at, us, vs = -1, [], []
+
+            def top(label: int) -> int:
+                while label in joined:
+                    label = joined[label]
+                return label
+
+            for bucket, u, v in _candidates(table, starts, same, below, 0):
+                if bucket != at:
+                    joined.clear()
+                    at = bucket
+                for i, j in zip(u.tolist(), v.tolist(), strict=True):
+                    a, b = top(int(labels[i])), top(int(labels[j]))
+                    if a != b and similar(sets[i], sets[j]):
+                        joined[max(a, b)] = min(a, b)
+                        us.append(nodes[i])
+                        vs.append(nodes[j])
+            found = [pa.array(us, pa.int64()), pa.array(vs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["u", "v"])
 
     return run
 
@@ -245,11 +301,9 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs ``u, v`` whose sets are similar; ``docs`` and ``rows`` hold the texts
-    and what is known of them."""
-    asked = pairs.select(F.col("u").alias("node")).distinct()
-    asked = asked.unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
+def _sets(asked: DataFrame, docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``node, values`` of the nodes ``asked`` for; ``docs`` and ``rows`` hold the texts and what
+    is known of them."""
     found = rows.join(asked, "node", "left_semi").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id"), F.col("text_key"))).alias("first")
     )
@@ -257,7 +311,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int) ->
     same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (docs["text_key"] == found["text_key"])
     texts = docs.join(found, same, "left_semi").select("text")
     sets = texts.mapInArrow(_whole_sets(words), "node long, values binary")
-    sets = stored(sets.dropDuplicates(["node"]), "whole-sets")
+    return stored(sets.dropDuplicates(["node"]), "whole-sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs ``u, v`` whose sets are similar."""
+    asked = pairs.select(F.col("u").alias("node")).distinct()
+    asked = asked.unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
+    sets = _sets(asked, docs, rows, words)
     joined = (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("values").alias("a")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("values").alias("b")), "v")
@@ -336,14 +397,22 @@ def similar_groups(
     for same, below in ((LIKELY, BITS + 1), (SAME, LIKELY)):
         known = stored(labelled(components(links)).drop("centre"), "labelled-members")
         mixed = known.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-        open_pairs = (
+        open_members = (
             known.join(mixed.select("key"), "key", "left_semi")
             .join(nodes, "node")
             .repartition("key")
             .sortWithinPartitions("key", "node")
-            .mapInArrow(_across(same, below), LINKS)
         )
-        more = _confirm(stored(open_pairs.distinct(), "open-pairs"), texts, rows, words)
+        schema = open_members.schema
+        open_members = stored(open_members.mapInArrow(_open_members(same, below), schema), "open-members")
+        sets = _sets(open_members.select("node").distinct(), texts, rows, words)
+        more = (
+            open_members.join(sets, "node")
+            .repartition("key")
+            .sortWithinPartitions("key", "node")
+            .mapInArrow(_linked_across(same, below), LINKS)
+        )
+        more = stored(more, "similar-members")
         links = links.unionByName(more)
     named = rows.select("doc_id", "text_key", "node").join(components(links), "node", "left")
     return named.select("doc_id", "text_key", label.alias("component"))

@@ -143,3 +143,37 @@ def test_stage_pairs_near_simhash_fingerprints(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = similar_texts.drop_similar(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_buckets_are_joined_by_no_more_links_than_members():
+    rng = np.random.default_rng(11)
+    words = rng.integers(0, 10**6, 400).astype(str).tolist()
+    texts = [" ".join([*words[:-1], f"last{k}"]) for k in range(40)]
+    sets = [similar_texts.shingles(t) for t in texts]
+    least = [similar_texts.minima(s) for s in sets]
+    keys = [similar_texts.band_keys(x) for x in least]
+    key = int(next(k for k in keys[0] if sum(k in other for other in keys) > 20))
+    members = [i for i, k in enumerate(keys) if key in k]
+    # No bucket before is shared: each text has tags of its own but for that of the key.
+    tags = np.array([np.arange(similar_texts.BANDS) + similar_texts.BANDS * (i + 1) for i in members])
+    tags[:, int(np.flatnonzero(keys[members[0]] == key)[0])] = similar_texts.tag(np.array([key]))[0]
+    rows = {
+        "key": [key] * len(members),
+        "node": members,
+        "label": members,
+        "size": [len(sets[i]) for i in members],
+        "sketch": [similar_texts.sketch(least[i]) for i in members],
+        "tags": tags.tolist(),
+    }
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    columns = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, list(rows))
+    limits = (similar_texts.SAME, similar_texts.BITS + 1)
+    opened = pa.Table.from_batches(similar_texts._open_members(*limits)(iter([batch])))
+    assert opened["node"].to_pylist() == members[1:]
+    values = pa.array([sets[i].tobytes() for i in members[1:]], pa.binary())
+    opened = opened.append_column("values", values).combine_chunks().to_batches()
+    found = pa.Table.from_batches(similar_texts._linked_across(*limits)(iter(opened)))
+    links = list(zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True))
+    assert len(links) == len(members) - 2
+    assert set(sum(links, ())) == set(members[1:])
