@@ -31,18 +31,21 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.tokenize = tokenizer.model.tokenize
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+        latin = (chr(c) for c in range(0xC0, 0x100) if chr(c) not in "\xd7\xf7")
+        self.shown = {ord(c): split(c)[0][0] for c in latin}  # letters as the model reads them
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= WORDS // 2:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= WORDS:
             self.clear()
-        shown = piece if piece.isascii() else self.split(piece)[0][0]
-        self[piece] = out = tuple([t.id for t in self.model.tokenize(shown)])
+        shown = piece if piece.isascii() else piece.translate(self.shown)
+        self[piece] = out = _packed([t.id for t in self.tokenize(shown)])
         return out
 
 
 class _Words(dict):
-    """Ids of a word as bytes, made when first asked for."""
+    """Ids of a word, made when first asked for; a word of one part shares that part's."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
@@ -51,18 +54,23 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        plain = _PLAIN(word)
-        if plain:
+        if word.isascii() and word.isalpha():
+            out = self.pieces[word.lower()]
+        elif plain := _PLAIN(word):
             letters, signs = plain.groups()
-            ids = self.pieces[letters.lower()]
+            out = self.pieces[letters.lower()]
             if signs:
-                ids += self.pieces[signs]
+                out += self.pieces[signs]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+            out = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = out
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 

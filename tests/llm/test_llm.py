@@ -139,6 +139,13 @@ def test_token_blocks_round_trip():
         token_coder.decode_blocks([codes[2][:-2]])
 
 
+def test_words_share_the_ids_of_their_part():
+    words = Encoder(WORD).words
+    assert words["Élleque"] is words["élleque"] is words.pieces["élleque"]
+    words.pieces.split = None  # a part the table lacks is not split anew
+    assert words["Àÿß"] is words["àÿß"]
+
+
 def test_token_files(spark, docs, none):
     path = new_folder(spark, "test-tokens")
     more = [(100 + i, "several words here " * 2000, None, None, None) for i in range(3)]
