@@ -2,18 +2,23 @@
 
 The order-2 and order-1 contexts (the last two ids, the last id) each predict one id: the
 one that held last, with a confidence of 0 to 3 that counts how often it did. The order-0
-prediction is the adaptive frequency of every id in the block so far. The three are mixed:
-for each pair of confidences the coder keeps adaptive weights of "order 2 is right",
-"order 1 is right" and "neither", which are the shares of the code range; within "neither",
-ids share by frequency. Frequencies are summed up anew at the steps in ``REFRESH``.
+prediction is the frequency of every id in the block so far. The three are mixed: for each
+pair of confidences the coder keeps adaptive shares of the code range for "order 2 is
+right", "order 1 is right" and "neither"; within "neither", ids share by frequency.
 
-Every block starts from the same empty state and has its own checksum, so blocks are read
-independently of each other. Blocks are coded side by side, one id of each per step, to let
-numpy work on whole columns; what a block becomes does not depend on its neighbours.
+A block is cut into lanes of ``STEPS`` successive ids or fewer, coded side by side, one id of
+each per step, to let numpy work on whole columns. All lanes of a block learn into the same
+tables, so these are as small as one model and know what every lane has seen up to the step
+before. Shares are taken anew every ``MIX`` steps, frequencies whenever the ids seen have
+doubled; the decoder finds an id by its place in the range in one table.
 
-Layout of a block: magic ``PTB1``, then little-endian unsigned 32-bit integers: number of
+Every block starts from the same empty state and has its own checksums, so blocks are read
+independently of each other, and what a block becomes does not depend on its neighbours.
+
+Layout of a block: magic ``PTB2``, then little-endian unsigned 32-bit integers: number of
 ids, alphabet size, CRC-32 of the ids as little-endian unsigned 32-bit integers, number of
-code words, CRC-32 of the code words; then the 16-bit code words, little-endian.
+code words, CRC-32 of all before and of the code words; then the 16-bit code words,
+little-endian: the first three of each lane, then each as the decoder asks for it.
 """
 
 from __future__ import annotations
@@ -24,251 +29,203 @@ from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 8192
-LANES = 512
-MAGIC = b"PTB1"
+BLOCK = 1 << 18
+STEPS = 256
+MIX = 4
+MAGIC = b"PTB2"
 HEADER = struct.Struct("<4sIIIII")
-REFRESH = frozenset((64, 256, 1024, 3072, 6144))
 
-_SLOTS1, _SLOTS2 = 1 << 11, 1 << 13
+_SLOTS2 = 1 << 16
 _CLASSES = 32
 _BITS = 16
 _FULL = 1 << _BITS
-_RATE = 5
-_STEP = (_FULL - 96) >> _RATE
-_GAIN = 32
-_LOW = np.int64((1 << 32) - 1)
+_LEAST = _FULL >> 6  # of "neither"
+_PLACES = 19  # bits of the range that ids share by frequency, at least
+_FORGET = 1 << 14
+_SMALL = 1 << 32
+_LOW = np.int64(_SMALL - 1)
 
 
 class _Model:
-    """Predictions for many blocks, each with its own state in its own lane."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        self.alphabet = alphabet
-        self.seen = np.zeros((lanes, alphabet), dtype=np.uint16)
-        self.cum = np.tile(np.arange(alphabet + 1, dtype=np.int32), (lanes, 1))
-        self.flat = self.cum.ravel()
-        self.ids1 = np.full(lanes * _SLOTS1, -1, dtype=np.int32)
-        self.ids2 = np.full(lanes * _SLOTS2, -1, dtype=np.int32)
-        self.sure1 = np.zeros(lanes * _SLOTS1, dtype=np.int8)
-        self.sure2 = np.zeros(lanes * _SLOTS2, dtype=np.int8)
-        self.right1 = np.full(lanes * _CLASSES, _FULL // 4, dtype=np.int32)
-        self.right2 = np.full(lanes * _CLASSES, _FULL // 4, dtype=np.int32)
-        self.last = np.zeros((2, lanes), dtype=np.int64)
-        lane = np.arange(lanes)
-        self.at1, self.at2 = lane * _SLOTS1, lane * _SLOTS2
-        self.at_class, self.at_cum, self.at_seen = lane * _CLASSES, lane * (alphabet + 1), lane * alphabet
-
-    def predict(self, n: int) -> None:
-        """Predictions and shares for the first ``n`` lanes."""
-        a, b = self.last[0, :n], self.last[1, :n]
-        self.slot1 = self.at1[:n] + ((a * 40503 >> 5) & (_SLOTS1 - 1))
-        self.slot2 = self.at2[:n] + (((a * 40503 + b * 30011) >> 3) & (_SLOTS2 - 1))
-        self.guess1, self.guess2 = self.ids1[self.slot1], self.ids2[self.slot2]
-        self.c1, self.c2 = self.sure1[self.slot1], self.sure2[self.slot2]
-        kind = self.c2 * 8 + self.c1 * 2 + (self.guess1 == self.guess2)
-        self.kind = self.at_class[:n] + kind
-        self.share2, self.share1 = self.right2[self.kind], self.right1[self.kind]
-
-    def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.right2[self.kind] = self.share2 - (self.share2 >> _RATE) + hit2 * _STEP
-        self.right1[self.kind] = self.share1 - (self.share1 >> _RATE) + hit1 * _STEP
-        for table, sure, slot, guess, c in (
-            (self.ids2, self.sure2, self.slot2, self.guess2, self.c2),
-            (self.ids1, self.sure1, self.slot1, self.guess1, self.c1),
+    """What a block has seen, and the shares that follow from it."""
+
+    def __init__(self, lanes: int, alphabet: int, find: bool):
+        self.alphabet, self.find = alphabet, find
+        self.places = max(_PLACES, alphabet.bit_length() + 2)
+        if self.places > 24:
+            raise ValueError("the alphabet is too large")
+        self.seen = np.zeros(alphabet, dtype=np.int64)
+        self.done, self.due, self.step = 0, 64, 0
+        # A prediction is four times its id, plus its confidence.
+        self.table1 = np.zeros(alphabet, dtype=np.int64)
+        self.table2 = np.zeros(_SLOTS2, dtype=np.int64)
+        self.tally = np.zeros(3 * _CLASSES, dtype=np.int64)
+        self.last = np.zeros(lanes, dtype=np.int64)
+        self.before = np.zeros(lanes, dtype=np.int64)
+        self.mix()
+        self.count(np.empty(0, dtype=np.int64))
+
+    def mix(self) -> None:
+        """Take the outcomes so far into the shares of the three predictions."""
+        neither, right1, right2 = self.tally.reshape(_CLASSES, 3).T
+        total = neither + right1 + right2 + 4
+        self.share2 = np.maximum((right2 * 2 + 1) * (_FULL - _LEAST - 2) // (2 * total), 1)
+        self.share12 = self.share2 + np.maximum((right1 * 2 + 1) * (_FULL - _LEAST - 2) // (2 * total), 1)
+        self.tally[np.repeat(total > _FORGET, 3)] >>= 1
+
+    def count(self, ids: np.ndarray) -> None:
+        """Take these ids into the frequencies."""
+        self.seen += np.bincount(ids, minlength=self.alphabet)
+        total, room = max(int(self.seen.sum()), 1), (1 << self.places) - self.alphabet
+        self.freq = 1 + self.seen * room // total
+        self.freq[np.argmax(self.seen)] += (1 << self.places) - int(self.freq.sum())
+        self.cum = np.cumsum(self.freq) - self.freq
+        if self.find:
+            self.holder = np.repeat(np.arange(self.alphabet, dtype=np.int32), self.freq)
+
+    def predict(self) -> None:
+        self.slot2 = ((self.last * 40503 + self.before * 30011) >> 3) & (_SLOTS2 - 1)
+        self.had1, self.had2 = self.table1[self.last], self.table2[self.slot2]
+        self.guess1, self.guess2 = self.had1 >> 2, self.had2 >> 2
+        self.kind = ((self.had2 & 3) << 3) | ((self.had1 & 3) << 1) | (self.guess1 == self.guess2)
+        self.first, self.second = self.share2[self.kind], self.share12[self.kind]
+
+    def update(self, ids: np.ndarray, rows: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Learn the ids of a step; ``rows`` holds those of all steps up to it."""
+        outcome = 3 * self.kind + hit1 + 2 * hit2
+        self.tally += np.bincount(outcome, minlength=3 * _CLASSES)
+        for table, at, had, guess in (
+            (self.table1, self.last, self.had1, self.guess1),
+            (self.table2, self.slot2, self.had2, self.guess2),
         ):
-            same = guess == ids
-            table[slot] = np.where(same | (c > 0), guess, ids)
-            sure[slot] = np.where(same, np.minimum(c + 1, 3), np.maximum(c - 1, 0))
-        self.seen.ravel()[self.at_seen[:n] + ids] += 1
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
-
-    def refresh(self, n: int) -> None:
-        """Take the frequencies so far into the order-0 shares."""
-        for lane in range(n):  # row by row, to stay within the cache
-            weights = self.seen[lane].astype(np.int32)
-            weights *= _GAIN
-            weights += 1
-            np.cumsum(weights, out=self.cum[lane, 1:])
-
-    def locate(self, lanes: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The id of each lane whose share of the frequencies holds the target."""
-        base = self.at_cum[lanes]
-        low = np.zeros(len(lanes), dtype=np.int64)
-        step = 1 << (self.alphabet - 1).bit_length()
-        while step:
-            ahead = low + step
-            inside = ahead < self.alphabet
-            inside &= self.flat[base + np.minimum(ahead, self.alphabet)] <= target
-            low[inside] = ahead[inside]
-            step >>= 1
-        return low
-
-
-def _sorted_lanes(sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes by falling size, and the number of lanes that go on at each step."""
-    sizes = np.asarray(sizes)
-    order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order]
-    longest = int(falling[0]) if len(falling) else 0
-    active = np.searchsorted(-falling, -np.arange(longest), side="left")
-    return order, active
+            sure = had & 3
+            wrong = np.where(sure > 0, had - 1, ids << 2)
+            table[at] = np.where(guess == ids, had + (sure < 3), wrong)  # of equal places the last lane's
+        self.before, self.last = self.last, ids
+        self.step += 1
+        if self.step % MIX == 0 or self.step < MIX:
+            self.mix()
+        seen = self.step * len(ids)
+        if seen >= self.due:
+            self.count(rows[self.done : self.step].ravel())
+            self.done, self.due = self.step, 2 * seen
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of ``n`` ids."""
+    lanes = -(-n // STEPS)
+    steps = -(-n // lanes) if lanes else 0
+    return steps, -(-n // steps) if steps else 0
 
 
 def encode_blocks(blocks: Sequence[np.ndarray], alphabet: int) -> list[bytes]:
     """Each block of ids (below ``alphabet``, at most ``BLOCK``) as bytes."""
-    out: list[bytes] = [b""] * len(blocks)
-    for first in range(0, len(blocks), LANES):
-        group = blocks[first : first + LANES]
-        for lane, code in zip(range(first, first + len(group)), _encode(group, alphabet), strict=True):
-            out[lane] = code
-    return out
+    return [_encode(np.asarray(block), alphabet) for block in blocks]
 
 
-def _encode(blocks: Sequence[np.ndarray], alphabet: int) -> list[bytes]:
-    order, active = _sorted_lanes([len(b) for b in blocks])
-    lanes, steps = len(blocks), len(active)
-    ids = np.zeros((steps, lanes), dtype=np.int64)
-    for lane, block in enumerate(order):
-        ids[: len(blocks[block]), lane] = blocks[block]
-    model = _Model(lanes, alphabet)
-    low = np.zeros(lanes, dtype=np.int64)
-    span = np.full(lanes, 1 << 48, dtype=np.int64)
-    words = np.zeros((lanes, 3 * steps + 4), dtype=np.int32)
-    flat, at = words.ravel(), np.arange(lanes) * words.shape[1]
+def _encode(block: np.ndarray, alphabet: int) -> bytes:
+    steps, lanes = _shape(len(block))
+    ids = np.zeros(steps * lanes, dtype=np.int64)
+    ids[: len(block)] = block
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    body = _words(ids, alphabet).astype("<u2").tobytes() if steps else b""
+    crc = zlib.crc32(np.ascontiguousarray(block, dtype="<u4").tobytes())
+    head = HEADER.pack(MAGIC, len(block), alphabet, crc, len(body) // 2, 0)[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
-    def narrow(who, cum, freq, unit):
-        """The share from ``cum`` of length ``freq`` becomes the range of these lanes."""
-        lo = low[who] + unit * cum
-        sp = unit * freq
-        while True:
-            small = np.flatnonzero(sp < (1 << 32))
-            if not len(small):
-                break
-            lanes_out = small if isinstance(who, slice) else who[small]
-            flat[at[lanes_out]] = lo[small] >> 32
-            at[lanes_out] += 1
-            lo[small] = (lo[small] & _LOW) << 16
-            sp[small] <<= 16
-        low[who], span[who] = lo, sp
 
+def _words(ids: np.ndarray, alphabet: int) -> np.ndarray:
+    """The code words of ids in rows of one step each."""
+    steps, lanes = ids.shape
+    model = _Model(lanes, alphabet, find=False)
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << 48, dtype=np.int64)
+    words = np.zeros((lanes, 3 * steps + 4), dtype=np.int32)
+    flat, at = words.ravel(), np.arange(lanes) * words.shape[1]
+    asked = [at[:, None] + np.arange(3)]  # places of words in the order of the decoder
     for t in range(steps):
-        n = int(active[t])
-        if t in REFRESH:
-            model.refresh(n)
-        model.predict(n)
-        s = ids[t, :n]
+        model.predict()
+        s = ids[t]
         hit2 = s == model.guess2
         hit1 = (s == model.guess1) & ~hit2
-        f2, f1 = model.share2.astype(np.int64), model.share1.astype(np.int64)
-        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        freq = np.where(hit2, f2, np.where(hit1, f1, _FULL - f2 - f1))
-        narrow(slice(0, n), cum, freq, span[:n] >> _BITS)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        if len(rest):
-            base = model.at_cum[rest]
-            c0 = model.flat[base + s[rest]].astype(np.int64)
-            c1 = model.flat[base + s[rest] + 1].astype(np.int64)
-            narrow(rest, c0, c1 - c0, span[rest] // model.flat[base + alphabet])
-        model.update(n, s, hit2, hit1)
+        unit = span >> _BITS
+        part = (unit * (_FULL - model.second)) >> model.places
+        neither = ~(hit2 | hit1)
+        low += np.where(neither, unit * model.second + part * model.cum[s], np.where(hit2, 0, unit * model.first))
+        known = unit * np.where(hit2, model.first, model.second - model.first)
+        span = np.where(neither, part * model.freq[s], known)
+        while len(small := np.flatnonzero(span < _SMALL)):
+            places, lo = at[small], low[small]
+            flat[places] = lo >> 32
+            low[small] = (lo & _LOW) << 16
+            span[small] <<= 16
+            asked.append(places + 3)
+            at[small] = places + 1
+        model.update(s, ids[: t + 1], hit2, hit1)
     for shift in (32, 16, 0):
         flat[at] = (low >> shift) & (0x1FFFF if shift == 32 else 0xFFFF)
         at += 1
     while (carry := words >> 16).any():  # additions that ran over into the word before
         words &= 0xFFFF
         words[:, :-1] += carry[:, 1:]
-    used = at - np.arange(lanes) * words.shape[1]
-    out = [b""] * lanes
-    for lane, block in enumerate(order):
-        raw = np.ascontiguousarray(blocks[block], dtype="<u4").tobytes()
-        body = words[lane, : used[lane]].astype("<u2").tobytes()
-        sizes = len(blocks[block]), alphabet, zlib.crc32(raw), len(body) // 2
-        out[block] = HEADER.pack(MAGIC, *sizes, zlib.crc32(body)) + body
-    return out
+    return flat[np.concatenate([a.ravel() for a in asked])]
 
 
 def decode_blocks(codes: Sequence[bytes]) -> list[np.ndarray]:
     """The ids (``<u4``) of each block; raises ValueError where one is damaged."""
-    out: list[np.ndarray] = [np.empty(0, "<u4")] * len(codes)
-    heads = []
-    for code in codes:
-        if len(code) < HEADER.size:
-            raise ValueError("a token block is cut off")
-        magic, n, alphabet, crc, words, code_crc = HEADER.unpack_from(code)
-        if magic != MAGIC or len(code) != HEADER.size + 2 * words or n > BLOCK:
-            raise ValueError("not a token block")
-        if zlib.crc32(code[HEADER.size :]) != code_crc:
-            raise ValueError("a token block is damaged")
-        heads.append((n, alphabet, crc))
-    for alphabet in sorted({h[1] for h in heads}):
-        mine = [i for i, h in enumerate(heads) if h[1] == alphabet]
-        for first in range(0, len(mine), LANES):
-            group = mine[first : first + LANES]
-            found = _decode([codes[i] for i in group], [heads[i][0] for i in group], alphabet)
-            for i, ids in zip(group, found, strict=True):
-                if zlib.crc32(ids.tobytes()) != heads[i][2]:
-                    raise ValueError("a token block fails its checksum")
-                out[i] = ids
-    return out
-
-
-def _decode(codes: Sequence[bytes], sizes: Sequence[int], alphabet: int) -> list[np.ndarray]:
-    order, active = _sorted_lanes(sizes)
-    lanes, steps = len(codes), len(active)
-    bodies = [np.frombuffer(codes[b], "<u2", offset=HEADER.size) for b in order]
-    words = np.zeros((lanes, max(map(len, bodies), default=0) + 4), dtype=np.int32)
-    for lane, body in enumerate(bodies):
-        words[lane, : len(body)] = body
-    flat = words.ravel()
-    starts = np.arange(lanes) * words.shape[1]
-    at, ends = starts + 3, starts + words.shape[1] - 1
-    code = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]
-    span = np.full(lanes, 1 << 48, dtype=np.int64)
-    model = _Model(lanes, alphabet)
+    return [_decode(code) for code in codes]
+
+
+def _decode(code: bytes) -> np.ndarray:
+    if len(code) < HEADER.size:
+        raise ValueError("a token block is cut off")
+    magic, n, alphabet, crc, count, code_crc = HEADER.unpack_from(code)
+    if magic != MAGIC or len(code) != HEADER.size + 2 * count or n > BLOCK:
+        raise ValueError("not a token block")
+    if zlib.crc32(code[HEADER.size :], zlib.crc32(code[: HEADER.size - 4])) != code_crc:
+        raise ValueError("a token block is damaged")
+    steps, lanes = _shape(n)
+    words = np.frombuffer(code, "<u2", offset=HEADER.size)
+    if len(words) < 3 * lanes:
+        raise ValueError("a token block is cut off")
+    ids = np.ascontiguousarray(_ids(words, steps, lanes, alphabet).T).ravel()[:n].astype("<u4")
+    if zlib.crc32(ids.tobytes()) != crc:
+        raise ValueError("a token block fails its checksum")
+    return ids
+
+
+def _ids(words: np.ndarray, steps: int, lanes: int, alphabet: int) -> np.ndarray:
+    """Ids in rows of one step each, from the code words."""
     ids = np.zeros((steps, lanes), dtype=np.int64)
-
-    def narrow(who, cum, freq, unit):
-        cd = code[who] - unit * cum
-        sp = unit * freq
-        while True:
-            small = np.flatnonzero(sp < (1 << 32))
-            if not len(small):
-                break
-            lanes_in = small if isinstance(who, slice) else who[small]
-            cd[small] = (cd[small] << 16) | flat[at[lanes_in]]
-            at[lanes_in] = np.minimum(at[lanes_in] + 1, ends[lanes_in])
-            sp[small] <<= 16
-        code[who], span[who] = cd, sp
-
+    if not steps:
+        return ids
+    words = words.astype(np.int64)
+    model = _Model(lanes, alphabet, find=True)
+    first = words[: 3 * lanes].reshape(lanes, 3)
+    code, pos = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2], 3 * lanes
+    span = np.full(lanes, 1 << 48, dtype=np.int64)
     for t in range(steps):
-        n = int(active[t])
-        if t in REFRESH:
-            model.refresh(n)
-        model.predict(n)
-        f2, f1 = model.share2.astype(np.int64), model.share1.astype(np.int64)
-        unit = span[:n] >> _BITS
-        target = np.minimum(code[:n] // unit, _FULL - 1)
-        hit2 = target < f2
-        hit1 = ~hit2 & (target < f2 + f1)
-        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        freq = np.where(hit2, f2, np.where(hit1, f1, _FULL - f2 - f1))
-        narrow(slice(0, n), cum, freq, unit)
-        s = np.where(hit2, model.guess2, model.guess1).astype(np.int64)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        if len(rest):
-            base = model.at_cum[rest]
-            total = model.flat[base + alphabet]
-            unit = span[rest] // total
-            found = model.locate(rest, np.minimum(code[rest] // unit, total - 1))
-            c0 = model.flat[base + found].astype(np.int64)
-            c1 = model.flat[base + found + 1].astype(np.int64)
-            narrow(rest, c0, c1 - c0, unit)
-            s[rest] = found
-        s = np.clip(s, 0, alphabet - 1)  # damaged codes must reach the checksum
-        ids[t, :n] = s
-        model.update(n, s, hit2, hit1)
-    out = [np.empty(0, "<u4")] * lanes
-    for lane, block in enumerate(order):
-        out[block] = np.ascontiguousarray(ids[: sizes[block], lane]).astype("<u4")
-    return out
+        model.predict()
+        unit = span >> _BITS
+        # Below 2 ** 48 by at most 2 ** 32, so doubles round no quotient up to the next integer.
+        target = (code / unit).astype(np.int64)
+        hit2 = target < model.first
+        neither = target >= model.second
+        hit1 = ~(hit2 | neither)
+        start = unit * model.second
+        part = (unit * (_FULL - model.second)) >> model.places
+        place = np.where(neither, (code - start) / part, 0).astype(np.int64)
+        found = model.holder[np.minimum(place, len(model.holder) - 1)].astype(np.int64)
+        code -= np.where(neither, start + part * model.cum[found], np.where(hit2, 0, unit * model.first))
+        known = unit * np.where(hit2, model.first, model.second - model.first)
+        span = np.where(neither, part * model.freq[found], known)
+        s = np.where(neither, found, np.where(hit2, model.guess2, model.guess1))
+        while len(small := np.flatnonzero(span < _SMALL)):
+            more = words[pos : pos + len(small)]
+            if len(more) < len(small):
+                raise ValueError("a token block is cut off")
+            code[small] = (code[small] << 16) | more
+            span[small] <<= 16
+            pos += len(small)
+        ids[t] = s
+        model.update(s, ids[: t + 1], hit2, hit1)
+    return ids

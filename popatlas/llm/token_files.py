@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popatlas.llm.common import long_rows, whole_text
-from popatlas.llm.token_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from popatlas.llm.token_coder import BLOCK, decode_blocks, encode_blocks
 from popatlas.llm.tokens import END_ID, encoder
 
 # Of a block: the number of its task, its place in the task, its bytes, and for each piece of
@@ -33,6 +33,7 @@ BLOCKS = (
     "part long, block long, code binary, doc_no array<long>, doc_id array<long>, "
     "doc_start array<long>, doc_tokens array<long>, piece_start array<long>, piece array<long>"
 )
+ROWS = 8  # blocks of a batch
 _POLYNOMIAL = 0xEDB88320
 
 
@@ -84,8 +85,8 @@ def _encode_blocks(path: str):
                     at = upto
             pieces = [p for p in pieces if p[2] + p[3] > done + whole]
             held, held_ids, done = [ids[whole:].tobytes()], len(ids) - whole, done + whole
-            for at in range(0, len(codes), 64):
-                some = range(at, min(at + 64, len(codes)))
+            for at in range(0, len(codes), ROWS):
+                some = range(at, min(at + ROWS, len(codes)))
                 lists = [pa.array([rows[i][k] for i in some], pa.list_(pa.int64())) for k in range(6)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -105,7 +106,7 @@ def _encode_blocks(path: str):
                 pieces.append((number, doc, done + held_ids, n))
                 held.append(ids)
                 held_ids, number = held_ids + n, number + 1
-                if held_ids >= BLOCK * LANES:
+                if held_ids >= BLOCK:
                     yield from flush(last=False)
         yield from flush(last=True)
 
@@ -146,15 +147,9 @@ def _decoded(with_ids: bool):
         return pa.RecordBatch.from_arrays(arrays, PIECE_NAMES[: len(arrays)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, LANES):
-                held.append(batch.slice(at, LANES))
-                if sum(b.num_rows for b in held) >= LANES:
-                    yield from map(pieces, pa.Table.from_batches(held).combine_chunks().to_batches())
-                    held = []
-        if held:
-            yield from map(pieces, pa.Table.from_batches(held).combine_chunks().to_batches())
+            for at in range(0, batch.num_rows):
+                yield pieces(batch.slice(at, 1))
 
     return run
 

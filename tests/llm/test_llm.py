@@ -139,6 +139,26 @@ def test_token_blocks_round_trip():
         token_coder.decode_blocks([codes[2][:-2]])
 
 
+def test_token_blocks_learn_across_lanes():
+    rng = np.random.default_rng(1)
+    phrases = rng.integers(0, 40_000, (60, 5))
+    ids = phrases[rng.integers(0, 60, 6_000)].ravel()
+    (code,) = token_coder.encode_blocks([ids], 49_408)
+    assert token_coder.decode_blocks([code])[0].tolist() == ids.tolist()
+    assert len(code) < 0.35 * len(ids)
+
+
+def test_token_blocks_of_odd_shapes():
+    rng = np.random.default_rng(3)
+    step = token_coder.STEPS
+    blocks = [rng.integers(0, 50, n) for n in (step - 1, step, step + 1, 3 * step + 7)]
+    blocks += [np.zeros(5000, dtype=int), np.full(3000, 99_999), np.arange(60_000), rng.integers(0, 100_000, 3000)]
+    for ids, got in zip(blocks, token_coder.decode_blocks(token_coder.encode_blocks(blocks, 100_000)), strict=True):
+        assert ids.tolist() == got.tolist()
+    with pytest.raises(ValueError):
+        token_coder.encode_blocks([blocks[0]], 1 << 23)
+
+
 def test_words_share_the_ids_of_their_part():
     words = Encoder(WORD).words
     assert words["Élleque"] is words["élleque"] is words.pieces["élleque"]
