@@ -24,6 +24,7 @@ from popatlas.llm import (
     simhash,
     token_coder,
     token_files,
+    tokens,
 )
 from popatlas.llm.components import components
 from popatlas.llm.tokens import Encoder
@@ -166,6 +167,31 @@ def test_words_share_the_ids_of_their_part():
     assert words["Àÿß"] is words["àÿß"]
 
 
+def test_token_blocks_code_thousands_of_ids_a_step(monkeypatch):
+    steps = []
+    predict = token_coder._Model.predict
+    monkeypatch.setattr(token_coder._Model, "predict", lambda model: (steps.append(1), predict(model))[1])
+    ids = (np.random.default_rng(4).zipf(1.2, 1 << 20) % 49_408).astype("<u4")
+    codes = token_coder.encode_blocks(
+        [ids[at : at + token_coder.BLOCK] for at in range(0, len(ids), token_coder.BLOCK)], 49_408
+    )
+    assert len(steps) <= len(ids) // 4_000
+    assert np.array_equal(np.concatenate(token_coder.decode_blocks(codes)), ids)
+    assert len(steps) <= len(ids) // 2_000
+
+
+def test_a_full_word_table_keeps_what_came_first(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 100)
+    own, library = Encoder(WORD), Tokenizer.from_file(WORD)
+    often = [f"{a}{b}" for a in "abcde" for b in "fghij"]
+    own.encode(" ".join(often))
+    for at in range(300):
+        text = f"Élan{chr(97 + at % 26)}{chr(97 + at // 26)}, w{at}"
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want
+        assert len(own.words) <= 100 and all(word in own.words for word in often)
+
+
 def test_token_files(spark, docs, none):
     path = new_folder(spark, "test-tokens")
     more = [(100 + i, "several words here " * 2000, None, None, None) for i in range(3)]
